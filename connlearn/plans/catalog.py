@@ -463,13 +463,19 @@ def q_assemble_mixed_vector(spark, sf):
 
 
 @register("scaler_stats", _with(LINES_SQL) + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM lines"
+    f"SELECT '{c}' AS feature, CAST(count(*) AS BIGINT) AS n, round(sum({c}), 2) AS total, "
+    f"round(stddev_samp({c}), 6) AS std FROM lines"
     for c in NUMS))
 def q_scaler_stats(spark, sf):
     df = assemble(_lines(spark, sf), NUMS, "raw_features")
     model = fit_scaler(df, "raw_features", "features")
     stats = scaler_stats(model, NUMS, spark)
-    return stats.select("feature", _r6(F.col("mean")).alias("mean"), _r6(F.col("std")).alias("std"))
+    n = df.count()
+    # The fitted mean of 2-decimal data is an exact decimal that may sit on a
+    # rounding tie at any fixed number of places; mean * n recovers the exact
+    # column sum (2 decimals), which cannot.
+    return stats.select("feature", F.lit(n).cast("bigint").alias("n"),
+                        F.round(F.col("mean") * F.lit(n), 2).alias("total"), _r6(F.col("std")).alias("std"))
 
 
 @register("scaler_transform", _with(LINES_SQL) + "SELECT " + ", ".join(

@@ -1,0 +1,3 @@
+from .scoring import read_record_stream, running_confusion, score_stream, start_scoring
+
+__all__ = ["read_record_stream", "running_confusion", "score_stream", "start_scoring"]
