@@ -77,3 +77,19 @@ def matrix_error(cells: DataFrame) -> DataFrame:
     """Off-diagonal share (in %) of a long-form matrix; equals the error rate."""
     off = F.when(F.col("actual") != F.col("predicted"), F.col("n")).otherwise(F.lit(0))
     return cells.agg((F.sum(off) * 100.0 / F.sum("n")).alias("error_pct"))
+
+
+def matrix_from_keys(counts: DataFrame, num_classes: int, key: str = "key", n: str = "n") -> DataFrame:
+    """Dense ``actual, predicted, n`` grid from ``'<actual>_<predicted>'``
+    keyed counts (the composite-key form); absent cells are 0."""
+    from ..functions.columns import pair_key_part
+
+    parsed = counts.select(pair_key_part(key, 0).alias("actual"), pair_key_part(key, 1).alias("predicted"),
+                           F.col(n).cast("bigint").alias("n"))
+    k = int(num_classes)
+    grid = counts.sparkSession.range(k * k).select((F.col("id") / k).cast("int").alias("actual"),
+                                                   (F.col("id") % k).cast("int").alias("predicted"))
+    if k * k <= BROADCAST_GRID_CELLS:
+        parsed = F.broadcast(parsed)
+    return (grid.join(parsed, on=["actual", "predicted"], how="left")
+            .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))

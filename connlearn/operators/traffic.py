@@ -122,7 +122,7 @@ def same_service_window(df: DataFrame, host: str = "host", service: str = "servi
 
 def last_n_host_window(df: DataFrame, host: str = "host", service: str = "service", flag: str = "flag",
                        ts: str = "ts", key: str = "id", n: int = 100, block_rows: int | None = None,
-                       time_block_seconds: float = 3600.0,
+                       time_block_seconds: float = 60.0,
                        serror_flags: Sequence[str] = SYN_ERROR_FLAGS,
                        rerror_flags: Sequence[str] = REJ_ERROR_FLAGS) -> DataFrame:
     """Add ``host_count, host_serror_rate, host_rerror_rate,

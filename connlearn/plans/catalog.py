@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import CURVE_SLOPE, sigmoid
 from ..operators.encode import (assemble, category_stages, category_widths, fit_category_encoders, fit_scaler,
                                 index_col, one_hot_columns, onehot_col, scaler_stats, vector_columns)
-from ..operators.evaluate import confusion_counts, confusion_matrix, error_rate, ok_ko_counts
+from ..operators.evaluate import confusion_counts, confusion_matrix, error_rate, matrix_from_keys, ok_ko_counts
 from ..operators.labels import (binary_label, binary_label_frequency, class_frequency, collect_vocabulary,
                                 label_frequency, label_vocabulary, multinomial_label)
 from ..operators.merge import merge_features, merge_frames, zip_by_position
@@ -433,6 +433,21 @@ def q_one_hot_columns(spark, sf):
     return one_hot_columns(enc, [onehot_col(c) for c in CATS], category_widths(model), keep=["label"], names=CATS)
 
 
+@register("one_hot_unseen", _with(LINES_SQL, _rank_sql("orderpriority", where=_UNSEEN_WHERE)) + f"""
+SELECT orderpriority, {", ".join(
+    f"CAST(CASE WHEN coalesce(idx_orderpriority.i, {CATEGORY_DOMAIN['orderpriority'] - 1}) = {j} THEN 1 ELSE 0 END"
+    f" AS INTEGER) AS orderpriority_{j + 1}" for j in range(CATEGORY_DOMAIN['orderpriority']))},
+       CAST(count(*) AS BIGINT) AS n
+FROM lines LEFT JOIN idx_orderpriority ON lines.orderpriority = idx_orderpriority.v
+WHERE bucket >= 7 GROUP BY ALL""")
+def q_one_hot_unseen(spark, sf):
+    train, test = _line_split(spark, sf)
+    enc = fit_category_encoders(train.filter(F.col("orderpriority") != UNSEEN_PRIORITY), ["orderpriority"])
+    cols = one_hot_columns(enc.transform(test), [onehot_col("orderpriority")], category_widths(enc),
+                           keep=["orderpriority"], names=["orderpriority"])
+    return cols.groupBy(*cols.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --------------------------------------------------------------------------
 # Vectors and scaling
 
@@ -661,6 +676,18 @@ def q_confusion_matrix(spark, sf):
     return confusion_matrix(pairs, k)
 
 
+@register("confusion_matrix_from_keys", _with(*_EVAL_CTES, "k AS (SELECT count(*) AS k FROM vocab)") + """,
+cells AS (SELECT unnest(range(k * k)) AS r, k FROM k),
+grid AS (SELECT CAST(r // k AS INTEGER) AS actual, CAST(r % k AS INTEGER) AS predicted FROM cells)
+SELECT grid.actual, grid.predicted, CAST(count(pairs.label) AS BIGINT) AS n
+FROM grid LEFT JOIN pairs ON grid.actual = CAST(pairs.label AS INTEGER)
+     AND grid.predicted = CAST(pairs.prediction AS INTEGER)
+GROUP BY grid.actual, grid.predicted""")
+def q_confusion_matrix_from_keys(spark, sf):
+    pairs, k = _pairs(spark, sf)
+    return matrix_from_keys(confusion_counts(pairs, sort=False).select("key", "n"), k)
+
+
 # --------------------------------------------------------------------------
 # Workflows (iterative fits: rows-only checks, numeric checks in tests)
 
