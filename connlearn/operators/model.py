@@ -52,9 +52,26 @@ def build_pipeline(schema: RecordSchema, categorical: bool = True, classes: str
 
 
 def fit_logistic(df: DataFrame, features_col: str = "features", label_col: str = "class",
-                 max_iter: int = MAX_ITER, tol: float = TOLERANCE, family: str = "auto") -> LogisticRegressionModel:
-    """Fit on an already prepared ``features`` / ``label`` frame."""
-    return logistic(features_col, label_col, max_iter, tol, family).fit(df)
+                 max_iter: int = MAX_ITER, tol: float = TOLERANCE, family: str = "auto",
+                 aggregate_duplicates: bool = False) -> LogisticRegressionModel:
+    """Fit on an already prepared ``features`` / ``label`` frame.
+
+    ``aggregate_duplicates``: first collapse identical ``(features, label)``
+    rows into one row weighted by its count (a partial + final hash
+    aggregate). The weighted likelihood has the same optimum, and every
+    optimiser pass then reads the distinct rows only - for purely
+    categorical features a handful of rows instead of the whole table.
+    """
+    lr = logistic(features_col, label_col, max_iter, tol, family)
+    if not aggregate_duplicates:
+        return lr.fit(df)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import functions as F
+
+    grouped = (df.groupBy(vector_to_array(features_col).alias("__x"), F.col(label_col))
+               .agg(F.count(F.lit(1)).cast("double").alias("__w"))
+               .select(array_to_vector("__x").alias(features_col), label_col, "__w"))
+    return lr.setWeightCol("__w").fit(grouped)
 
 
 def score(model, df: DataFrame) -> DataFrame:

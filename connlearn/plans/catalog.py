@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -532,7 +532,8 @@ def _saturated_frame(spark, sf, classes: str):
 SELECT user_group, round(avg({_BINARY_SQL}), 3) AS p FROM ev WHERE bucket < 7 GROUP BY user_group""")
 def q_lr_binomial_fit(spark, sf):
     _, _, train, _ = _saturated_frame(spark, sf, "binary")
-    model = fit_logistic(train, "features", "class", max_iter=SATURATED_ITER, tol=SATURATED_TOL, family="binomial")
+    model = fit_logistic(train, "features", "class", max_iter=SATURATED_ITER, tol=SATURATED_TOL, family="binomial",
+                         aggregate_duplicates=True)
     scored = model.transform(train)
     return scored.groupBy("user_group").agg(
         F.round(F.avg(vector_to_array("probability")[1]), 3).alias("p"))
@@ -554,7 +555,7 @@ _SHARES_SQL = """shares AS (
 def q_lr_multinomial_fit(spark, sf):
     labeler, _, train, _ = _saturated_frame(spark, sf, "all")
     model = fit_logistic(train, "features", "class", max_iter=SATURATED_ITER, tol=SATURATED_TOL,
-                         family="multinomial")
+                         family="multinomial", aggregate_duplicates=True)
     probs = model.transform(train).select("user_group", F.posexplode(vector_to_array("probability")))
     return probs.groupBy("user_group", F.col("pos").cast("bigint").alias("class_id")).agg(
         F.round(F.avg("col"), 3).alias("p"))
@@ -569,11 +570,11 @@ def q_model_save_load(spark, sf):
     train, test = _event_split(spark, sf)
     stages = [ClassLabeler(inputCol="label", outputCol="class", classes="all"),
               *category_stages(["user_group"]),
-              VectorAssembler(inputCols=[onehot_col("user_group")], outputCol="features"),
-              ]
-    from ..operators.model import logistic
-    stages.append(logistic("features", "class", max_iter=SATURATED_ITER, tol=SATURATED_TOL, family="multinomial"))
-    fitted = Pipeline(stages=stages).fit(train)
+              VectorAssembler(inputCols=[onehot_col("user_group")], outputCol="features")]
+    features = Pipeline(stages=stages).fit(train)
+    lr = fit_logistic(features.transform(train), "features", "class", max_iter=SATURATED_ITER, tol=SATURATED_TOL,
+                      family="multinomial", aggregate_duplicates=True)
+    fitted = PipelineModel(stages=[*features.stages, lr])
     path = save_model(fitted, staging_path(spark, "model"))
     reloaded = load_model(path)
     scored = reloaded.transform(test)
