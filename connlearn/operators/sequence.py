@@ -60,6 +60,8 @@ def quantile_blocks(df: DataFrame, col: str, n_blocks: int, out: str = "__block"
     keyed = df.withColumn("__qkey", _numeric(df, col))
     probs = [i / n_blocks for i in range(1, n_blocks)]
     bounds = keyed.approxQuantile("__qkey", probs, rel_error) if probs else []
+    if not bounds:
+        return keyed.drop("__qkey").withColumn(out, F.lit(0.0))
     splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="__qkey", outputCol=out, handleInvalid="keep")
     return bucketizer.transform(keyed).drop("__qkey")
