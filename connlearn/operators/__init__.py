@@ -1,7 +1,7 @@
-from .encode import (assemble, category_labels, category_stages, category_widths, fit_category_encoders,
-                     fit_scaler, one_hot_columns, scaler, scaler_stats, vector_columns)
-from .evaluate import (confusion_counts, confusion_matrix, error_rate, matrix_error, matrix_from_keys, ok_ko_counts,
-                       prediction_pairs)
+from .encode import (assemble, category_labels, category_stages, category_widths, encode_categories,
+                     fit_category_encoders, fit_scaler, one_hot_columns, scale, scaler, scaler_stats, vector_columns)
+from .evaluate import (confusion_counts, confusion_matrix, error_rate, evaluate, evaluator_accuracy, matrix_error,
+                       matrix_from_keys, ok_ko_counts, prediction_pairs)
 from .labels import (binary_label, binary_label_frequency, class_frequency, collect_vocabulary, known_classes,
                      label_frequency, label_vocabulary, multinomial_label)
 from .merge import merge_features, merge_frames, zip_by_position

@@ -38,6 +38,17 @@ def fit_category_encoders(df: DataFrame, cols: Sequence[str]) -> PipelineModel:
     return Pipeline(stages=category_stages(cols)).fit(df.select(*cols))
 
 
+def encode_categories(df: DataFrame, cols: Sequence[str] | None = None, encoders: PipelineModel | None = None,
+                      fit_on: DataFrame | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Index + one-hot ``cols`` of ``df``; the encoders are fitted on
+    ``fit_on`` (the training data; default ``df``) unless given."""
+    if encoders is None:
+        if cols is None:
+            raise ValueError("give the categorical columns or fitted encoders")
+        encoders = fit_category_encoders(fit_on if fit_on is not None else df, cols)
+    return encoders, encoders.transform(df)
+
+
 def category_labels(encoders: PipelineModel) -> list[list[str]]:
     """Known values per column, in index order (a fitted parameter)."""
     return [list(x) for x in encoders.stages[0].labelsArray]
@@ -74,6 +85,14 @@ def fit_scaler(df: DataFrame, input_col: str = "raw_features", output_col: str =
     return scaler(input_col, output_col).fit(df)
 
 
+def scale(train: DataFrame, *others: DataFrame, input_col: str = "raw_features",
+          output_col: str = "features") -> tuple[StandardScalerModel, list[DataFrame]]:
+    """Fit the scaler on ``train`` only and apply it to ``train`` and every
+    other frame (test sets)."""
+    model = fit_scaler(train, input_col, output_col)
+    return model, [model.transform(d) for d in (train, *others)]
+
+
 def scaler_stats(model: StandardScalerModel, names: Sequence[str], spark: SparkSession) -> DataFrame:
     """``feature, mean, std`` of a fitted scaler (a d-row table)."""
     mean, std = model.mean.toArray().tolist(), model.std.toArray().tolist()

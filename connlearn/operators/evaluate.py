@@ -33,6 +33,23 @@ def error_rate(pairs: DataFrame, label: str = "label", prediction: str = "predic
                      (F.avg(miss.cast("double")) * 100.0).alias("error_pct"))
 
 
+def evaluate(pairs: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """One row ``n, n_ok, n_ko, error_pct, accuracy`` (one aggregation pass)."""
+    miss = (F.col(label) != F.col(prediction)).cast("long")
+    return (pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(miss), F.lit(0)).alias("n_ko"),
+                      F.avg(miss.cast("double")).alias("__miss"))
+            .select("n", (F.col("n") - F.col("n_ko")).alias("n_ok"), "n_ko",
+                    (F.col("__miss") * 100.0).alias("error_pct"), (F.lit(1.0) - F.col("__miss")).alias("accuracy")))
+
+
+def evaluator_accuracy(pairs: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
+    """Accuracy from Spark ML's evaluator (a cross-check of :func:`evaluate`)."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="accuracy")
+    return ev.evaluate(pairs)
+
+
 def confusion_counts(pairs: DataFrame, label: str = "label", prediction: str = "prediction",
                      sort: bool = True) -> DataFrame:
     """``actual, predicted, key, n`` for every pair that occurs; pairs stay

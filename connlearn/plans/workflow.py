@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from ..functions.columns import NORMAL_TOKEN
@@ -70,27 +70,18 @@ class Workflow:
     def fit(self, train: DataFrame) -> PipelineModel:
         """Fit on ``train`` only.
 
-        The feature stages (labels, indexers, encoder, assembler, scaler)
-        are fitted on the training frame, persisted for their three passes
-        unless the caller already cached it. The optimiser then iterates
-        over a persisted two-column ``class, features`` frame instead of
-        re-running the feature chain; both caches are released afterwards.
-        The result is one ``PipelineModel`` with every stage.
+        The training frame is persisted (memory, spilling to disk) for the
+        passes of the label, indexer, scaler and optimiser fits, unless the
+        caller already cached it; it is released afterwards. The optimiser
+        caches its own standardised instance blocks, so the feature vectors
+        are not cached a second time.
         """
-        stages = self.pipeline().getStages()
         level = train.storageLevel
         own_cache = not (level.useMemory or level.useDisk or level.useOffHeap)
         source = train.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else train
-        feats = None
         try:
-            features = Pipeline(stages=stages[:-1]).fit(source)
-            feats = (features.transform(source).select("class", "features")
-                     .persist(StorageLevel.MEMORY_AND_DISK))
-            lr = stages[-1].fit(feats)
-            return PipelineModel(stages=[*features.stages, lr])
+            return self.pipeline().fit(source)
         finally:
-            if feats is not None:
-                feats.unpersist()
             if own_cache:
                 source.unpersist()
 

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from connlearn import (assemble, category_labels, category_widths, fit_category_encoders, fit_scaler,
-                       one_hot_columns, parse_records, vector_columns)
+from connlearn import (assemble, category_labels, category_widths, encode_categories, fit_category_encoders,
+                       fit_scaler, one_hot_columns, parse_records, scale, vector_columns)
 from connlearn.operators.encode import onehot_col
 from tests.fixtures import CONN_SCHEMA, TEST_LINES, TRAIN_LINES, lines_df
 
@@ -75,3 +76,13 @@ def test_hypothesis_scaled_columns(spark):
             assert abs(s - 1.0) < 1e-9 or abs(s) < 1e-12
 
     check()
+
+
+def test_encode_categories_and_scale_fit_on_train_only(spark):
+    tr, ts = _frames(spark)
+    enc, out = encode_categories(ts, CATS, fit_on=tr)
+    assert category_widths(enc) == [4, 4, 3] and out.count() == 6
+    num = list(CONN_SCHEMA.numeric)
+    model, (a, b) = scale(assemble(tr, num, "raw_features"), assemble(ts, num, "raw_features"))
+    assert a.count() == 8 and b.count() == 6
+    assert model.mean.toArray()[num.index("src_bytes")] == pytest.approx((181 + 239 + 44 + 0 + 0 + 10 + 8 + 18) / 8)

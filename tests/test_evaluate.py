@@ -1,6 +1,7 @@
 import pytest
 
-from connlearn import confusion_counts, confusion_matrix, error_rate, matrix_error, ok_ko_counts
+from connlearn import (confusion_counts, confusion_matrix, error_rate, evaluate, evaluator_accuracy, matrix_error,
+                       ok_ko_counts)
 
 
 def pairs(spark, spec):
@@ -60,3 +61,11 @@ def test_property_matrix_sums_and_error(spark):
         assert matrix_error(cells).collect()[0][0] == pytest.approx(err)
 
     check()
+
+
+def test_evaluate_matches_spark_evaluator(spark):
+    df = pairs(spark, MIXED)
+    row = evaluate(df).collect()[0]
+    assert (row["n"], row["n_ok"], row["n_ko"]) == (1175, 1150, 25)
+    assert row["accuracy"] == pytest.approx(evaluator_accuracy(df))
+    assert row["error_pct"] == pytest.approx(100.0 * (1 - row["accuracy"]))
