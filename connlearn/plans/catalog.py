@@ -3,7 +3,9 @@
 Every query reads whole tables (``lines`` = lineitem JOIN orders, or
 ``events``) and returns a DataFrame; ``ORACLES`` holds the equivalent
 DuckDB SQL where one exists. Computed doubles are rounded to 6 places (3
-for fitted probabilities) on both sides.
+for fitted probabilities) on both sides; where a rounded value can be a
+negative zero in SQL, ``+ 0.0`` makes it the positive zero Spark's decimal
+rounding returns.
 """
 
 from __future__ import annotations
@@ -494,7 +496,7 @@ def q_scaler_stats(spark, sf):
 
 
 @register("scaler_transform", _with(LINES_SQL) + "SELECT " + ", ".join(
-    f"round(coalesce((({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0)), 0.0), 6) AS {c}"
+    f"round(coalesce((({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0)), 0.0), 6) + 0.0 AS {c}"
     for c in NUMS) + ", label FROM lines")
 def q_scaler_transform(spark, sf):
     df = assemble(_lines(spark, sf), NUMS, "raw_features")
