@@ -83,3 +83,19 @@ def hash_bucket(key_cols: Sequence[str | Column], modulus: int, seed: int) -> Co
     """
     key = F.concat_ws(":", *[_c(k).cast("string") for k in key_cols], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.lit(modulus)
+
+
+def epoch_micros(col: str | Column, ntz: bool = True) -> Column:
+    """Microseconds since 1970-01-01 00:00:00.
+
+    For TIMESTAMP_NTZ this is plain calendar arithmetic (days, hours,
+    minutes, fractional seconds), independent of the session time zone; a
+    zone-aware TIMESTAMP is an instant already (``unix_micros``).
+    """
+    c = _c(col)
+    if not ntz:
+        return F.unix_micros(c)
+    days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    secs = F.date_part(F.lit("SECOND"), c)                  # decimal(8,6): seconds with fraction
+    return (days * F.lit(86_400_000_000) + F.hour(c).cast("bigint") * F.lit(3_600_000_000)
+            + F.minute(c).cast("bigint") * F.lit(60_000_000) + (secs * F.lit(1_000_000)).cast("bigint"))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import epoch_micros
+
 
 def sequential_index(df: DataFrame, order_cols: Sequence[str], block_col: str,
                      partition_cols: Sequence[str] = (), out: str = "rn", base: int = 0) -> DataFrame:
@@ -42,7 +44,7 @@ def sequential_index(df: DataFrame, order_cols: Sequence[str], block_col: str,
 def _numeric(df: DataFrame, col: str):
     dt = df.schema[col].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)").cast("double")
+        return epoch_micros(col, ntz=isinstance(dt, T.TimestampNTZType)).cast("double")
     if isinstance(dt, T.DateType):
         return F.datediff(F.col(col), F.lit("1970-01-01").cast("date")).cast("double")
     if isinstance(dt, T.NumericType):

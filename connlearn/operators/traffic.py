@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import strip_terminator
+from ..functions.columns import epoch_micros, strip_terminator
 from .sequence import sequential_index
 
 # Connection flags counted as SYN errors and as REJ errors.
@@ -40,9 +40,9 @@ def micros(df: DataFrame, ts: str) -> Column:
     (no time-zone dependence)."""
     dt = df.schema[ts].dataType
     if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+        return epoch_micros(ts, ntz=True)
     if isinstance(dt, T.TimestampType):
-        return F.unix_micros(F.col(ts))
+        return epoch_micros(ts, ntz=False)
     if isinstance(dt, T.NumericType):
         return (F.col(ts).cast("double") * 1_000_000).cast("bigint")
     raise TypeError(f"{ts} must be a timestamp or a number of seconds")

@@ -56,9 +56,13 @@ def parse_records(lines: DataFrame, schema: RecordSchema, mode: str = "failfast"
             F.lit(f"malformed record: expected {n} fields, got "),
             F.size("__f").cast("string")))
         checked = parts.select(*keep, F.when(size_ok, F.col("__f")).otherwise(bad_len).alias("__f"))
+        # try_cast + explicit error: fails the same way whether or not the
+        # session runs in ANSI mode
         cols = [
             (F.col("__f")[i] if schema.is_string(name)
-             else F.col("__f")[i].cast("double")).alias(name)
+             else F.coalesce(F.col("__f")[i].try_cast("double"),
+                             F.raise_error(F.concat(F.lit(f"malformed number in field {name}: '"),
+                                                    F.col("__f")[i], F.lit("'"))).cast("double"))).alias(name)
             for i, name in enumerate(schema.names)
         ]
         return checked.select(*keep, *cols)
