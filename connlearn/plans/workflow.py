@@ -19,6 +19,7 @@ from ..operators.evaluate import confusion_counts, confusion_matrix, error_rate,
 from ..operators.labels import class_frequency, label_frequency
 from ..operators.model import MAX_ITER, TOLERANCE, build_pipeline, labeler_of, load_model, lr_weights, save_model
 from ..schema import RecordSchema
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -51,6 +52,16 @@ class WorkflowResult:
     def weights(self, form: str = "pivoted") -> DataFrame:
         return lr_weights(self.model, self.scored.sparkSession, self.feature_names or None, form=form)
 
+    def persist(self) -> "WorkflowResult":
+        """Keep the (two-column) prediction pairs, so several evaluation
+        tables score the test data once."""
+        self.pairs = self.pairs.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def unpersist(self) -> "WorkflowResult":
+        self.pairs.unpersist()
+        return self
+
 
 @dataclass
 class Workflow:
@@ -61,6 +72,7 @@ class Workflow:
     match: str = "contains"
     max_iter: int = MAX_ITER
     tol: float = TOLERANCE
+    durable: bool = False
 
     def pipeline(self):
         return build_pipeline(self.schema, categorical=self.categorical, classes=self.classes,
@@ -72,10 +84,18 @@ class Workflow:
 
         The training frame is persisted (memory, spilling to disk) for the
         passes of the label, indexer, scaler and optimiser fits, unless the
-        caller already cached it; it is released afterwards. The optimiser
+        caller already cached it; it is released afterwards. With
+        ``durable=True`` it is checkpointed to the shared checkpoint folder
+        instead (lineage cut). The optimiser
         caches its own standardised instance blocks, so the feature vectors
         are not cached a second time.
         """
+        if self.durable:
+            # reliable checkpoint in the shared spark.checkpoint.dir: a lost
+            # executor re-reads these files instead of re-running the lineage
+            # (for gzip text, one task over the whole file)
+            ensure_checkpoint_dir(train.sparkSession)
+            return self.pipeline().fit(train.checkpoint(eager=True))
         level = train.storageLevel
         own_cache = not (level.useMemory or level.useDisk or level.useOffHeap)
         source = train.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else train

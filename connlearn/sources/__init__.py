@@ -1,5 +1,5 @@
 from .records import (format_records, head_sample, parse_records, parse_report, positional_frame,
-                      read_records, scan_lines, write_head_sample, write_lines)
+                      read_records, scan_lines, stage_parquet, write_head_sample, write_lines)
 
 __all__ = ["format_records", "head_sample", "parse_records", "parse_report", "positional_frame",
-           "read_records", "scan_lines", "write_head_sample", "write_lines"]
+           "read_records", "scan_lines", "stage_parquet", "write_head_sample", "write_lines"]

@@ -147,3 +147,20 @@ def write_head_sample(df: DataFrame, n: int, order_by, path: str, line_col: str
     """Write the first ``n`` lines as gzip text, like ``<file>.<n>.gz`` samples."""
     sample = head_sample(df, n, order_by).select(line_col)
     return write_lines(sample.coalesce(1), path)
+
+
+def stage_parquet(df: DataFrame, path: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (under the shared staging folder by default)
+    and return a frame reading it back.
+
+    Parse text once, then every later pass reads columnar data with pushed
+    filters and pruned columns; the lineage to the (possibly unsplittable)
+    text input is cut, so a lost executor never re-runs the parse.
+    """
+    from ..session import staging_path
+
+    spark = df.sparkSession
+    target = path or staging_path(spark, "records")
+    out = df.repartition(partitions) if partitions else df
+    out.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)

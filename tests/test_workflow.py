@@ -37,3 +37,17 @@ def test_planted_signal_is_learned(spark):
     res = Workflow(CONN_SCHEMA, categorical=False, classes="binary").run(tr, ts)
     assert res.error().collect()[0]["error_pct"] == 0.0
     assert res.pairs.filter(F.col("label") == 1.0).count() == 10     # unseen attack counted as attack
+
+
+def test_durable_fit_and_staged_records(spark, tmp_dir):
+    from connlearn import stage_parquet
+
+    tr = stage_parquet(parse_records(lines_df(spark, TRAIN_LINES * 3), CONN_SCHEMA), f"{tmp_dir}/staged")
+    ts = parse_records(lines_df(spark, TEST_LINES), CONN_SCHEMA)
+    plain = Workflow(CONN_SCHEMA, categorical=True, classes="all").run(tr, ts)
+    durable = Workflow(CONN_SCHEMA, categorical=True, classes="all", durable=True).run(tr, ts).persist()
+    a = sorted(map(tuple, plain.confusion_matrix().collect()))
+    b = sorted(map(tuple, durable.confusion_matrix().collect()))
+    assert a == b
+    assert durable.error().collect()[0]["n"] == 5
+    durable.unpersist()
