@@ -76,3 +76,20 @@ def test_category_rollup_dict_and_frame(spark):
     assert got == {"dos": 3, "normal": 1, "unknown": 1}
     mdf = spark.createDataFrame(list(mapping.items()), "label string, category string")
     assert {r["category"]: r["n"] for r in category_rollup(df, mdf).collect()} == got
+
+
+def test_hot_host_is_split_across_blocks(spark):
+    """One host holds half of all rows: the blocked window spreads it over
+    many (host, block) groups and still equals the plain window."""
+    from connlearn.operators.traffic import _with_ghosts
+
+    rng = random.Random(3)
+    rows = [(i, rng.randint(0, 600), "hot" if i % 2 else rng.choice("bcdefg"), rng.choice(["http", "dns"]), "SF")
+            for i in range(400)]
+    df = frame(spark, rows)
+    staged = _with_ghosts(df.withColumn("__pos", micros(df, "ts")), "__pos", 5_000_000, 20_000_000)
+    groups = staged.filter(F.col("host") == "hot").select("__blk").distinct().count()
+    assert groups >= 20
+    got = {r["id"]: (r["count"], round(r["same_srv_rate"] * r["count"]))
+           for r in same_host_window(df, frame_seconds=5, block_seconds=20).collect()}
+    assert got == _plain(df, "host", "service", 5_000_000)
