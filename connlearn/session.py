@@ -64,22 +64,28 @@ def table_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a frame that arrives in fewer partitions than the
+def spread(df, min_partitions: int | None = None, by: list[str] | None = None):
+    """Re-partition a frame that arrives in fewer partitions than the
     cluster has cores (one unsplittable file, a one-row-group Parquet file,
     one gzip file). Inputs that are already split pass through untouched, so
     at scale this costs nothing; below it, one small shuffle buys parallel
-    parsing, encoding and optimiser passes."""
+    parsing, encoding and optimiser passes.
+
+    ``by``: hash-partition on a high-cardinality key (deterministic on
+    recomputation without the local sort a round-robin repartition needs);
+    without it, round-robin.
+    """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *by) if by else df.repartition(want)
 
 
-def read_table(spark: SparkSession, sf_dir: str, table: str, columns: list[str] | None = None):
+def read_table(spark: SparkSession, sf_dir: str, table: str, columns: list[str] | None = None,
+               spread_by: list[str] | None = None):
     """A driver table, pruned to ``columns`` before any spreading."""
     df = spark.read.parquet(table_path(sf_dir, table))
     if columns:
         df = df.select(*columns)
-    return spread(df)
+    return spread(df, by=spread_by)

@@ -38,8 +38,10 @@ def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed ``lines`` records plus ``orderkey`` (inner join on the order key;
     at scale a shuffled sort-merge join of two large tables)."""
     li = read_table(spark, sf_dir, "lineitem", [
-        "l_orderkey", "l_quantity", "l_linestatus", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"])
-    od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
+        "l_orderkey", "l_quantity", "l_linestatus", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"],
+        spread_by=["l_orderkey"])
+    od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"],
+                    spread_by=["o_orderkey"])
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     return j.select(
         F.col("l_orderkey").alias("orderkey"),
@@ -66,7 +68,8 @@ def lines_text(spark: SparkSession, sf_dir: str, keep_key: bool = False) -> Data
 
 def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed ``events`` records keyed by ``event_id`` (with ``ts``)."""
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"],
+                    spread_by=["event_id"])
     return ev.select(
         "event_id", "ts",
         F.col("value"),
@@ -87,7 +90,8 @@ def events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traffic_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, ts, host, service, flag`` connections from ``events``."""
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"],
+                    spread_by=["event_id"])
     flag = (F.when(F.col("value") < FLAG_S0_BELOW, F.lit("S0"))
             .when(F.col("value") >= FLAG_REJ_FROM, F.lit("REJ")).otherwise(F.lit("SF")))
     return ev.select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("host"),
