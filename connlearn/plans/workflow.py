@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.columns import NORMAL_TOKEN
 from ..operators.evaluate import confusion_counts, confusion_matrix, error_rate, ok_ko_counts, prediction_pairs
-from ..operators.labels import class_frequency, label_frequency
+from ..operators.labels import class_frequency
 from ..operators.model import MAX_ITER, TOLERANCE, build_pipeline, labeler_of, load_model, lr_weights, save_model
 from ..schema import RecordSchema
 from ..session import ensure_checkpoint_dir
