@@ -51,3 +51,21 @@ def test_durable_fit_and_staged_records(spark, tmp_dir):
     assert a == b
     assert durable.error().collect()[0]["n"] == 5
     durable.unpersist()
+
+
+def test_report_from_gzip_files(spark, tmp_dir):
+    from connlearn import format_records, write_lines
+    from connlearn.plans.report import run_report
+    from connlearn.schema import RecordSchema
+
+    schema = RecordSchema.positional(9)
+    tr = parse_records(lines_df(spark, TRAIN_LINES * 4), CONN_SCHEMA).toDF(*schema.names)
+    ts = parse_records(lines_df(spark, TEST_LINES), CONN_SCHEMA).toDF(*schema.names)
+    a = write_lines(format_records(tr, schema), f"{tmp_dir}/train")
+    b = write_lines(format_records(ts, schema), f"{tmp_dir}/test")
+    reps = run_report(spark, a, b, schema, categorical=True, classes="all", model_path=f"{tmp_dir}/model")
+    counts = {r["file"]: r["n"] for r in reps["record_counts"].collect()}
+    assert counts == {"train": 32, "test": 6}
+    assert [r["label"] for r in reps["vocabulary"].orderBy("class_id").collect()] == ["normal", "synflood", "scan"]
+    assert reps["error"].collect()[0]["n"] == 5
+    assert len(reps["confusion_matrix"].collect()) == 3
