@@ -1,5 +1,6 @@
-from .records import (format_records, head_sample, parse_records, parse_report, positional_frame,
-                      read_records, scan_lines, stage_parquet, write_head_sample, write_lines)
+from .records import (first_lines, format_records, head_sample, parse_records, parse_report, positional_frame,
+                      read_records, scan_lines, stage_parquet, write_head_sample, write_lines,
+                      write_sample_files)
 
-__all__ = ["format_records", "head_sample", "parse_records", "parse_report", "positional_frame",
-           "read_records", "scan_lines", "stage_parquet", "write_head_sample", "write_lines"]
+__all__ = ["first_lines", "format_records", "head_sample", "parse_records", "parse_report", "positional_frame",
+           "read_records", "scan_lines", "stage_parquet", "write_head_sample", "write_lines", "write_sample_files"]

@@ -164,3 +164,31 @@ def stage_parquet(df: DataFrame, path: str | None = None, partitions: int | None
     out = df.repartition(partitions) if partitions else df
     out.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` lines of text files, in file order.
+
+    Within one scan ``monotonically_increasing_id`` grows with the partition
+    index and the position inside the split, i.e. with file order; a top-n
+    on it (TakeOrderedAndProject: n rows per task at most) keeps exactly the
+    first n lines, and all of them when there are fewer.
+    """
+    lines = spark.read.text(path).withColumn("__pos", F.monotonically_increasing_id())
+    return lines.orderBy("__pos").limit(n).select("value")
+
+
+def write_sample_files(spark: SparkSession, train_path: str, test_path: str, out_dir: str,
+                       n_train: int = 10_000) -> dict[str, str]:
+    """Sample files ``<name>.<N>.gz`` with the first ``n_train`` training
+    lines and the first ``n_train // 10`` test lines."""
+    import os
+
+    out = {}
+    for path, n in ((train_path, n_train), (test_path, n_train // 10)):
+        name = os.path.basename(path.rstrip("/"))
+        name = name[:-3] if name.endswith(".gz") else name
+        target = f"{out_dir.rstrip('/')}/{name}.{n}.gz"
+        write_lines(first_lines(spark, path, n).coalesce(1), target)
+        out[path] = target
+    return out

@@ -72,3 +72,25 @@ def test_head_sample_shorter_than_n(spark, tmp_dir):
         with gzip.open(os.path.join(path, f), "rt") as fh:
             got += fh.read().splitlines()
     assert got == TRAIN_LINES[:3]
+
+
+def test_sample_files_keep_file_order(spark, tmp_dir):
+    from connlearn.sources import first_lines, write_sample_files
+
+    lines = [f"{i},tcp,http,SF,{i},0,0,0,normal." for i in range(2500)]
+    for name, body in (("train.gz", lines), ("test.gz", lines[:150])):
+        with gzip.open(os.path.join(tmp_dir, name), "wt") as fh:
+            fh.write("\n".join(body) + "\n")
+    assert [r[0] for r in first_lines(spark, os.path.join(tmp_dir, "train.gz"), 5).collect()] == lines[:5]
+    out = write_sample_files(spark, os.path.join(tmp_dir, "train.gz"), os.path.join(tmp_dir, "test.gz"),
+                             os.path.join(tmp_dir, "samples"), n_train=2000)
+    got = {}
+    for src, target in out.items():
+        rows = []
+        for f in sorted(os.listdir(target)):
+            if f.endswith(".gz"):
+                with gzip.open(os.path.join(target, f), "rt") as fh:
+                    rows += fh.read().splitlines()
+        got[os.path.basename(target)] = rows
+    assert got["train.2000.gz"] == lines[:2000]
+    assert got["test.200.gz"] == lines[:150]            # shorter than N: what exists
