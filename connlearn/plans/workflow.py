@@ -73,6 +73,7 @@ class Workflow:
     max_iter: int = MAX_ITER
     tol: float = TOLERANCE
     durable: bool = False
+    cache: bool = True
 
     def pipeline(self):
         return build_pipeline(self.schema, categorical=self.categorical, classes=self.classes,
@@ -86,7 +87,8 @@ class Workflow:
         passes of the label, indexer, scaler and optimiser fits, unless the
         caller already cached it; it is released afterwards. With
         ``durable=True`` it is checkpointed to the shared checkpoint folder
-        instead (lineage cut). The optimiser
+        instead (lineage cut); with ``cache=False`` it is read again for
+        every pass. The optimiser
         caches its own standardised instance blocks, so the feature vectors
         are not cached a second time.
         """
@@ -96,6 +98,11 @@ class Workflow:
             # (for gzip text, one task over the whole file)
             ensure_checkpoint_dir(train.sparkSession)
             return self.pipeline().fit(train.checkpoint(eager=True))
+        if not self.cache:
+            # e.g. training data staged as Parquet: each pass re-reads the
+            # pruned columns instead of holding a copy next to the
+            # optimiser's own cached blocks
+            return self.pipeline().fit(train)
         level = train.storageLevel
         own_cache = not (level.useMemory or level.useDisk or level.useOffHeap)
         source = train.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else train

@@ -46,9 +46,11 @@ def test_durable_fit_and_staged_records(spark, tmp_dir):
     ts = parse_records(lines_df(spark, TEST_LINES), CONN_SCHEMA)
     plain = Workflow(CONN_SCHEMA, categorical=True, classes="all").run(tr, ts)
     durable = Workflow(CONN_SCHEMA, categorical=True, classes="all", durable=True).run(tr, ts).persist()
+    uncached = Workflow(CONN_SCHEMA, categorical=True, classes="all", cache=False).run(tr, ts)
     a = sorted(map(tuple, plain.confusion_matrix().collect()))
     b = sorted(map(tuple, durable.confusion_matrix().collect()))
-    assert a == b
+    c = sorted(map(tuple, uncached.confusion_matrix().collect()))
+    assert a == b == c
     assert durable.error().collect()[0]["n"] == 5
     durable.unpersist()
 
