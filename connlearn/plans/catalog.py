@@ -584,6 +584,41 @@ def q_model_save_load(spark, sf):
     return scored.select("event_id", F.round(p, 3).alias("p_actual"))
 
 
+def _saturated_weights(spark, sf, classes: str, family: str) -> DataFrame:
+    labeler, enc, train, _ = _saturated_frame(spark, sf, classes)
+    model = fit_logistic(train, "features", "class", max_iter=SATURATED_ITER, tol=SATURATED_TOL, family=family,
+                         aggregate_duplicates=True)
+    names = [f"user_group={v}" for v in enc.stages[0].labelsArray[0]] + ["user_group=<unseen>"]
+    w = lr_weights(model, spark, names)
+    return w.select(F.col("class").cast("int").alias("class"), "feature", F.round("weight", 4).alias("weight"))
+
+
+# Saturated no-intercept model: the weight of category g is the log-odds of
+# its training counts, ln(n(c, g) / n(0, g)) (class 0 is the pivot); the
+# unseen slot never fires in training and keeps weight 0.
+@register("lr_weights_binomial", _with(EVENTS_SQL) + f"""
+SELECT 1 AS class, 'user_group=' || user_group AS feature,
+       round(ln(sum({_BINARY_SQL}) / sum(1.0 - {_BINARY_SQL})), 4) + 0.0 AS weight
+FROM ev WHERE bucket < 7 GROUP BY user_group
+UNION ALL SELECT 1, 'user_group=<unseen>', 0.0""")
+def q_lr_weights_binomial(spark, sf):
+    return _saturated_weights(spark, sf, "binary", "binomial")
+
+
+@register("lr_weights_multinomial", _with(EVENTS_SQL, _ALL_VOCAB_CTE) + """,
+cnt AS (SELECT ev.user_group, vocab.class_id, count(*)::DOUBLE AS n
+        FROM ev JOIN vocab ON left(ev.label, length(ev.label) - 1) = vocab.label
+        WHERE ev.bucket < 7 GROUP BY ALL)
+SELECT CAST(c.class_id AS INTEGER) AS class, 'user_group=' || c.user_group AS feature,
+       round(ln(c.n / z.n), 4) + 0.0 AS weight
+FROM cnt c JOIN cnt z ON c.user_group = z.user_group AND z.class_id = 0
+WHERE c.class_id > 0
+UNION ALL
+SELECT CAST(class_id AS INTEGER), 'user_group=<unseen>', 0.0 FROM vocab WHERE class_id > 0""")
+def q_lr_weights_multinomial(spark, sf):
+    return _saturated_weights(spark, sf, "all", "multinomial")
+
+
 _FIXED_BIN_SQL = (f"({FIXED_BINARY_WEIGHTS[0]} * value + {FIXED_BINARY_WEIGHTS[1]} * user_id)")
 
 
