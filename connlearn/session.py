@@ -76,8 +76,12 @@ def spread(df, min_partitions: int | None = None, by: list[str] | None = None):
     without it, round-robin.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()       # plans the scan; runs no job
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave it to AQE
+        return df
+    if have >= want:
         return df
     return df.repartition(want, *by) if by else df.repartition(want)
 
