@@ -6,14 +6,28 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .sequence import row_id
 
 
 def merge_frames(frames: Sequence[DataFrame], key: str | Sequence[str] = "id",
-                 how: str = "full_outer") -> DataFrame:
-    """Chain equi-joins of frames on a shared key (a sort-merge join each;
-    frames already partitioned on ``key`` join without re-shuffling)."""
+                 how: str = "full_outer", unique_keys: bool = True) -> DataFrame:
+    """Merge frames that share a key column and carry different other columns.
+
+    Full outer merge of frames whose key is unique within each frame
+    (``unique_keys``, the row-id case): one ``unionByName`` and one
+    aggregation by key - a single shuffle however many frames, where a chain
+    of full outer joins re-shuffles after every join (its output partitioning
+    is unknown, the key may come from either side). Otherwise, or for other
+    join types, a chain of equi-joins.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    if how in ("full_outer", "outer", "full") and unique_keys and len(frames) > 1:
+        value_cols = [c for f in frames for c in f.columns if c not in keys]
+        if len(value_cols) == len(set(value_cols)):
+            stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+            return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in value_cols])
     return reduce(lambda a, b: a.join(b, on=key, how=how), frames)
 
 

@@ -63,10 +63,11 @@ def quantile_blocks(df: DataFrame, col: str, n_blocks: int, out: str = "__block"
     probs = [i / n_blocks for i in range(1, n_blocks)]
     bounds = keyed.approxQuantile("__qkey", probs, rel_error) if probs else []
     if not bounds:
-        return keyed.drop("__qkey").withColumn(out, F.lit(0.0))
+        return keyed.drop("__qkey").withColumn(out, F.lit(0))
     splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="__qkey", outputCol=out, handleInvalid="keep")
-    return bucketizer.transform(keyed).drop("__qkey")
+    bucketizer = Bucketizer(splits=splits, inputCol="__qkey", outputCol="__qbucket", handleInvalid="keep")
+    return (bucketizer.transform(keyed).withColumn(out, F.col("__qbucket").cast("int"))
+            .drop("__qkey", "__qbucket"))
 
 
 def row_id(df: DataFrame, order_cols: Sequence[str], out: str = "id", base: int = 0,

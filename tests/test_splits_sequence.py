@@ -37,3 +37,16 @@ def test_zip_by_position(spark):
     b = spark.createDataFrame([(20, "y"), (10, "x")], "k2 int, w string")
     got = sorted(tuple(r) for r in zip_by_position(a, b, ["k"], ["k2"]).select("pos", "v", "w").collect())
     assert got == [(0, "a", "x"), (1, "b", "y")]
+
+
+def test_merge_frames_union_equals_join_chain(spark):
+    from connlearn import merge_frames
+
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (4, None)], "id int, a string")
+    b = spark.createDataFrame([(2, 20.0), (3, 30.0)], "id int, b double")
+    c = spark.createDataFrame([(1, True), (3, None), (5, False)], "id int, c boolean")
+    fast = merge_frames([a, b, c], key="id")
+    chain = merge_frames([a, b, c], key="id", unique_keys=False)
+    norm = lambda df: sorted(tuple(r) for r in df.select("id", "a", "b", "c").collect())
+    assert norm(fast) == norm(chain)
+    assert len(norm(fast)) == 5
