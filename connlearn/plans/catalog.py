@@ -373,10 +373,13 @@ _INDEX_CTES = [LINES_SQL] + [_rank_sql(c) for c in CATS]
     f"FROM lines JOIN idx_{c} ON lines.{c} = idx_{c}.v GROUP BY ALL" for c in CATS))
 def q_string_index(spark, sf):
     _, enc = _encoded_lines(spark, sf)
-    parts = [enc.groupBy(F.lit(c).alias("column_name"), F.col(c).alias("value"),
-                         F.col(index_col(c)).cast("bigint").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
-             for c in CATS]
-    return split_union(parts)
+    # one pass: each row contributes a (column, value, index) triple per
+    # categorical column, then a single aggregate
+    triples = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"),
+                 F.col(index_col(c)).cast("bigint").alias("idx")) for c in CATS]))
+    stacked = enc.select(triples.alias("t")).select("t.*")
+    return stacked.groupBy("column_name", "value", "idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 _UNSEEN_WHERE = f"bucket < 7 AND orderpriority <> '{UNSEEN_PRIORITY}'"
@@ -399,9 +402,10 @@ def q_string_index_unseen(spark, sf):
     f"SELECT '{c}' AS column_name, CAST({_width_sql(c)} AS INTEGER) AS width" for c in CATS))
 def q_category_widths(spark, sf):
     _, enc = _encoded_lines(spark, sf)
-    parts = [enc.agg(F.max(F.size(vector_to_array(F.col(onehot_col(c))))).alias("width"))
-             .select(F.lit(c).alias("column_name"), F.col("width").cast("int")) for c in CATS]
-    return split_union(parts)
+    widths = enc.agg(*[F.max(F.size(vector_to_array(F.col(onehot_col(c))))).alias(c) for c in CATS])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("int").alias("width"))
+                                for c in CATS]))
+    return widths.select(pairs.alias("p")).select("p.*")
 
 
 @register("one_hot", _with(*_INDEX_CTES, _indexed_lines_sql()) + "SELECT " + ", ".join(
