@@ -8,9 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The token that marks a normal (non-attack) connection label,
-# and the slope of the logistic curve drawn by the reference.
+# and the logistic curve drawn by the reference (slope, points, range).
 NORMAL_TOKEN = "normal"
 CURVE_SLOPE = 0.5
+CURVE_POINTS = 1000
+CURVE_RANGE = (-10.0, 10.0)
 
 
 def _c(col: str | Column) -> Column:
@@ -99,3 +101,12 @@ def epoch_micros(col: str | Column, ntz: bool = True) -> Column:
     secs = F.date_part(F.lit("SECOND"), c)                  # decimal(8,6): seconds with fraction
     return (days * F.lit(86_400_000_000) + F.hour(c).cast("bigint") * F.lit(3_600_000_000)
             + F.minute(c).cast("bigint") * F.lit(60_000_000) + (secs * F.lit(1_000_000)).cast("bigint"))
+
+
+def logistic_curve(spark, points: int = CURVE_POINTS, lo: float = CURVE_RANGE[0], hi: float = CURVE_RANGE[1],
+                   slope: float = CURVE_SLOPE):
+    """``x, y``: the logistic curve at ``points`` evenly spaced x in
+    ``[lo, hi]`` (both ends included), as a table for plotting."""
+    step = (hi - lo) / (points - 1) if points > 1 else 0.0
+    x = F.lit(float(lo)) + F.col("id").cast("double") * F.lit(step)
+    return spark.range(points).select(x.alias("x")).select("x", sigmoid("x", slope).alias("y"))

@@ -118,3 +118,13 @@ def test_unseen_category_scores_as_none_of_known(spark):
     feats = model.transform(ts).filter(F.col("id") == 2).select("features").collect()[0][0].toArray()
     # the unseen slot was constant (0) in training: it scales to 0.0
     assert feats[names.index("service=<unseen>")] == 0.0
+
+
+def test_logistic_curve(spark):
+    from connlearn.functions import logistic_curve
+
+    rows = logistic_curve(spark).orderBy("x").collect()
+    xs = np.linspace(-10, 10, 1000)
+    assert len(rows) == 1000
+    assert np.allclose([r["x"] for r in rows], xs, atol=1e-12)
+    assert np.allclose([r["y"] for r in rows], 1 / (1 + np.exp(-0.5 * xs)), atol=1e-12)
