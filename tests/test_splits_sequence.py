@@ -50,3 +50,14 @@ def test_merge_frames_union_equals_join_chain(spark):
     norm = lambda df: sorted(tuple(r) for r in df.select("id", "a", "b", "c").collect())
     assert norm(fast) == norm(chain)
     assert len(norm(fast)) == 5
+
+
+def test_sequential_index_per_key_matches_row_number(spark):
+    from connlearn import sequential_index
+
+    rows = [(k, t, i) for i, (k, t) in enumerate((k, t) for k in "abc" for t in range(0, 300, 7))]
+    df = spark.createDataFrame(rows, "k string, t int, i int").withColumn("blk", (F.col("t") / 50).cast("int"))
+    got = {r["i"]: r["rn"] for r in sequential_index(df, ["t", "i"], "blk", partition_cols=["k"]).collect()}
+    expect = {r["i"]: r["rn"] - 1 for r in
+              df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "i"))).collect()}
+    assert got == expect

@@ -93,3 +93,12 @@ def test_hot_host_is_split_across_blocks(spark):
     got = {r["id"]: (r["count"], round(r["same_srv_rate"] * r["count"]))
            for r in same_host_window(df, frame_seconds=5, block_seconds=20).collect()}
     assert got == _plain(df, "host", "service", 5_000_000)
+
+
+def test_category_rollup_shuffle_join_beyond_broadcast_limit(spark):
+    df = spark.createDataFrame([("smurf.",), ("neptune.",), ("normal.",), ("wormx.",)], "label string")
+    mdf = spark.createDataFrame([("smurf", "dos"), ("neptune", "dos"), ("normal", "normal")],
+                                "label string, category string")
+    small = {r["category"]: r["n"] for r in category_rollup(df, mdf).collect()}
+    large = {r["category"]: r["n"] for r in category_rollup(df, mdf, broadcast_limit=1).collect()}
+    assert small == large == {"dos": 2, "normal": 1, "unknown": 1}
