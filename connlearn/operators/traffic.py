@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import epoch_micros, strip_terminator
-from .sequence import sequential_index
+from .sequence import quantile_blocks, sequential_index
 
 # Connection flags counted as SYN errors and as REJ errors.
 SYN_ERROR_FLAGS = ("S0", "S1", "S2", "S3")
@@ -122,25 +122,36 @@ def same_service_window(df: DataFrame, host: str = "host", service: str = "servi
 
 def last_n_host_window(df: DataFrame, host: str = "host", service: str = "service", flag: str = "flag",
                        ts: str = "ts", key: str = "id", n: int = 100, block_rows: int | None = None,
-                       time_block_seconds: float = 60.0,
+                       time_block_seconds: float = 60.0, numbering: str = "time",
+                       numbering_blocks: int | None = None,
                        serror_flags: Sequence[str] = SYN_ERROR_FLAGS,
                        rerror_flags: Sequence[str] = REJ_ERROR_FLAGS) -> DataFrame:
     """Add ``host_count, host_serror_rate, host_rerror_rate,
     host_same_srv_rate, host_diff_srv_rate`` over the last ``n`` connections
     to the host (ordered by ``ts``, then ``key``; the row itself included).
 
-    The per-host sequence number is computed block-wise (time blocks of
-    ``time_block_seconds``), then the row frame runs on sequence blocks of
-    ``block_rows`` (default ``32 * n``) with ghosts, so one busy host never
-    lands in a single task.
+    The per-host sequence number is computed block-wise, then the row frame
+    runs on sequence blocks of ``block_rows`` (default ``32 * n``) with
+    ghosts, so one busy host never lands in a single task. Numbering blocks:
+    ``numbering='time'`` cuts time into fixed ``time_block_seconds`` blocks;
+    ``numbering='quantile'`` into ``numbering_blocks`` blocks between global
+    time quantiles (bounds computed once, on the driver, so every plan branch
+    sees the same blocks): equal row counts per block overall, so a host's
+    block never exceeds its share of one block however dense it is.
     """
     if n < 1:
         raise ValueError("n must be >= 1")
     span = n - 1
     block = block_rows or max(FRAMES_PER_BLOCK * n, n)
     tblock = int(round(time_block_seconds * 1_000_000))
-    staged = (df.withColumn("__t", micros(df, ts))
-                .withColumn("__tblk", F.floor(F.col("__t") / F.lit(tblock)).cast("bigint")))
+    staged = df.withColumn("__t", micros(df, ts))
+    if numbering == "time":
+        staged = staged.withColumn("__tblk", F.floor(F.col("__t") / F.lit(tblock)).cast("bigint"))
+    elif numbering == "quantile":
+        blocks = numbering_blocks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        staged = quantile_blocks(staged, "__t", blocks, out="__tblk")
+    else:
+        raise ValueError("numbering must be 'time' or 'quantile'")
     seq = sequential_index(staged, ["__t", key], "__tblk", partition_cols=[host], out="__rn").drop("__tblk")
     names = {"count": "host_count", "serror": "host_serror_rate", "rerror": "host_rerror_rate",
              "same": "host_same_srv_rate", "diff": "host_diff_srv_rate"}

@@ -825,3 +825,12 @@ def q_last_n_host_window(spark, sf):
     return res.select("id", "host_count", *[_r6(F.col(c)).alias(c) for c in
                                             ("host_serror_rate", "host_rerror_rate", "host_same_srv_rate",
                                              "host_diff_srv_rate")])
+
+
+@register("last_n_host_window_quantile", ORACLES["last_n_host_window"])
+def q_last_n_host_window_quantile(spark, sf):
+    """Same features, numbering blocks between global time quantiles."""
+    res = last_n_host_window(traffic_frame(spark, sf), n=LAST_N, key="id", numbering="quantile")
+    return res.select("id", "host_count", *[_r6(F.col(c)).alias(c) for c in
+                                            ("host_serror_rate", "host_rerror_rate", "host_same_srv_rate",
+                                             "host_diff_srv_rate")])

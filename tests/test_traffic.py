@@ -67,6 +67,11 @@ def test_last_n_equals_plain(spark):
         got = {r["id"]: (r["host_count"], round(r["host_same_srv_rate"] * r["host_count"]))
                for r in last_n_host_window(df, n=n, block_rows=block_rows, time_block_seconds=tblock).collect()}
         assert got == plain
+    for blocks in (1, 5, 13):                 # blocks between global time quantiles
+        got = {r["id"]: (r["host_count"], round(r["host_same_srv_rate"] * r["host_count"]))
+               for r in last_n_host_window(df.repartition(3), n=n, block_rows=6, numbering="quantile",
+                                           numbering_blocks=blocks).collect()}
+        assert got == plain
 
 
 def test_category_rollup_dict_and_frame(spark):
