@@ -8,7 +8,8 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["label_vocabulary", "string_index", "row_id", "zip_by_position", "multinomial_label",
-         "confusion_matrix", "same_host_window", "same_service_window", "last_n_host_window", "hash_split",
+         "confusion_matrix", "same_host_window", "same_service_window", "last_n_host_window",
+         "last_n_host_window_quantile", "hash_split",
          "scaler_transform"]
 
 
