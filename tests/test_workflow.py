@@ -71,3 +71,18 @@ def test_report_from_gzip_files(spark, tmp_dir):
     assert [r["label"] for r in reps["vocabulary"].orderBy("class_id").collect()] == ["normal", "synflood", "scan"]
     assert reps["error"].collect()[0]["n"] == 5
     assert len(reps["confusion_matrix"].collect()) == 3
+
+
+def test_report_cli(spark, tmp_dir, capsys):
+    import gzip
+    import os
+
+    from connlearn.plans.report import main
+
+    for name, body in (("train.gz", TRAIN_LINES * 3), ("test.gz", TEST_LINES)):
+        with gzip.open(os.path.join(tmp_dir, name), "wt") as fh:
+            fh.write("\n".join(body) + "\n")
+    main(["--train", os.path.join(tmp_dir, "train.gz"), "--test", os.path.join(tmp_dir, "test.gz"),
+          "--fields", "9", "--classes", "binary", "--show"])
+    out = capsys.readouterr().out
+    assert "== confusion_matrix" in out and "== error" in out and "== weights" in out
