@@ -53,12 +53,16 @@ def _numeric(df: DataFrame, col: str):
 
 
 def quantile_blocks(df: DataFrame, col: str, n_blocks: int, out: str = "__block",
-                    rel_error: float = 0.001) -> DataFrame:
+                    rel_error: float | None = None) -> DataFrame:
     """Add ``out``: block number of ``col`` between approximate quantiles.
 
     The boundaries (``n_blocks - 1`` numbers) are computed by one distributed
-    sketch job; blocks are monotone in ``col``.
+    sketch job and fixed in the plan, so every branch and every recomputation
+    sees the same blocks; blocks are monotone in ``col``. The sketch error
+    defaults to a quarter of a block.
     """
+    if rel_error is None:
+        rel_error = min(0.001, 0.25 / max(n_blocks, 1))
     keyed = df.withColumn("__qkey", _numeric(df, col))
     probs = [i / n_blocks for i in range(1, n_blocks)]
     bounds = keyed.approxQuantile("__qkey", probs, rel_error) if probs else []
