@@ -718,6 +718,26 @@ def q_confusion_matrix(spark, sf):
     return confusion_matrix(pairs, k)
 
 
+# Classes of the events vocabulary (event types minus the held-out one): the
+# SQL pivot needs the column count as a literal; Spark derives it from data.
+EVENT_CLASSES = 4
+
+
+@register("confusion_matrix_wide", _with(*_EVAL_CTES, "k AS (SELECT count(*) AS k FROM vocab)") + """,
+cells AS (SELECT unnest(range(k * k)) AS r, k FROM k),
+grid AS (SELECT CAST(r // k AS INTEGER) AS actual, CAST(r % k AS INTEGER) AS predicted FROM cells),
+long AS (SELECT grid.actual, grid.predicted, count(pairs.label) AS n
+         FROM grid LEFT JOIN pairs ON grid.actual = CAST(pairs.label AS INTEGER)
+              AND grid.predicted = CAST(pairs.prediction AS INTEGER)
+         GROUP BY grid.actual, grid.predicted)
+SELECT actual, """ + ", ".join(
+    f"CAST(sum(CASE WHEN predicted = {j} THEN n ELSE 0 END) AS BIGINT) AS p_{j}" for j in range(EVENT_CLASSES))
+    + " FROM long GROUP BY actual")
+def q_confusion_matrix_wide(spark, sf):
+    pairs, k = _pairs(spark, sf)
+    return confusion_matrix(pairs, k, form="wide")
+
+
 @register("confusion_matrix_from_keys", _with(*_EVAL_CTES, "k AS (SELECT count(*) AS k FROM vocab)") + """,
 cells AS (SELECT unnest(range(k * k)) AS r, k FROM k),
 grid AS (SELECT CAST(r // k AS INTEGER) AS actual, CAST(r % k AS INTEGER) AS predicted FROM cells)
