@@ -335,6 +335,15 @@ def q_multinomial_label(spark, sf):
     return multinomial_label(ev, vocab, "label", "class", match="contains", drop_unknown=False)
 
 
+@register("multinomial_label_exact", _with(EVENTS_SQL, _EVENT_VOCAB_CTE) + """
+SELECT ev.event_id, ev.label, CAST(coalesce(vocab.class_id, -1) AS DOUBLE) AS class
+FROM ev LEFT JOIN vocab ON left(ev.label, length(ev.label) - 1) = vocab.label""")
+def q_multinomial_label_exact(spark, sf):
+    vocab = _event_vocabulary(spark, sf)
+    ev = _events(spark, sf).select("event_id", "label")
+    return multinomial_label(ev, vocab, "label", "class", match="exact", drop_unknown=False)
+
+
 @register("multinomial_known", _with(EVENTS_SQL, _EVENT_VOCAB_CTE, _EVENT_CLASS_CTE) +
           "SELECT event_id, class FROM cls WHERE class >= 0")
 def q_multinomial_known(spark, sf):
