@@ -28,3 +28,19 @@ def test_stream_scoring_equals_batch(spark, tmp_dir):
     q2.processAllAvailable()
     q2.stop()
     assert sum(r["n"] for r in spark.sql("SELECT * FROM conf_counts").collect()) == len(TEST_LINES)
+
+
+def test_stream_from_parquet_records(spark, tmp_dir):
+    tr = parse_records(lines_df(spark, TRAIN_LINES * 2), CONN_SCHEMA)
+    model = build_pipeline(CONN_SCHEMA, categorical=False, classes="all").fit(tr)
+    src = os.path.join(tmp_dir, "pq")
+    parse_records(lines_df(spark, TEST_LINES), CONN_SCHEMA).write.parquet(src)
+    scored = score_stream(model, read_record_stream(spark, src, CONN_SCHEMA, fmt="parquet"), keep=("label",))
+    q = (scored.writeStream.format("memory").queryName("pq_scores").outputMode("append")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ckpt_pq")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM pq_scores").collect())
+    batch = score_stream(model, parse_records(lines_df(spark, TEST_LINES), CONN_SCHEMA), keep=("label",))
+    assert got == sorted(tuple(r) for r in batch.collect())
+    assert len(got) == 5                       # the unseen label is dropped by the label stage
