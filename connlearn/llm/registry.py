@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, sharding, simhash
+from . import bpe, langid, mixing, quality, secrets, sharding, simhash, spotsigs, warc
 
-MODULES = (sharding, secrets, quality, simhash, mixing)
+MODULES = (warc, langid, sharding, secrets, quality, simhash, spotsigs, mixing, bpe)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
