@@ -55,22 +55,23 @@ def without(text: Column, characters: str) -> Column:
     return F.char_length(F.translate(text, characters, "")).cast("long")
 
 
-def measurements(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with one struct column ``m`` of measurements; a null text counts
-    as an empty one. ``df`` must have no column named ``_t``, ``_w`` or ``m``."""
-    t, w = F.col("_t"), F.col("_w")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    base = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_w", words(F.col("_t")))
-    chars = F.char_length(t).cast("long")
-    return base.withColumn("m", F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        without(t, SPACE).alias("word_chars"),
-        (chars - without(t, SYMBOLS)).alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (chars - without(t, CAPITALS)).alias("n_capitals"),
-        repeated_window_words(w).alias("n_repeat_words"),
-    )).drop("_t", "_w")
+def measurements(text: Column) -> Column:
+    """The struct of all measurements of a text; null counts as empty."""
+    def measure(t):
+        def of_words(w):
+            def of_lines(lines):
+                chars = F.char_length(t).cast("long")
+                return F.struct(
+                    F.size(w).cast("long").alias("n_words"),
+                    without(t, SPACE).alias("word_chars"),
+                    (chars - without(t, SYMBOLS)).alias("n_symbols"),
+                    (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+                    F.size(lines).cast("long").alias("n_lines"),
+                    (chars - without(t, CAPITALS)).alias("n_capitals"),
+                    repeated_window_words(w).alias("n_repeat_words"))
+            return let(F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""), of_lines)
+        return let(words(t), of_words)
+    return let(F.coalesce(text, F.lit("")), measure)
 
 
 @dataclass(frozen=True)
@@ -104,18 +105,29 @@ def policy_mask(policy: str) -> int:
     return sum(BIT[name] for name in POLICIES[policy])
 
 
+def failure_bits(m: Column) -> Column:
+    """Bit i is set if rule i fails; every rule is evaluated once."""
+    mask = F.lit(0).cast("long")
+    for i, r in enumerate(RULES):
+        mask = mask.bitwiseOR(F.when(r.fails(m), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return mask
+
+
+def entry(text: Column) -> Column:
+    """A ledger entry: struct(m, mask), with the measurements bound once, so
+    that a filter on the mask does not evaluate them again."""
+    return let(measurements(text), lambda m: F.struct(m.alias("m"), failure_bits(m).alias("mask")))
+
+
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with its measurements ``m`` and failure bits ``mask`` (long).
+    """``df`` with its measurements ``m`` (struct) and failure bits ``mask``
+    (long), replacing columns of these names.
 
     Null and empty texts have zero words and fail ``too_few_words``; repeated
     rows get equal bits; all other columns are kept as they are.
     """
-    bits = [F.when(r.fails(F.col("m")), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-            for i, r in enumerate(RULES)]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    return measurements(df, text).withColumn("mask", mask)
+    led = df.withColumn("_entry", entry(F.col(text)))
+    return led.withColumn("m", F.col("_entry.m")).withColumn("mask", F.col("_entry.mask")).drop("_entry")
 
 
 def rejected(mask: Column, policy: str) -> Column:
@@ -150,7 +162,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the current policy keeps."""
-    return ledger(docs).filter(~rejected(F.col("mask"), POLICY)).select(*docs.columns)
+    return docs.filter(~rejected(entry(F.col("text"))["mask"], POLICY))
 
 
 ORACLE = {"op5_quality_rules": """
