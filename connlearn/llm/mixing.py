@@ -46,8 +46,9 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST,
 
 
 def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = SEED, **targets) -> DataFrame:
-    """(key, source, size, source_size, target, epochs, part, taken): how much
-    of every row the mix takes.
+    """(key, source, size, nth, source_size, target, epochs, part, taken): how
+    much of every row the mix takes. ``nth`` counts rows equal in key, source
+    and size from 0.
 
     Rows get hash-random keys; within a source they are sorted by key range
     and a distributed prefix sum of sizes finds the cut. ``epochs`` whole
@@ -75,8 +76,8 @@ def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = SEED, **
     out = out.withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.col("j") * F.col("size")))
     out = out.withColumn("part", part.cast("long"))
-    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", "epochs",
-                      "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", F.col("j").alias("nth"),
+                      "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,20 +89,29 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, with the
     columns of ``docs``. A copy taken in part (one per source) keeps its first
-    words, joined by one space, and its own n_chars. Ids must be unique, as
-    the stages before see to."""
-    plan = mix(docs, "doc_id", "source", word_count(F.col("text"))).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "epochs", "part")
+    words, joined by one space, and its own n_chars. Rows equal in id, source
+    and size are numbered by text hash. Column names may be any."""
+    size = word_count(F.col("text"))
+    plan = mix(docs, "doc_id", "source", size).filter("taken > 0").select(
+        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "nth",
+        "epochs", "part")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
+                       F.col("source").alias("src"), size.alias("size"))
+    same = Window.partitionBy("id", "src", "size").orderBy(F.xxhash64("row.text"))
+    rows = rows.withColumn("j", (F.row_number().over(same) - 1).cast("long"))
+    taken = rows.join(plan, F.col("id").eqNullSafe(F.col("p_id")) & F.col("src").eqNullSafe(F.col("p_source"))
+                      & (F.col("size") == F.col("p_size")) & (F.col("j") == F.col("nth")))
     copies = F.concat(F.expr("array_repeat(-1L, int(epochs))"),
-                      F.when(F.col("part") == F.col("m_size"), F.array(F.lit(-1).cast("long")))
+                      F.when(F.col("part") == F.col("p_size"), F.array(F.lit(-1).cast("long")))
                       .when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("m_id"))).withColumn("_words", F.explode(copies))
-    cut = F.concat_ws(" ", F.slice(words(F.col("text")), 1, F.col("_words").cast("int")))
-    out = taken.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(cut))
+    taken = taken.select("row", F.explode(copies).alias("first"))
+    whole, text = F.col("first") < 0, F.col("row.text")
+    cut = F.concat_ws(" ", F.slice(words(text), 1, F.col("first").cast("int")))
+    new = {"text": F.when(whole, text).otherwise(cut)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars"))
-                             .otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(
+            F.char_length(cut).cast(docs.schema["n_chars"].dataType))
+    return taken.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE = {"op8_source_mixing": f"""

@@ -86,7 +86,7 @@ RULES = (
     Rule("too_few_words", lambda m: m["n_words"] < 50),
     Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
     Rule("symbols", lambda m: 100 * m["n_symbols"] > 20 * m["n_words"]),
-    Rule("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    Rule("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
     Rule("capitals", lambda m: 100 * m["n_capitals"] > 40 * m["word_chars"]),
     Rule("word_length", lambda m: (m["word_chars"] > 20 * m["n_words"]) | (m["word_chars"] < 2 * m["n_words"])),
 )
@@ -189,7 +189,7 @@ m AS (
   FROM d JOIN w USING (rid) JOIN lin USING (rid) LEFT JOIN rep USING (rid)),
 mask AS (
   SELECT *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint
-    + 4 * (100 * n_symbols > 20 * n_words)::bigint + 8 * (100 * n_dup_lines > 30 * n_lines)::bigint
+    + 4 * (100 * n_symbols > 20 * n_words)::bigint + 8 * (100 * n_dup_lines > 50 * n_lines)::bigint
     + 16 * (100 * n_capitals > 40 * word_chars)::bigint
     + 32 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::bigint AS mask
   FROM m)

@@ -122,8 +122,10 @@ class BlobLedger:
     def paths(self, versions: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         """Findings joined back to every path: one row per row of
         ``versions``, with the columns ``keep`` and the findings."""
-        addressed = versions.select(*keep, address(F.col(text)).alias("blob"))
-        return addressed.join(self.findings(), "blob")
+        found = self.findings().withColumnRenamed("blob", "_blob")
+        addressed = versions.select(*keep, address(F.col(text)).alias("_address"))
+        return addressed.join(found, F.col("_address") == F.col("_blob")).drop("_address").withColumnRenamed(
+            "_blob", "blob")
 
 
 def scan_all(spark: SparkSession, versions: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -162,8 +164,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     brackets. Only blobs with findings travel back to the documents, as
     (address, spans); texts are redacted where they are read."""
     ledger = BlobLedger(spark, staging_path(spark, "blob-ledger")).update(docs)
-    hits = ledger.findings().filter("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    tagged = docs.join(hits, address(docs["text"]) == F.col("_blob"), "left")
+    hits = ledger.findings().filter("spans <> ''").select("blob", "spans")
+    tagged = docs.select(F.struct(*docs.columns).alias("row"), address(F.col("text")).alias("address"))
+    tagged = tagged.join(hits, F.col("address") == F.col("blob"), "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +181,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                                             for n, s, t in zip(cols["n_chars"], spans, texts)], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return map_arrow(tagged.select(*names, "_spans"), run, docs.schema)
+    return map_arrow(tagged.select(*[F.col("row")[c].alias(c) for c in names], F.col("spans").alias("_spans")), run,
+                     docs.schema)
 
 
 QUERIES = {"op4_secret_scan": op4_secret_scan}

@@ -128,19 +128,21 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every component the document with its smallest id.
-    Should that id occur on several rows, one of them stays (the one whose
-    text, then other columns, come first). Rows without an id that share a
-    component with none that has one keep one row as well."""
-    out = near_duplicates(docs.select("doc_id", "text"))
-    first = out.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = first.groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("k_n"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("k_id")))
-    single = kept.filter("k_n = 1").select(*docs.columns)
-    rows = kept.filter("k_n > 1").select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"))
-    rows = rows.withColumn("fp_key", F.col("r.doc_id"))
-    repeated = rows.groupBy("fp_key").agg(F.min("r").alias("r")).select("r.*")
-    return single.unionAll(repeated.select(*docs.columns))
+    """Pipeline stage: of every component the document with its smallest id
+    (null ids last, then by text hash). Rows are told apart by id and text, so
+    different texts under one id are different documents; rows equal in both
+    are one, the first by its other columns. Column names may be any."""
+    me = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"),
+                  F.xxhash64("text").alias("h"))
+    prints = staged(fingerprints(docs.select(me.alias("key"), "text"), "key"), "prints")
+    keep = components(prints).filter(F.col("key") == F.col("component_id")).groupBy("key").agg(
+        F.count("*").alias("n"))
+    keep = keep.select(F.col("key.n").alias("kn"), F.col("key.i").alias("ki"), F.col("key.h").alias("kh"), "n")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), me.alias("me"))
+    kept = rows.join(keep, (F.col("me.n") == F.col("kn")) & (F.col("me.i") == F.col("ki"))
+                     & (F.col("me.h") == F.col("kh")))
+    repeated = kept.filter("n > 1").groupBy("me").agg(F.min("row").alias("row"))
+    return kept.filter("n = 1").select("row.*").unionAll(repeated.select("row.*"))
 
 
 QUERIES = {"op6_simhash_near_dedup": op6_simhash_near_dedup}
