@@ -8,7 +8,7 @@ from .merge import merge_features, merge_frames, zip_by_position
 from .model import (build_pipeline, fit_logistic, load_model, logistic, lr_weights, save_model, score,
                     score_with_weights)
 from .projections import drop_columns, drop_positions, project_categorical, project_label, project_numeric
-from .sequence import quantile_blocks, row_id, sequential_index
+from .sequence import order_blocks, row_id
 from .splits import hash_split, random_split, split_union
 from .stages import ClassLabeler, ClassLabelerModel
 from .traffic import (attack_category, category_rollup, last_n_host_window, same_host_window,

@@ -3,13 +3,13 @@ confusion counts and the dense k x k confusion matrix."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ok_ko, pair_key
+from ..functions.columns import ok_ko, pair_key, pair_key_part
 
-# Largest k*k grid whose count table is broadcast to the grid join.
-BROADCAST_GRID_CELLS = 1_000_000
+OFF_GRID = ("raise", "extra")
 
 
 def prediction_pairs(scored: DataFrame, label_col: str = "class", prediction_col: str = "prediction") -> DataFrame:
@@ -44,8 +44,6 @@ def evaluate(pairs: DataFrame, label: str = "label", prediction: str = "predicti
 
 def evaluator_accuracy(pairs: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
     """Accuracy from Spark ML's evaluator (a cross-check of :func:`evaluate`)."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="accuracy")
     return ev.evaluate(pairs)
 
@@ -61,33 +59,49 @@ def confusion_counts(pairs: DataFrame, label: str = "label", prediction: str = "
     return res.orderBy("actual", "predicted") if sort else res
 
 
+def _on_grid(c: Column, k: int, off_grid: str) -> Column:
+    """The class id, or what ``off_grid`` makes of one outside 0 .. k-1."""
+    if off_grid not in OFF_GRID:
+        raise ValueError(f"off_grid must be one of {OFF_GRID}")
+    other = F.lit(k) if off_grid == "extra" else F.raise_error(
+        F.concat(F.lit(f"class outside 0..{k - 1}: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("int")
+    return F.when(c.isNotNull() & (c >= 0) & (c < k), c).otherwise(other)
+
+
+def _dense(counts: DataFrame, k: int, off_grid: str) -> DataFrame:
+    """All cells of (actual, predicted, n) counts; every row counts in one."""
+    cells = (counts.select(_on_grid(F.col("actual"), k, off_grid).alias("actual"),
+                           _on_grid(F.col("predicted"), k, off_grid).alias("predicted"), "n")
+             .groupBy("actual", "predicted").agg(F.sum("n").alias("n")))
+    side = k + (off_grid == "extra")
+    grid = counts.sparkSession.range(side * side).select(
+        F.expr(f"cast(id div {side} as int)").alias("actual"), F.expr(f"cast(id % {side} as int)").alias("predicted"))
+    return (grid.join(cells, on=["actual", "predicted"], how="left")
+            .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+
+
 def confusion_matrix(pairs: DataFrame, num_classes: int, label: str = "label", prediction: str = "prediction",
-                     form: str = "long") -> DataFrame:
+                     form: str = "long", off_grid: str = "raise") -> DataFrame:
     """Dense confusion matrix, rows = actual, columns = predicted, absent
-    pairs 0.
+    pairs 0. Its cells always sum to the number of pairs.
 
     ``long``: ``actual, predicted, n`` for all k*k cells; ``wide``: one row
-    per actual class with columns ``p_0 .. p_{k-1}``. The grid comes from
-    ``range(k*k)`` (no cross join); the count table has at most k*k rows and
-    is broadcast only below :data:`BROADCAST_GRID_CELLS`.
+    per actual class with columns ``p_0 .. p_{k-1}`` (for k that a table can
+    have as columns). A class outside ``0 .. k-1`` (-1 for an unknown label, a
+    null) is an error, or with ``off_grid='extra'`` counts in an extra row or
+    column numbered k. The grid comes from ``range`` (no cross join).
     """
     k = int(num_classes)
     if k < 1:
         raise ValueError("num_classes must be >= 1")
-    spark = pairs.sparkSession
-    grid = spark.range(k * k).select((F.col("id") / k).cast("int").alias("actual"),
-                                     (F.col("id") % k).cast("int").alias("predicted"))
-    counts = confusion_counts(pairs, label, prediction, sort=False).drop("key")
-    if k * k <= BROADCAST_GRID_CELLS:
-        counts = F.broadcast(counts)
-    cells = (grid.join(counts, on=["actual", "predicted"], how="left")
-             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    cells = _dense(confusion_counts(pairs, label, prediction, sort=False), k, off_grid)
     if form == "long":
         return cells
     if form != "wide":
         raise ValueError("form must be 'long' or 'wide'")
-    wide = cells.groupBy("actual").pivot("predicted", list(range(k))).agg(F.sum("n"))
-    return wide.select("actual", *[F.col(str(j)).cast("bigint").alias(f"p_{j}") for j in range(k)])
+    side = k + (off_grid == "extra")
+    wide = cells.groupBy("actual").pivot("predicted", list(range(side))).agg(F.sum("n"))
+    return wide.select("actual", *[F.col(str(j)).cast("bigint").alias(f"p_{j}") for j in range(side)])
 
 
 def matrix_error(cells: DataFrame) -> DataFrame:
@@ -96,17 +110,11 @@ def matrix_error(cells: DataFrame) -> DataFrame:
     return cells.agg((F.sum(off) * 100.0 / F.sum("n")).alias("error_pct"))
 
 
-def matrix_from_keys(counts: DataFrame, num_classes: int, key: str = "key", n: str = "n") -> DataFrame:
+def matrix_from_keys(counts: DataFrame, num_classes: int, key: str = "key", n: str = "n",
+                     off_grid: str = "raise") -> DataFrame:
     """Dense ``actual, predicted, n`` grid from ``'<actual>_<predicted>'``
-    keyed counts (the composite-key form); absent cells are 0."""
-    from ..functions.columns import pair_key_part
-
+    keyed counts (the composite-key form); repeated keys add up, absent cells
+    are 0, keys off the grid as in :func:`confusion_matrix`."""
     parsed = counts.select(pair_key_part(key, 0).alias("actual"), pair_key_part(key, 1).alias("predicted"),
                            F.col(n).cast("bigint").alias("n"))
-    k = int(num_classes)
-    grid = counts.sparkSession.range(k * k).select((F.col("id") / k).cast("int").alias("actual"),
-                                                   (F.col("id") % k).cast("int").alias("predicted"))
-    if k * k <= BROADCAST_GRID_CELLS:
-        parsed = F.broadcast(parsed)
-    return (grid.join(parsed, on=["actual", "predicted"], how="left")
-            .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    return _dense(parsed, int(num_classes), off_grid)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import NORMAL_TOKEN, binary_class, class_name, strip_terminator, vocabulary_class
+from .sequence import row_id
 
 DEFAULT_MAX_CLASSES = 10_000
 
@@ -21,21 +22,21 @@ def label_vocabulary(df: DataFrame, label_col: str = "label") -> DataFrame:
     """``label, n, class_id``: labels without their terminator, by frequency
     descending, ties by name; the rank (0-based) is the class id.
 
-    The ranking window runs over the (tiny) frequency table only.
+    The rank is a distributed numbering of the frequency table.
     """
     freq = (df.select(strip_terminator(label_col).alias("label"))
               .groupBy("label").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.orderBy(F.col("n").desc(), F.col("label").asc())
-    return freq.withColumn("class_id", (F.row_number().over(w) - 1).cast("bigint"))
+    ranked = row_id(freq.withColumn("__rank", -F.col("n")), ["__rank", "label"], out="class_id")
+    return ranked.select("label", "n", "class_id")
 
 
 def collect_vocabulary(vocab: DataFrame, max_classes: int = DEFAULT_MAX_CLASSES) -> list[str]:
     """The vocabulary as a driver-side list (a fitted model parameter).
 
-    Its size is the number of distinct labels; it is checked before it is
-    pulled, and an error (not a truncation) is raised above ``max_classes``.
+    Planned as a top-n on the frequency table (the ranking is not run). Its
+    size is the number of distinct labels; it is checked before it is pulled, and an error (not a truncation) is raised above ``max_classes``.
     """
-    head = vocab.orderBy("class_id").select("label").limit(max_classes + 1).collect()
+    head = vocab.orderBy(F.col("n").desc(), F.col("label").asc()).select("label").limit(max_classes + 1).collect()
     if len(head) > max_classes:
         raise ValueError(f"more than {max_classes} distinct labels; raise max_classes "
                          "if the label domain really is that large")

@@ -12,23 +12,33 @@ from .sequence import row_id
 
 
 def merge_frames(frames: Sequence[DataFrame], key: str | Sequence[str] = "id",
-                 how: str = "full_outer", unique_keys: bool = True) -> DataFrame:
+                 how: str = "full_outer", unique_keys: bool = False) -> DataFrame:
     """Merge frames that share a key column and carry different other columns.
 
-    Full outer merge of frames whose key is unique within each frame
-    (``unique_keys``, the row-id case): one ``unionByName`` and one
-    aggregation by key - a single shuffle however many frames, where a chain
-    of full outer joins re-shuffles after every join (its output partitioning
-    is unknown, the key may come from either side). Otherwise, or for other
-    join types, a chain of equi-joins.
+    A chain of equi-joins (duplicate keys multiply, null keys match nothing).
+    ``unique_keys=True`` states that no key repeats within a frame, which
+    allows one ``unionByName`` and one aggregation by key in place of a chain
+    of full outer joins: a single shuffle however many frames. The statement
+    is checked in the same aggregation: a repeated key is an error. Rows with
+    a null key stay rows of their own.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if how in ("full_outer", "outer", "full") and unique_keys and len(frames) > 1:
-        value_cols = [c for f in frames for c in f.columns if c not in keys]
-        if len(value_cols) == len(set(value_cols)):
-            stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-            return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in value_cols])
-    return reduce(lambda a, b: a.join(b, on=key, how=how), frames)
+    if not (unique_keys and how in ("full_outer", "outer", "full") and len(frames) > 1):
+        return reduce(lambda a, b: a.join(b, on=keys, how=how), frames)
+    value_cols = [c for f in frames for c in f.columns if c not in keys]
+    if len(value_cols) != len(set(value_cols)):
+        raise ValueError("unique_keys needs frames whose other columns have different names")
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    tagged = [f.withColumn("__frame", F.lit(i)).withColumn(
+        "__alone", F.when(no_key, F.concat_ws("-", F.lit(i), F.monotonically_increasing_id())))
+        for i, f in enumerate(frames)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    repeats = F.count(F.lit(1)) != F.count_distinct("__frame")
+    merged = stacked.groupBy(*keys, "__alone").agg(
+        repeats.alias("__repeats"), *[F.first(c, ignorenulls=True).alias(c) for c in value_cols])
+    named = F.concat(F.lit("repeated key: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    checked = F.when(F.col("__repeats"), F.raise_error(named)).otherwise(F.lit(True))
+    return merged.filter(checked).select(*keys, *value_cols)
 
 
 def merge_features(left: DataFrame, right: DataFrame, key: str = "id", how: str = "full_outer") -> DataFrame:

@@ -1,89 +1,134 @@
 """Distributed sequential numbering.
 
 ``row_number()`` over a whole frame (or over one hot key) runs in a single
-task. Here rows are first cut into *blocks* that are monotone in the sort
-order (time ranges, key quantiles); each block is numbered on its own, and a
-running sum over the small per-block count table shifts every block to its
-global offset. Work per task is bounded by the block size, not by the key.
+task. Here rows are first cut into *blocks* that are contiguous in the sort
+order; each block is numbered on its own and shifted by the number of rows in
+the blocks before it. The bounds are sampled order keys over *all* order
+columns (and a hash of the whole row), so neither ties in the leading column
+nor a hot key make a large block: only rows equal in every column stay
+together. Null order values come first, as in Spark's sort; every input row is
+an output row.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import epoch_micros
 
+#: Rows per block, until that would need more than MOST_BLOCKS blocks; keys
+#: sampled per block. At most MOST_BLOCKS * KEYS_PER_BLOCK keys reach the driver.
+BLOCK_ROWS, MOST_BLOCKS, KEYS_PER_BLOCK = 200_000, 20_000, 16
+_SHARES = 1 << 20
 
-def sequential_index(df: DataFrame, order_cols: Sequence[str], block_col: str,
-                     partition_cols: Sequence[str] = (), out: str = "rn", base: int = 0) -> DataFrame:
-    """Add ``out`` = position of the row within ``partition_cols`` in
-    ``order_cols`` order (starting at ``base``).
 
-    ``block_col`` must be monotone in that order within each partition key
-    (ordering by ``(block_col, *order_cols)`` equals ordering by
-    ``order_cols``). Give ``order_cols`` a unique tie-breaker, so the
-    numbering is the same on every recomputation.
-    """
-    keys = [*partition_cols, block_col]
-    w_local = Window.partitionBy(*keys).orderBy(*order_cols)
-    numbered = df.withColumn("__local", F.row_number().over(w_local))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    w_off = (Window.partitionBy(*partition_cols).orderBy(block_col)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
-    return (numbered.join(offsets, on=keys, how="inner")
-            .withColumn(out, (F.col("__off") + F.col("__local") - 1 + F.lit(base)).cast("bigint"))
-            .drop("__off", "__local"))
-
-
-def _numeric(df: DataFrame, col: str):
-    dt = df.schema[col].dataType
+def order_value(df: DataFrame, name: str) -> Column:
+    """A column as a value of the same order that JSON carries exactly."""
+    dt = df.schema[name].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return epoch_micros(col, ntz=isinstance(dt, T.TimestampNTZType)).cast("double")
+        return epoch_micros(name, ntz=isinstance(dt, T.TimestampNTZType))
     if isinstance(dt, T.DateType):
-        return F.datediff(F.col(col), F.lit("1970-01-01").cast("date")).cast("double")
-    if isinstance(dt, T.NumericType):
-        return F.col(col).cast("double")
-    raise TypeError(f"row_id needs a numeric, date or timestamp leading order column, got {dt}")
+        return F.datediff(F.col(name), F.lit("1970-01-01").cast("date"))
+    if isinstance(dt, (T.NumericType, T.StringType, T.BooleanType)):
+        return F.col(name)
+    raise TypeError(f"cannot order by a column of type {dt}")
+
 
+def _order_key(df: DataFrame, cols: Sequence[str], whole_row: bool) -> Column:
+    fields = [order_value(df, c).alias(f"k{i}") for i, c in enumerate(cols)]
+    if whole_row:
+        fields.append(F.xxhash64(*[F.col(c) for c in df.columns]).alias("tie"))
+    return F.struct(*fields)
 
-def quantile_blocks(df: DataFrame, col: str, n_blocks: int, out: str = "__block",
-                    rel_error: float | None = None) -> DataFrame:
-    """Add ``out``: block number of ``col`` between approximate quantiles.
 
-    The boundaries (``n_blocks - 1`` numbers) are computed by one distributed
-    sketch job and fixed in the plan, so every branch and every recomputation
-    sees the same blocks; blocks are monotone in ``col``. The sketch error
-    defaults to a quarter of a block.
+class OrderBlocks:
+    """Bounds that cut the order of some columns into blocks of about
+    ``block_rows`` rows, taken from the rows of ``df``.
+
+    One job counts the rows and one samples keys (by hash, so a recomputation
+    samples the same); the bounds become a literal that each row searches in
+    log2(blocks) steps. The sample decides where blocks end, not what the rows
+    of the result are.
     """
-    if rel_error is None:
-        rel_error = min(0.001, 0.25 / max(n_blocks, 1))
-    keyed = df.withColumn("__qkey", _numeric(df, col))
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    bounds = keyed.approxQuantile("__qkey", probs, rel_error) if probs else []
-    if not bounds:
-        return keyed.drop("__qkey").withColumn(out, F.lit(0))
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="__qkey", outputCol="__qbucket", handleInvalid="keep")
-    return (bucketizer.transform(keyed).withColumn(out, F.col("__qbucket").cast("int"))
-            .drop("__qkey", "__qbucket"))
+
+    def __init__(self, df: DataFrame, cols: Sequence[str], block_rows: int, whole_row: bool):
+        self.cols, self.whole_row, self.bounds, self.n_bounds = cols, whole_row, None, 0
+        n = df.count()
+        blocks = max(1, min(MOST_BLOCKS, math.ceil(n / max(1, block_rows))))
+        if blocks == 1:
+            return
+        keyed = df.select(_order_key(df, cols, whole_row).alias("key"))
+        share = int(min(1.0, KEYS_PER_BLOCK * blocks / n) * _SHARES) + 1
+        sample = keyed.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(_SHARES)) < share).distinct()
+        keys = [r.j for r in sample.orderBy("key").select(
+            F.to_json("key", {"ignoreNullFields": "false"}).alias("j")).collect()]
+        chosen = keys[max(1, len(keys) // blocks)::max(1, len(keys) // blocks)]
+        if chosen:
+            kind = T.ArrayType(keyed.schema["key"].dataType)
+            self.bounds = F.from_json(F.lit("[" + ",".join(chosen) + "]"), kind)
+            self.n_bounds = len(chosen)
+
+    def place(self, df: DataFrame, cols: Sequence[str] | None = None, out: str = "__block") -> DataFrame:
+        """Add ``out``: block number, ascending in the order of ``cols`` (nulls
+        first), never splitting rows equal in ``cols`` (and, with
+        ``whole_row``, in every other column)."""
+        if self.bounds is None:
+            return df.withColumn(out, F.lit(0))
+        keyed = df.withColumn("__key", _order_key(df, cols or self.cols, self.whole_row))
+        steps = F.from_json(F.lit(json.dumps([1 << i for i in reversed(range(self.n_bounds.bit_length()))])),
+                            "array<int>")
+        at = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(
+            (lo + s <= self.n_bounds) & (F.get(self.bounds, lo + s - 1) <= F.col("__key")), lo + s).otherwise(lo))
+        return keyed.withColumn(out, at).drop("__key")
+
+
+def order_blocks(df: DataFrame, cols: Sequence[str], out: str = "__block", block_rows: int = BLOCK_ROWS,
+                 whole_row: bool = True) -> DataFrame:
+    """``df`` with its block number over ``cols``; see :class:`OrderBlocks`."""
+    return OrderBlocks(df, cols, block_rows, whole_row).place(df, out=out)
+
+
+def block_offsets(df: DataFrame, groups: Sequence[str], block: str, measures: Sequence[str],
+                  prefix: str) -> tuple[DataFrame, Column]:
+    """(offsets, join condition): for every group and block the sums of
+    ``measures`` (named ``prefix + measure``) over the group's earlier blocks.
+    One row per group and block; null groups are groups."""
+    totals = df.groupBy(*groups, block).agg(*[F.sum(m).alias(m) for m in measures])
+    earlier = Window.partitionBy(*groups).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"{prefix}g{i}" for i in range(len(groups))]
+    offsets = totals.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col(block).alias(f"{prefix}b"),
+                            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(prefix + m) for m in measures])
+    same = F.col(block) == F.col(f"{prefix}b")
+    for g, n in zip(groups, names):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    return offsets, same
 
 
 def row_id(df: DataFrame, order_cols: Sequence[str], out: str = "id", base: int = 0,
-           n_blocks: int | None = None) -> DataFrame:
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Consecutive ids ``base, base+1, ...`` in ``order_cols`` order.
 
     Replaces ``monotonically_increasing_id`` (whose values depend on the
-    partition layout) wherever ids must line up across frames. The first
-    order column must be numeric/date/timestamp; make the order unique.
+    partition layout) wherever ids must line up across frames. Nulls come
+    first; ties are ordered by a hash of the row, so the ids of rows that
+    differ are the same on every run. The counts per block (at most 20,000
+    numbers) become a literal, so the rows themselves are shuffled once.
     """
-    spark: SparkSession = df.sparkSession
-    if n_blocks is None:
-        n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    blocked = quantile_blocks(df, order_cols[0], n_blocks)
-    return sequential_index(blocked, order_cols, "__block", out=out, base=base).drop("__block")
+    cut = OrderBlocks(df, order_cols, block_rows, True)
+    blocked = cut.place(df)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    inside = Window.partitionBy("__block").orderBy(*order_cols, tie)
+    counts = {r["__block"]: r["count"] for r in blocked.groupBy("__block").count().collect()} if cut.n_bounds else {}
+    at, starts = 0, [0]
+    for b in range(cut.n_bounds):
+        at += counts.get(b, 0)
+        starts.append(at)
+    start = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), F.col("__block"))
+    return (blocked.withColumn(out, (start + F.row_number().over(inside) - 1 + F.lit(base)).cast("bigint"))
+            .drop("__block"))

@@ -12,7 +12,11 @@ from ..functions.columns import hash_bucket
 
 
 def random_split(df: DataFrame, weights: Sequence[float], seed: int) -> list[DataFrame]:
-    """Seeded Bernoulli split (weights are normalised), like ``randomSplit``."""
+    """Seeded Bernoulli split (weights are normalised), like ``randomSplit``.
+
+    Which part a row lands in depends on the layout of the input; wherever the
+    rows have a key, :func:`hash_split` gives the same parts for any layout.
+    """
     return df.randomSplit([float(w) for w in weights], seed=seed)
 
 

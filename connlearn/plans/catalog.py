@@ -31,10 +31,10 @@ from ..operators.sequence import row_id
 from ..operators.splits import hash_split, random_split, split_union
 from ..operators.stages import ClassLabeler
 from ..operators.traffic import category_rollup, last_n_host_window, same_host_window, same_service_window
-from ..session import staging_path
+from ..session import read_table, staging_path
 from ..sources.adapters import (EVENTS_NORMAL_TOKEN, EVENTS_SCHEMA, LINES_SCHEMA, events_frame, events_text,
                                 lines_frame, lines_text, traffic_frame)
-from ..sources.records import (head_sample, parse_records, parse_report, positional_frame, read_records,
+from ..sources.records import (first_lines, head_sample, parse_records, parse_report, positional_frame, read_records,
                                write_head_sample, write_lines)
 from .workflow import Workflow
 
@@ -170,11 +170,17 @@ def q_parse_records(spark, sf):
     return _parsed_lines(spark, sf)
 
 
-@register("parse_report", _with(LINES_SQL) +
-          "SELECT CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) AS BIGINT) AS n_parsed,"
-          " CAST(0 AS BIGINT) AS n_dropped FROM lines")
+@register("parse_report", _with(LINES_SQL) + """
+SELECT CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE discount <> 0.0 AND linestatus <> 'O') AS BIGINT) AS n_parsed,
+       CAST(count(*) FILTER (WHERE discount = 0.0 OR linestatus = 'O') AS BIGINT) AS n_dropped FROM lines""")
 def q_parse_report(spark, sf):
-    return parse_report(lines_text(spark, sf), LINES_SCHEMA)
+    """Lines without discount get one field more, those of open lines a
+    number that is none."""
+    text = lines_text(spark, sf).select(F.when(F.split("value", ",")[5] == "0.00", F.concat("value", F.lit(",x")))
+                       .when(F.split("value", ",")[1] == "O", F.concat(F.lit("?"), "value"))
+                       .otherwise(F.col("value")).alias("value"))
+    return parse_report(text, LINES_SCHEMA)
 
 
 @register("scan_text_records", _with(LINES_SQL) + f"SELECT {', '.join(LINES_SCHEMA.names)} FROM lines")
@@ -201,6 +207,16 @@ def q_head_sample(spark, sf):
     return read_records(spark, path, EVENTS_SCHEMA)
 
 
+@register("head_sample_files", _with(EVENTS_SQL) + f"""
+SELECT value, event_kind, user_group, user_band, user_id, label FROM ev ORDER BY event_id LIMIT {HEAD_ROWS}""")
+def q_head_sample_files(spark, sf):
+    """The first lines of a folder of text files whose sizes double."""
+    text = events_text(spark, sf).withColumn("file", F.floor(F.log2(F.col("event_id") + 2)))
+    path = staging_path(spark, "events-files")
+    text.repartitionByRange(8, "file").sortWithinPartitions("event_id").select("value").write.text(path)
+    return parse_records(first_lines(spark, path, HEAD_ROWS), EVENTS_SCHEMA)
+
+
 @register("take_first", _with(EVENTS_SQL) +
           f"SELECT event_id, event_kind, value FROM ev ORDER BY event_id LIMIT {TAKE_ROWS}")
 def q_take_first(spark, sf):
@@ -244,6 +260,52 @@ def q_merge_frames_outer(spark, sf):
     return merge_frames(frames, key="event_id", how="full_outer")
 
 
+@register("row_id_ties", _with(EVENTS_SQL) + """
+SELECT CAST(row_number() OVER (ORDER BY t NULLS FIRST, user_band NULLS FIRST, event_id) - 1 AS BIGINT) AS id, event_id, t
+FROM (SELECT event_id, nullif(user_band, 'b1') AS user_band, CASE WHEN value > 90 THEN value WHEN value < 2 THEN NULL
+      ELSE 5.0 END::DOUBLE AS t FROM ev)""")
+def q_row_id_ties(spark, sf):
+    """Most leading values tied, some null, in blocks far below their number."""
+    t = F.when(F.col("value") > 90, F.col("value")).when(F.col("value") < 2, F.lit(None)).otherwise(5.0)
+    ev = _events(spark, sf).select("event_id", t.cast("double").alias("t"), F.expr("nullif(user_band, 'b1')").alias("band"))
+    return row_id(ev, ["t", "band", "event_id"], block_rows=1000).select("id", "event_id", "t")
+
+
+_CUSTOMER_KEYS_SQL = """WITH o AS (
+  SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS custkey, o_orderkey FROM orders),
+c AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey END AS custkey, c_name FROM customer)
+"""
+
+
+def _keyed_frames(spark, sf):
+    orders = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    customer = read_table(spark, sf, "customer", ["c_custkey", "c_name"])
+    return (orders.select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("custkey"), "o_orderkey"),
+            customer.select(F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey")).alias("custkey"), "c_name"))
+
+
+@register("merge_frames_repeated_keys", _CUSTOMER_KEYS_SQL +
+          "SELECT custkey, o_orderkey, c_name FROM o FULL JOIN c USING (custkey)")
+def q_merge_frames_repeated_keys(spark, sf):
+    """Repeated, unmatched and null keys on both sides."""
+    return merge_frames(_keyed_frames(spark, sf), key="custkey")
+
+
+@register("merge_frames_unique_keys", _CUSTOMER_KEYS_SQL + """,
+n AS (SELECT custkey, CAST(count(*) AS BIGINT) AS n_orders FROM o GROUP BY custkey)
+SELECT custkey, n_orders, c_name FROM n FULL JOIN c USING (custkey)""")
+def q_merge_frames_unique_keys(spark, sf):
+    """One shuffle for unique keys; null keys stay rows of their own."""
+    orders, customer = _keyed_frames(spark, sf)
+    per_customer = orders.groupBy("custkey").agg(F.count(F.lit(1)).alias("n_orders"))
+    return merge_frames([per_customer, customer], key="custkey", unique_keys=True)
+
+
+@register("merge_features_unmatched", _CUSTOMER_KEYS_SQL + "SELECT o_orderkey, c_name FROM o FULL JOIN c USING (custkey)")
+def q_merge_features_unmatched(spark, sf):
+    return merge_features(*_keyed_frames(spark, sf), key="custkey")
+
+
 @register("merge_features_outer", _with(EVENTS_SQL) + "SELECT value, user_id, event_kind, user_group FROM ev")
 def q_merge_features_outer(spark, sf):
     ev = _events(spark, sf)
@@ -276,7 +338,7 @@ def q_split_union(spark, sf):
 @register("random_split")
 def q_random_split(spark, sf):
     ev = _events(spark, sf).select("event_id", "value", "event_kind", "label")
-    return random_split(ev, SPLIT_WEIGHTS, SPLIT_SEED)[0]
+    return split_union([p.withColumn("part", F.lit(i)) for i, p in enumerate(random_split(ev, SPLIT_WEIGHTS, SPLIT_SEED))])
 
 
 @register("hash_split", _with(EVENTS_SQL) +
@@ -335,6 +397,22 @@ def q_multinomial_label(spark, sf):
     return multinomial_label(ev, vocab, "label", "class", match="contains", drop_unknown=False)
 
 
+_NESTED_SQL = f"""nested AS (
+  SELECT event_id, bucket, CASE WHEN user_band = 'b0' THEN event_kind || '_x.' ELSE event_kind || '.' END AS label FROM ev),
+nested_vocab AS ({_VOCAB_SQL.format(src='nested', where='TRUE')})"""
+
+
+@register("multinomial_label_nested", _with(EVENTS_SQL, _NESTED_SQL) + """
+SELECT nested.event_id, nested.label, CAST(max(v.class_id) AS DOUBLE) AS class
+FROM nested JOIN nested_vocab v ON contains(nested.label, v.label) GROUP BY ALL""")
+def q_multinomial_label_nested(spark, sf):
+    """Labels that contain other labels: the last vocabulary entry wins."""
+    suffix = F.when(F.col("user_band") == "b0", F.lit("_x.")).otherwise(F.lit("."))
+    ev = _events(spark, sf).select("event_id", F.concat("event_kind", suffix).alias("label"))
+    vocab = collect_vocabulary(label_vocabulary(ev, "label"))
+    return multinomial_label(ev, vocab, "label", "class", match="contains")
+
+
 @register("multinomial_label_exact", _with(EVENTS_SQL, _EVENT_VOCAB_CTE) + """
 SELECT ev.event_id, ev.label, CAST(coalesce(vocab.class_id, -1) AS DOUBLE) AS class
 FROM ev LEFT JOIN vocab ON left(ev.label, length(ev.label) - 1) = vocab.label""")
@@ -353,12 +431,13 @@ def q_multinomial_known(spark, sf):
 
 
 @register("multinomial_label_frequency", _with(EVENTS_SQL, _EVENT_VOCAB_CTE, _EVENT_CLASS_CTE) + """
-SELECT vocab.label, CAST(count(*) AS BIGINT) AS n
-FROM cls JOIN vocab ON cls.class = vocab.class_id WHERE cls.bucket >= 7 GROUP BY vocab.label""")
+SELECT CASE WHEN cls.bucket < 7 THEN 'train' ELSE 'test' END AS part, vocab.label, CAST(count(*) AS BIGINT) AS n
+FROM cls JOIN vocab ON cls.class = vocab.class_id GROUP BY ALL""")
 def q_multinomial_label_frequency(spark, sf):
     vocab = _event_vocabulary(spark, sf)
-    _, test = _event_split(spark, sf)
-    return class_frequency(multinomial_label(test, vocab, "label", "class"), vocab, "class")
+    return split_union([class_frequency(multinomial_label(part, vocab, "label", "class"), vocab, "class")
+                        .withColumn("part", F.lit(name))
+                        for name, part in zip(("train", "test"), _event_split(spark, sf))])
 
 
 @register("category_rollup", _with(EVENTS_SQL) + f"""
@@ -371,6 +450,17 @@ def q_category_rollup(spark, sf):
     return category_rollup(_events(spark, sf), CATEGORY_MAP, "label")
 
 
+@register("category_rollup_table", _with(EVENTS_SQL) + """
+SELECT CASE WHEN event_kind = 'view' THEN 'unknown' ELSE left(event_kind, 1) END AS category,
+       CAST(count(*) AS BIGINT) AS n FROM ev GROUP BY 1""")
+def q_category_rollup_table(spark, sf):
+    """The mapping as a table, with repeated rows and one label missing."""
+    ev = _events(spark, sf)
+    mapping = ev.filter("event_kind <> 'view'").select(
+        F.col("event_kind").alias("label"), F.left("event_kind", F.lit(1)).alias("category"))
+    return category_rollup(ev, mapping, "label")
+
+
 # --------------------------------------------------------------------------
 # Categorical encoding
 
@@ -493,19 +583,27 @@ def q_assemble_mixed_vector(spark, sf):
 
 
 @register("scaler_stats", _with(LINES_SQL) + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS feature, CAST(count(*) AS BIGINT) AS n, round(sum({c}), 2) AS total, "
-    f"round(stddev_samp({c}), 6) AS std FROM lines"
-    for c in NUMS))
+    f"SELECT '{c}' AS feature, round(stddev_samp({c}), 6) AS std, TRUE AS mean_fits FROM lines" for c in NUMS))
 def q_scaler_stats(spark, sf):
     df = assemble(_lines(spark, sf), NUMS, "raw_features")
     model = fit_scaler(df, "raw_features", "features")
     stats = scaler_stats(model, NUMS, spark)
-    n = df.count()
-    # The fitted mean of 2-decimal data is an exact decimal that may sit on a
-    # rounding tie at any fixed number of places; mean * n recovers the exact
-    # column sum (2 decimals), which cannot.
-    return stats.select("feature", F.lit(n).cast("bigint").alias("n"),
-                        F.round(F.col("mean") * F.lit(n), 2).alias("total"), _r6(F.col("std")).alias("std"))
+    # the fitted mean against one aggregate, by relative error: it may sit on
+    # a rounding tie at any fixed number of places
+    means = df.agg(*[F.avg(c).alias(c) for c in NUMS]).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("avg")) for c in NUMS])).alias("m")).select("m.*")
+    fits = F.abs(F.col("mean") - F.col("avg")) <= 1e-12 * F.abs(F.col("avg"))
+    return stats.join(means, "feature").select("feature", _r6(F.col("std")).alias("std"), fits.alias("mean_fits"))
+
+
+@register("scaler_constant", _with(LINES_SQL) + "SELECT round(coalesce((tax - avg(tax) OVER ())"
+          " / nullif(stddev_samp(tax) OVER (), 0), 0.0), 6) + 0.0 AS tax, 0.0::DOUBLE AS fixed, label FROM lines")
+def q_scaler_constant(spark, sf):
+    """A column without spread scales to zero."""
+    df = assemble(_lines(spark, sf).withColumn("fixed", F.lit(7.5)), ["tax", "fixed"], "raw_features")
+    model = fit_scaler(df, "raw_features", "features")
+    out = vector_columns(model.transform(df), "features", ["tax", "fixed"], keep=["label"])
+    return out.select(*[_r6(F.col(c)).alias(c) for c in ("tax", "fixed")], "label")
 
 
 @register("scaler_transform", _with(LINES_SQL) + "SELECT " + ", ".join(
@@ -638,10 +736,9 @@ _FIXED_BIN_SQL = (f"({FIXED_BINARY_WEIGHTS[0]} * value + {FIXED_BINARY_WEIGHTS[1
 @register("lr_binomial_score", _with(EVENTS_SQL) + f"""
 SELECT event_id, CASE WHEN {_FIXED_BIN_SQL} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction,
        round(1.0 / (1.0 + exp(-{_FIXED_BIN_SQL})), 6) AS probability
-FROM ev WHERE bucket >= 7""")
+FROM ev""")
 def q_lr_binomial_score(spark, sf):
-    _, test = _event_split(spark, sf)
-    scored = score_with_weights(test, ["value", "user_id"], [FIXED_BINARY_WEIGHTS])
+    scored = score_with_weights(_events(spark, sf), ["value", "user_id"], [FIXED_BINARY_WEIGHTS])
     return scored.select("event_id", "prediction", _r6(F.col("probability")).alias("probability"))
 
 
@@ -653,10 +750,9 @@ def _fixed_multi_prediction_sql() -> str:
 
 
 @register("lr_multinomial_score", _with(EVENTS_SQL) + f"""
-SELECT event_id, {_fixed_multi_prediction_sql()} AS prediction FROM ev WHERE bucket >= 7""")
+SELECT event_id, {_fixed_multi_prediction_sql()} AS prediction FROM ev""")
 def q_lr_multinomial_score(spark, sf):
-    _, test = _event_split(spark, sf)
-    return score_with_weights(test, ["value", "user_id"], FIXED_MULTI_WEIGHTS, probability_col=None) \
+    return score_with_weights(_events(spark, sf), ["value", "user_id"], FIXED_MULTI_WEIGHTS, probability_col=None) \
         .select("event_id", "prediction")
 
 
@@ -669,18 +765,17 @@ def q_lr_weights(spark, sf):
 
 
 # --------------------------------------------------------------------------
-# Evaluation of fixed-weight predictions on the test events
+# Evaluation of fixed-weight predictions on all events of a known class
 
 _PAIRS_CTE = f"""pairs AS (
   SELECT cls.class AS label, {_fixed_multi_prediction_sql()} AS prediction
-  FROM cls JOIN ev USING (event_id) WHERE cls.class >= 0 AND cls.bucket >= 7)"""
+  FROM cls JOIN ev USING (event_id) WHERE cls.class >= 0)"""
 _EVAL_CTES = (EVENTS_SQL, _EVENT_VOCAB_CTE, _EVENT_CLASS_CTE, _PAIRS_CTE)
 
 
 def _pairs(spark, sf):
     vocab = _event_vocabulary(spark, sf)
-    _, test = _event_split(spark, sf)
-    labelled = multinomial_label(test, vocab, "label", "class")
+    labelled = multinomial_label(_events(spark, sf), vocab, "label", "class")
     scored = score_with_weights(labelled, ["value", "user_id"], FIXED_MULTI_WEIGHTS, probability_col=None)
     return scored.select(F.col("class").alias("label"), "prediction"), len(vocab)
 
@@ -727,6 +822,26 @@ def q_confusion_matrix(spark, sf):
     return confusion_matrix(pairs, k)
 
 
+@register("confusion_matrix_unknown", _with(EVENTS_SQL, _EVENT_VOCAB_CTE, _EVENT_CLASS_CTE,
+                                           "k AS (SELECT count(*) AS k FROM vocab)") + f""",
+pairs AS (SELECT CASE WHEN cls.class < 0 THEN k ELSE cls.class END AS label, {_fixed_multi_prediction_sql()} AS prediction
+          FROM cls JOIN ev USING (event_id), k),
+cells AS (SELECT unnest(range((k + 1) * (k + 1))) AS r, k + 1 AS side, k FROM k),
+seen AS (SELECT CAST(label AS INTEGER) AS a, CAST(least(prediction, k) AS INTEGER) AS p, count(*) AS n
+         FROM pairs, k GROUP BY ALL)
+SELECT CAST(r // side AS INTEGER) AS actual, CAST(r % side AS INTEGER) AS predicted,
+       CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM cells LEFT JOIN seen ON a = r // side AND p = r % side""")
+def q_confusion_matrix_unknown(spark, sf):
+    """All events; unknown classes count in an extra row, predictions of a
+    class beyond the vocabulary in an extra column."""
+    vocab = _event_vocabulary(spark, sf)
+    labelled = multinomial_label(_events(spark, sf), vocab, "label", "class", drop_unknown=False)
+    scored = score_with_weights(labelled, ["value", "user_id"], FIXED_MULTI_WEIGHTS, probability_col=None)
+    pairs = scored.select(F.col("class").alias("label"), "prediction")
+    return confusion_matrix(pairs, len(vocab), off_grid="extra")
+
+
 # Classes of the events vocabulary (event types minus the held-out one): the
 # SQL pivot needs the column count as a literal; Spark derives it from data.
 EVENT_CLASSES = 4
@@ -762,31 +877,82 @@ def q_confusion_matrix_from_keys(spark, sf):
 # --------------------------------------------------------------------------
 # Workflows (iterative fits: rows-only checks, numeric checks in tests)
 
-def _flow(spark, sf, categorical: bool, classes: str) -> DataFrame:
-    train, test = _line_split(spark, sf)
+def _flow(lines: DataFrame, categorical: bool, classes: str):
+    train, test = hash_split(lines, ["orderkey"], SPLIT_WEIGHTS, SPLIT_SEED)
     flow = Workflow(LINES_SCHEMA, categorical=categorical, classes=classes, normal_token="N")
-    res = flow.run(train.drop("orderkey"), test.drop("orderkey"))
-    return res.confusion_matrix()
+    return flow.run(train.drop("orderkey"), test.drop("orderkey"))
 
 
-@register("flow_numeric_binary")
-def q_flow_numeric_binary(spark, sf):
-    return _flow(spark, sf, False, "binary")
+def _train_mean(lines: DataFrame, col: str):
+    train, _ = hash_split(lines, ["orderkey"], SPLIT_WEIGHTS, SPLIT_SEED)
+    return train.select(F.avg(col)).scalar()
+
+
+# Labels that the model can separate exactly: the matrix must be the class
+# counts of the test part on the diagonal and zero elsewhere.
+def _diagonal_sql(cls: str, k: int, source: str = "lines") -> str:
+    return f"""
+test AS (SELECT {cls} AS c FROM {source} WHERE bucket >= 7)
+SELECT CAST(r // {k} AS INTEGER) AS actual, CAST(r % {k} AS INTEGER) AS predicted,
+       CAST(CASE WHEN r // {k} = r % {k} THEN (SELECT count(*) FROM test WHERE c = r // {k}) ELSE 0 END AS BIGINT) AS n
+FROM (SELECT unnest(range({k * k})) AS r)"""
 
 
-@register("flow_numeric_multi")
+@register("flow_numeric_binary", _with(LINES_SQL, "mean AS (SELECT avg(quantity) AS m FROM lines WHERE bucket < 7)")
+          + "," + _diagonal_sql("CASE WHEN quantity <= (SELECT m FROM mean) THEN 0 ELSE 1 END", 2))
+def q_flow_numeric_binary(spark, sf):
+    """From text lines; normal: quantity up to its training mean."""
+    lines = _parsed_lines(spark, sf)
+    label = F.when(F.col("quantity") <= _train_mean(lines, "quantity"), F.lit("N.")).otherwise(F.lit("A."))
+    return _flow(lines.withColumn("label", label), False, "binary").confusion_matrix()
+
+
+@register("flow_numeric_multi", _with(LINES_SQL, """mean AS (
+  SELECT avg(quantity) AS q, avg(extendedprice) AS e FROM lines WHERE bucket < 7),
+quad AS (SELECT bucket, (quantity > q)::INTEGER || '' || (extendedprice > e)::INTEGER AS label FROM lines, mean),
+ranked AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS c FROM quad WHERE bucket < 7 GROUP BY 1)""")
+          + """SELECT CAST(c AS INTEGER) AS actual, CAST(count(*) AS BIGINT) AS n, TRUE AS nearly_exact
+FROM quad JOIN ranked USING (label) WHERE bucket >= 7 GROUP BY c""")
 def q_flow_numeric_multi(spark, sf):
-    return _flow(spark, sf, False, "all")
+    """Four classes by quantity and price against their training means: rows
+    per actual class, and whether less than 0.1 % of all are wrong."""
+    lines = _lines(spark, sf)
+    above = [(F.col(c) > _train_mean(lines, c)).cast("int").cast("string") for c in ("quantity", "extendedprice")]
+    cells = _flow(lines.withColumn("label", F.concat(*above, F.lit("."))), False, "all").confusion_matrix()
+    wrong = cells.agg(F.sum(F.when(F.col("actual") != F.col("predicted"), F.col("n")).otherwise(0))
+                      / F.sum("n")).scalar()
+    return cells.groupBy("actual").agg(F.sum("n").alias("n")).withColumn("nearly_exact", wrong < 0.001)
 
 
-@register("flow_mixed_binary")
+@register("flow_mixed_binary", _with(LINES_SQL) + "," + _diagonal_sql("CASE WHEN orderstatus = 'F' THEN 0 ELSE 1 END", 2))
 def q_flow_mixed_binary(spark, sf):
-    return _flow(spark, sf, True, "binary")
+    """Normal: finished orders."""
+    label = F.when(F.col("orderstatus") == "F", F.lit("N.")).otherwise(F.lit("A."))
+    return _flow(_lines(spark, sf).withColumn("label", label), True, "binary").confusion_matrix()
+
+
+_STATUS_SQL = """ranked AS (
+  SELECT orderstatus AS status, row_number() OVER (ORDER BY count(*) DESC, orderstatus) - 1 AS c
+  FROM lines WHERE bucket < 7 GROUP BY 1),
+coded AS (SELECT lines.bucket, c FROM lines JOIN ranked ON orderstatus = status)"""
 
 
-@register("flow_mixed_multi")
+@register("flow_mixed_multi", _with(LINES_SQL, _STATUS_SQL) + "," + _diagonal_sql("c", CATEGORY_DOMAIN["orderstatus"], "coded"))
 def q_flow_mixed_multi(spark, sf):
-    return _flow(spark, sf, True, "all")
+    """Classes: the order status, one of the categorical features."""
+    lines = _lines(spark, sf).withColumn("label", F.concat("orderstatus", F.lit(".")))
+    return _flow(lines, True, "all").confusion_matrix()
+
+
+@register("flow_return_flag", _with(LINES_SQL, """ranked AS (
+  SELECT label AS l, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS c FROM lines WHERE bucket < 7 GROUP BY 1)""")
+          + """SELECT CAST(c AS INTEGER) AS actual, CAST(count(*) AS BIGINT) AS n,
+       CAST((SELECT count(*) FROM ranked) AS BIGINT) AS n_predicted
+FROM lines JOIN ranked ON label = l WHERE bucket >= 7 GROUP BY c""")
+def q_flow_return_flag(spark, sf):
+    """A label the features only hint at: rows per actual class, and cells."""
+    cells = _flow(_lines(spark, sf), True, "all").confusion_matrix()
+    return cells.groupBy("actual").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_predicted"))
 
 
 # --------------------------------------------------------------------------
@@ -837,6 +1003,44 @@ def q_same_service_window(spark, sf):
                                            ("srv_serror_rate", "srv_rerror_rate", "srv_diff_host_rate")])
 
 
+# The same with nulls among times, hosts and services, and with one service
+# that all connections share, over a frame of a day.
+_NULL_TRAFFIC_SQL = _TRAFFIC_SQL.replace("tr AS", "whole AS") + """,
+tr AS (SELECT id, CASE WHEN flag = 'REJ' THEN NULL ELSE t END AS t, CASE WHEN host % 7 = 0 THEN NULL ELSE host END AS host,
+       CASE WHEN service = 'error' THEN NULL ELSE service END AS service, flag FROM whole)"""
+_NULL_TIME = "CASE WHEN t IS NULL THEN NULL ELSE {} END"
+
+
+def _null_traffic(spark, sf):
+    return traffic_frame(spark, sf).select(
+        "id", F.when(F.col("flag") != "REJ", F.col("ts")).alias("ts"),
+        F.when(F.col("host") % 7 != 0, F.col("host")).alias("host"),
+        F.when(F.col("service") != "error", F.col("service")).alias("service"), "flag")
+
+
+def _masked(sql: str, names: tuple[str, ...]) -> str:
+    inner = sql.replace("FROM (SELECT id,", "FROM (SELECT id, t,").replace("SELECT id, CAST", "SELECT id, t, CAST", 1)
+    return f"SELECT id, {', '.join(_NULL_TIME.format(n) + ' AS ' + n for n in names)} FROM ({inner})"
+
+
+_SRV_NAMES = ("srv_count", "srv_serror_rate", "srv_rerror_rate", "srv_diff_host_rate")
+
+
+@register("same_service_window_nulls", _with(_NULL_TRAFFIC_SQL) + _masked(
+    _time_window_sql("service", "host", _SRV_NAMES), _SRV_NAMES))
+def q_same_service_window_nulls(spark, sf):
+    res = same_service_window(_null_traffic(spark, sf), frame_seconds=WINDOW_SECONDS, block_rows=1000)
+    return res.select("id", "srv_count", *[_r6(F.col(c)).alias(c) for c in _SRV_NAMES[1:]])
+
+
+@register("same_service_window_hot", _with(_TRAFFIC_SQL.replace("event_type AS service", "'all' AS service"))
+          + _time_window_sql("service", "host", _SRV_NAMES).replace(str(_FRAME_US), str(24 * _FRAME_US)))
+def q_same_service_window_hot(spark, sf):
+    traffic = traffic_frame(spark, sf).withColumn("service", F.lit("all"))
+    res = same_service_window(traffic, frame_seconds=24 * WINDOW_SECONDS, block_rows=1000)
+    return res.select("id", "srv_count", *[_r6(F.col(c)).alias(c) for c in _SRV_NAMES[1:]])
+
+
 @register("last_n_host_window", _with(_TRAFFIC_SQL) + f""",
 seq AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY t, id) AS rn FROM tr)
 SELECT id, CAST(n AS BIGINT) AS host_count, round(serr / n, 6) AS host_serror_rate,
@@ -858,8 +1062,17 @@ def q_last_n_host_window(spark, sf):
 
 @register("last_n_host_window_quantile", ORACLES["last_n_host_window"])
 def q_last_n_host_window_quantile(spark, sf):
-    """Same features, numbering blocks between global time quantiles."""
-    res = last_n_host_window(traffic_frame(spark, sf), n=LAST_N, key="id", numbering="quantile")
+    """Same features in small blocks, so that a host spans several."""
+    res = last_n_host_window(traffic_frame(spark, sf), n=LAST_N, key="id", block_rows=1000)
+    return res.select("id", "host_count", *[_r6(F.col(c)).alias(c) for c in
+                                            ("host_serror_rate", "host_rerror_rate", "host_same_srv_rate",
+                                             "host_diff_srv_rate")])
+
+
+@register("last_n_host_window_nulls", ORACLES["last_n_host_window"].replace(_TRAFFIC_SQL, _NULL_TRAFFIC_SQL)
+          .replace("ORDER BY t, id", "ORDER BY t NULLS FIRST, id"))
+def q_last_n_host_window_nulls(spark, sf):
+    res = last_n_host_window(_null_traffic(spark, sf), n=LAST_N, key="id", block_rows=1000)
     return res.select("id", "host_count", *[_r6(F.col(c)).alias(c) for c in
                                             ("host_serror_rate", "host_rerror_rate", "host_same_srv_rate",
                                              "host_diff_srv_rate")])

@@ -3,10 +3,10 @@
     python -m connlearn.plans.report --train train.gz --test test.gz \
         --fields 42 [--categorical] [--classes binary|all] [--model-path P] [--show]
 
-The same steps as a classic script run: read both files, split and re-union
-them (the identity on the bag of rows), profile the labels, fit the
-workflow on the training file, score the test file, then weights, OK/KO
-counts, error and the confusion matrix. Nothing is collected except what
+The same steps as a classic script run: read both files, profile the labels,
+fit the workflow on the training file, score the test file once, then
+weights, OK/KO counts, error and the confusion matrix. (The script's split
+and re-union of each file is the identity on its rows and is left out.) Nothing is collected except what
 ``--show`` prints (each table is a small aggregate).
 """
 
@@ -18,17 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import NORMAL_TOKEN
-from ..operators.labels import label_frequency, label_vocabulary
-from ..operators.splits import random_split, split_union
+from ..operators.labels import binary_label_frequency, class_frequency, label_frequency, label_vocabulary
+from ..operators.model import labeler_of
 from ..schema import RecordSchema
 from ..session import ensure_checkpoint_dir
 from ..sources.records import read_records
 from .workflow import Workflow
 
-# The split weights and seeds of the classic run (train, test).
-TRAIN_SPLIT, TRAIN_SEED = (7, 3), 10
-TEST_SPLIT, TEST_SEED = (1, 9), 12
-
 
 def run_report(spark: SparkSession, train_path: str, test_path: str, schema: RecordSchema,
                categorical: bool = False, classes: str = "binary", normal_token: str = NORMAL_TOKEN,
@@ -37,16 +33,18 @@ def run_report(spark: SparkSession, train_path: str, test_path: str, schema: Rec
     ensure_checkpoint_dir(spark)
     train = read_records(spark, train_path, schema, min_partitions=min_partitions)
     test = read_records(spark, test_path, schema, min_partitions=min_partitions)
-    train = split_union(random_split(train, TRAIN_SPLIT, TRAIN_SEED))
-    test = split_union(random_split(test, TEST_SPLIT, TEST_SEED))
     flow = Workflow(schema, categorical=categorical, classes=classes, normal_token=normal_token, durable=durable)
-    res = flow.run(train, test, model_path=model_path)
+    res = flow.run(train, test, model_path=model_path).persist()
+    labelled = labeler_of(res.model).transform(train)
     return {
         "record_counts": train.agg(F.count(F.lit(1)).alias("n")).withColumn("file", F.lit("train")).unionByName(
             test.agg(F.count(F.lit(1)).alias("n")).withColumn("file", F.lit("test"))),
         "train_label_frequency": label_frequency(train, schema.label),
         "test_label_frequency": label_frequency(test, schema.label),
         "vocabulary": label_vocabulary(train, schema.label),
+        "train_class_frequency": class_frequency(labelled, res.vocabulary, "class"),
+        "train_binary_frequency": binary_label_frequency(labelled, "class"),
+        "test_binary_frequency": binary_label_frequency(res.scored, "class"),
         "test_class_frequency": res.class_frequency(),
         "weights": res.weights(),
         "ok_ko": res.ok_ko(),

@@ -83,7 +83,7 @@ class Workflow:
     def fit(self, train: DataFrame) -> PipelineModel:
         """Fit on ``train`` only.
 
-        The training frame is persisted (memory, spilling to disk) for the
+        The columns of the training frame that are used are persisted (memory, spilling to disk) for the
         passes of the label, indexer, scaler and optimiser fits, unless the
         caller already cached it; it is released afterwards. With
         ``durable=True`` it is checkpointed to the shared checkpoint folder
@@ -104,8 +104,9 @@ class Workflow:
             # optimiser's own cached blocks
             return self.pipeline().fit(train)
         level = train.storageLevel
+        used = [*self.schema.numeric, self.schema.label, *(self.schema.categorical if self.categorical else ())]
         own_cache = not (level.useMemory or level.useDisk or level.useOffHeap)
-        source = train.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else train
+        source = train.select(*used).persist(StorageLevel.MEMORY_AND_DISK) if own_cache else train
         try:
             return self.pipeline().fit(source)
         finally:

@@ -6,10 +6,13 @@ stays inside whole-stage codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RecordSchema
+from ..session import spread, staging_path
 
 PARSE_MODES = ("failfast", "drop")
 
@@ -18,13 +21,11 @@ def scan_lines(spark: SparkSession, path: str | list[str], min_partitions: int |
     """One row (``value STRING``) per line of text files (gzip or plain).
 
     A gzip file is not splittable and arrives as one partition; pass
-    ``min_partitions`` to spread it before any wide work (one extra
-    round-robin shuffle, paid once).
+    ``min_partitions`` to spread such an input before any wide work. A scan
+    that already has as many partitions is left alone.
     """
     df = spark.read.text(path)
-    if min_partitions:
-        df = df.repartition(min_partitions)
-    return df
+    return spread(df, min_partitions) if min_partitions else df
 
 
 def _fields(line: Column, sep: str) -> Column:
@@ -111,9 +112,13 @@ def read_records(spark: SparkSession, path: str | list[str], schema: RecordSchem
 
 def positional_frame(lines: DataFrame, n_fields: int, sep: str = ",", line_col: str = "value",
                      keep: tuple[str, ...] = ()) -> DataFrame:
-    """Split lines into string columns ``_1 .. _n`` (no typing, like ``toDF``)."""
+    """Split lines into string columns ``_1 .. _n`` (no typing, like ``toDF``).
+    A line with fewer or more fields is an error; a null line gives nulls."""
     arr = _fields(F.col(line_col), sep)
-    return lines.select(*keep, *[arr[i].alias(f"_{i + 1}") for i in range(n_fields)])
+    wrong = F.raise_error(F.concat(F.lit(f"malformed record: expected {n_fields} fields, got "),
+                                   F.size(arr).cast("string")))
+    checked = lines.select(*keep, F.when(arr.isNull() | (F.size(arr) == n_fields), arr).otherwise(wrong).alias("__f"))
+    return checked.select(*keep, *[F.col("__f")[i].alias(f"_{i + 1}") for i in range(n_fields)])
 
 
 def format_records(df: DataFrame, schema: RecordSchema, number_format: str | None = None) -> DataFrame:
@@ -157,8 +162,6 @@ def stage_parquet(df: DataFrame, path: str | None = None, partitions: int | None
     filters and pruned columns; the lineage to the (possibly unsplittable)
     text input is cut, so a lost executor never re-runs the parse.
     """
-    from ..session import staging_path
-
     spark = df.sparkSession
     target = path or staging_path(spark, "records")
     out = df.repartition(partitions) if partitions else df
@@ -167,23 +170,23 @@ def stage_parquet(df: DataFrame, path: str | None = None, partitions: int | None
 
 
 def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The first ``n`` lines of text files, in file order.
+    """The first ``n`` lines of text files, files in order of their path.
 
-    Within one scan ``monotonically_increasing_id`` grows with the partition
-    index and the position inside the split, i.e. with file order; a top-n
-    on it (TakeOrderedAndProject: n rows per task at most) keeps exactly the
-    first n lines, and all of them when there are fewer.
+    Spark packs files into tasks by size, so the order is taken from the file
+    path, the split's offset in the file and the position within the split
+    (``monotonically_increasing_id`` grows along a split). Planned as a top-n:
+    each task keeps n rows at most.
     """
-    lines = spark.read.text(path).withColumn("__pos", F.monotonically_increasing_id())
-    return lines.orderBy("__pos").limit(n).select("value")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__pos"))
+    return lines.orderBy("__file", "__start", "__pos").limit(n).select("value")
 
 
 def write_sample_files(spark: SparkSession, train_path: str, test_path: str, out_dir: str,
                        n_train: int = 10_000) -> dict[str, str]:
     """Sample files ``<name>.<N>.gz`` with the first ``n_train`` training
     lines and the first ``n_train // 10`` test lines."""
-    import os
-
     out = {}
     for path, n in ((train_path, n_train), (test_path, n_train // 10)):
         name = os.path.basename(path.rstrip("/"))

@@ -1,7 +1,7 @@
 import pytest
 
 from connlearn import (confusion_counts, confusion_matrix, error_rate, evaluate, evaluator_accuracy, matrix_error,
-                       ok_ko_counts)
+                       matrix_from_keys, ok_ko_counts)
 
 
 def pairs(spark, spec):
@@ -69,3 +69,16 @@ def test_evaluate_matches_spark_evaluator(spark):
     assert (row["n"], row["n_ok"], row["n_ko"]) == (1175, 1150, 25)
     assert row["accuracy"] == pytest.approx(evaluator_accuracy(df))
     assert row["error_pct"] == pytest.approx(100.0 * (1 - row["accuracy"]))
+
+
+def test_matrix_counts_every_pair(spark):
+    rows = [(0.0, 0.0), (1.0, 0.0), (-1.0, 1.0), (0.0, 5.0), (None, 1.0)]
+    pairs = spark.createDataFrame(rows, "label double, prediction double")
+    with pytest.raises(Exception, match="class outside 0..1"):
+        confusion_matrix(pairs, 2).collect()
+    got = {(r.actual, r.predicted): r.n for r in confusion_matrix(pairs, 2, off_grid="extra").collect()}
+    assert len(got) == 9 and sum(got.values()) == 5
+    assert got[0, 0] == got[1, 0] == got[0, 2] == 1 and got[2, 1] == 2
+    keys = spark.createDataFrame([("0_1", 2), ("0_1", 3), ("1_1", 4)], "key string, n long")
+    cells = {(r.actual, r.predicted): r.n for r in matrix_from_keys(keys, 2).collect()}
+    assert cells == {(0, 0): 0, (0, 1): 5, (1, 0): 0, (1, 1): 4}

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from connlearn import hash_split, random_split, row_id, split_union, zip_by_position
+from connlearn import hash_split, merge_frames, order_blocks, random_split, row_id, split_union, zip_by_position
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +29,7 @@ def test_row_id_matches_row_number_any_partitioning(spark):
     expect = {r["event_id"]: r["rn"] - 1 for r in
               ev.withColumn("rn", F.row_number().over(Window.orderBy("value", "event_id"))).collect()}
     for n in (1, 4, 7):
-        got = {r["event_id"]: r["id"] for r in row_id(ev.repartition(n), ["value", "event_id"], n_blocks=5).collect()}
+        got = {r["event_id"]: r["id"] for r in row_id(ev.repartition(n), ["value", "event_id"], block_rows=150).collect()}
         assert got == expect
 
 
@@ -40,24 +41,40 @@ def test_zip_by_position(spark):
 
 
 def test_merge_frames_union_equals_join_chain(spark):
-    from connlearn import merge_frames
-
-    a = spark.createDataFrame([(1, "x"), (2, "y"), (4, None)], "id int, a string")
-    b = spark.createDataFrame([(2, 20.0), (3, 30.0)], "id int, b double")
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (4, None), (None, "n"), (None, "m")], "id int, a string")
+    b = spark.createDataFrame([(2, 20.0), (3, 30.0), (None, 1.0)], "id int, b double")
     c = spark.createDataFrame([(1, True), (3, None), (5, False)], "id int, c boolean")
-    fast = merge_frames([a, b, c], key="id")
-    chain = merge_frames([a, b, c], key="id", unique_keys=False)
-    norm = lambda df: sorted(tuple(r) for r in df.select("id", "a", "b", "c").collect())
+    fast = merge_frames([a.filter("a <> 'm' or a is null"), b, c], key="id", unique_keys=True)
+    chain = merge_frames([a.filter("a <> 'm' or a is null"), b, c], key="id")
+    norm = lambda df: sorted((tuple(r) for r in df.select("id", "a", "b", "c").collect()), key=str)
     assert norm(fast) == norm(chain)
-    assert len(norm(fast)) == 5
-
-
-def test_sequential_index_per_key_matches_row_number(spark):
-    from connlearn import sequential_index
-
-    rows = [(k, t, i) for i, (k, t) in enumerate((k, t) for k in "abc" for t in range(0, 300, 7))]
-    df = spark.createDataFrame(rows, "k string, t int, i int").withColumn("blk", (F.col("t") / 50).cast("int"))
-    got = {r["i"]: r["rn"] for r in sequential_index(df, ["t", "i"], "blk", partition_cols=["k"]).collect()}
-    expect = {r["i"]: r["rn"] - 1 for r in
-              df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "i"))).collect()}
-    assert got == expect
+    assert len(norm(fast)) == 7
+
+
+def test_merge_frames_repeated_and_null_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (None, "n")], "id int, a string")
+    b = spark.createDataFrame([(1, 1.0), (2, 2.0), (None, 3.0)], "id int, b double")
+    got = sorted((tuple(r) for r in merge_frames([a, b]).collect()), key=str)
+    assert got == sorted([(1, "x", 1.0), (1, "y", 1.0), (2, None, 2.0), (None, "n", None), (None, None, 3.0)], key=str)
+    with pytest.raises(Exception, match="repeated key: 1"):
+        merge_frames([a, b], unique_keys=True).collect()
+
+
+def test_row_id_keeps_nulls_and_splits_ties(spark):
+    rows = [(None if i % 10 == 0 else 7.0 if i % 10 < 9 else float(i), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "v double, i long").repartition(5)
+    expect = {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    assert {r.i: r.id for r in row_id(df, ["v", "i"], block_rows=200).collect()} == expect
+    sizes = [r["count"] for r in order_blocks(df, ["v", "i"], block_rows=200).groupBy("__block").count().collect()]
+    assert max(sizes) <= 2 * 200 and sum(sizes) == 4000
+    assert sorted(r.id for r in row_id(df, ["v"], block_rows=200).collect()) == list(range(4000))
+    assert row_id(df.limit(0), ["v"]).count() == 0
+
+
+def test_row_id_orders_strings_and_times(spark):
+    df = spark.createDataFrame([('a"b', "2024-01-02"), ("é\\x", None), (None, "2024-01-01"), ("a,{}", "2023-01-01")] * 30,
+                               "s string, d string").withColumn("t", F.col("d").cast("timestamp_ntz"))
+    for cols in (["s", "t"], ["t", "s"]):
+        got = [(r.s, r.d) for r in row_id(df, cols, block_rows=10).orderBy("id").collect()]
+        want = [(r.s, r.d) for r in df.orderBy(*cols).collect()]
+        assert got == want
