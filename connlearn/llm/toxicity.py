@@ -20,10 +20,10 @@ from .common import held_out, map_arrow, read, staged
 #: features it keeps.
 MOST_LABELLED, MOST_CANDIDATES, MOST_FEATURES = 20_000, 400_000, 20_000
 #: Toxic documents that a feature must occur in to be weighed.
-LEAST_TOXIC = 6
-#: A feature counts as toxic if the lower Wilson bound (at this many standard
-#: errors) of its share of toxic documents is at least one half.
-Z = 3.0
+LEAST_TOXIC = 5
+#: A feature counts as toxic if the lower Wilson bound (at Z standard errors)
+#: of its share of toxic documents is at least LEAST_SHARE.
+Z, LEAST_SHARE = 2.3, 0.5
 THRESHOLD = 0.3
 #: Words whose strength a worker remembers; bounds memory only.
 CACHE_WORDS = 300_000
@@ -133,12 +133,15 @@ def written_oddly(text: str) -> list[str]:
 
 # ---- classifier over restored words
 
-def grams(word: str) -> list[int]:
-    """32-bit hashes of a word's features: the whole word and its beginnings
-    of 3 to 7 letters (stems; pieces from inside a word occur by chance in
-    too many clean ones)."""
+def grams(word: str, stem_from: int = 5) -> list[int]:
+    """32-bit hashes of a word's features: the whole word and, from
+    ``stem_from`` letters on, its beginnings of 4 to 7 letters (stems; shorter
+    ones, and pieces from inside a word, occur by chance in too many clean
+    words). Training takes stems from 6 letters on, so that a short word is
+    not the only support of its own beginnings."""
     w = f"^{word[:30]}$"
-    return [zlib.crc32(p.encode()) for p in {w, w[:4], w[:5], w[:6], w[:7], w[:8]}]
+    parts = {w, w[:5], w[:6], w[:7], w[:8]} if len(word) >= stem_from else {w}
+    return [zlib.crc32(p.encode()) for p in parts]
 
 
 @dataclass
@@ -227,10 +230,11 @@ def without_copies(sample: DataFrame) -> DataFrame:
 
 def toxic_features(sample: DataFrame, most: int = MOST_FEATURES) -> dict[int, float]:
     """Feature hash -> strength of the toxic features among the words of
-    (doc_id, text, toxic). Of a group of near copies with one label one
-    document counts, so that copies do not make their words toxic. Features of
-    toxic texts are counted first; the other texts count those alone."""
-    one = without_copies(sample)
+    (doc_id, text, toxic). Of a group of toxic near copies one document
+    counts, so that copies do not make their words toxic; all others count.
+    Features of toxic texts are counted first, the other texts count those
+    alone."""
+    toxic = staged(without_copies(sample.filter("toxic > 0")), "without-copies")
 
     def counter(wanted: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,27 +242,26 @@ def toxic_features(sample: DataFrame, most: int = MOST_FEATURES) -> dict[int, fl
                 for at in range(0, b.num_rows, 500):
                     found = []
                     for t in b.column(0).slice(at, 500):
-                        got = {g for w in set(_WORD.findall(t.as_py().lower())) for g in grams(w)}
+                        got = {g for w in set(_WORD.findall(t.as_py().lower())) for g in grams(w, 6)}
                         got = np.fromiter(got, np.int64, len(got))
                         found.append(got if wanted is None else np.intersect1d(got, wanted, assume_unique=True))
                     gram, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
         return run
 
-    def counts(toxic: int, wanted: np.ndarray | None) -> DataFrame:
-        texts = one.filter(F.col("toxic") == toxic).select("text")
-        return map_arrow(texts, counter(wanted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def counts(texts: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+        found = map_arrow(texts.select("text"), counter(wanted), "gram long, n long")
+        return found.groupBy("gram").agg(F.sum("n").alias("n"))
 
-    one = staged(one, "without-copies")
-    top = counts(1, None).filter(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "gram").limit(MOST_CANDIDATES)
+    top = counts(toxic, None).filter(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "gram").limit(MOST_CANDIDATES)
     top = staged(top.withColumnRenamed("n", "pos"), "toxic-features")
     wanted = np.sort(np.array([r.gram for r in top.select("gram").collect()], np.int64))
-    counts = top.join(counts(0, wanted).withColumnRenamed("n", "neg"), "gram", "left").fillna(0, ["neg"])
-    counts = counts.filter("pos > neg")
+    clean = counts(sample.filter("toxic = 0"), wanted).withColumnRenamed("n", "neg")
+    both = top.join(clean, "gram", "left").fillna(0, ["neg"]).filter("pos > neg")
     n, z2 = F.col("pos") + F.col("neg"), Z * Z
     p = F.col("pos") / n
     low = (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    best = counts.select("gram", low.alias("s")).filter("s >= 0.5").orderBy(F.desc("s"), "gram").limit(most)
+    best = both.select("gram", low.alias("s")).filter(F.col("s") >= LEAST_SHARE).orderBy(F.desc("s"), "gram").limit(most)
     return {r.gram: r.s for r in best.collect()}
 
 
