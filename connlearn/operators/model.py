@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.columns import NORMAL_TOKEN
+from ..functions.columns import NORMAL_TOKEN, sigmoid
 from ..schema import RecordSchema
 from .encode import category_stages, onehot_col, scaler
 from .stages import ClassLabeler, ClassLabelerModel
@@ -65,9 +68,6 @@ def fit_logistic(df: DataFrame, features_col: str = "features", label_col: str =
     lr = logistic(features_col, label_col, max_iter, tol, family)
     if not aggregate_duplicates:
         return lr.fit(df)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.sql import functions as F
-
     grouped = (df.groupBy(vector_to_array(features_col).alias("__x"), F.col(label_col))
                .agg(F.count(F.lit(1)).cast("double").alias("__w"))
                .select(array_to_vector("__x").alias(features_col), label_col, "__w"))
@@ -124,9 +124,6 @@ def load_model(path: str) -> PipelineModel:
 def weight_margins(feature_cols: Sequence[str], weights) -> list:
     """Margin columns ``w_c . x`` for each row of a (pivoted) weight matrix,
     summed left to right over plain feature columns."""
-    import numpy as np
-    from pyspark.sql import functions as F
-
     w = np.atleast_2d(np.asarray(weights, dtype=float))
     if w.shape[1] != len(feature_cols):
         raise ValueError(f"{w.shape[1]} weights per class for {len(feature_cols)} features")
@@ -149,10 +146,6 @@ def score_with_weights(df: DataFrame, feature_cols: Sequence[str], weights,
     (margin 0), prediction = largest margin, ties to the lowest class.
     Column arithmetic only, so it also runs on streams.
     """
-    from pyspark.sql import functions as F
-
-    from ..functions.columns import sigmoid
-
     margins = weight_margins(feature_cols, weights)
     if len(margins) == 1:
         out = df.withColumn(prediction_col, F.when(margins[0] > 0, F.lit(1.0)).otherwise(F.lit(0.0)))

@@ -60,6 +60,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{base}/connlearn-staging/{name}-{uuid.uuid4().hex}"
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Delete everything that :func:`staging_path` handed out below the
+    session's checkpoint folder. Call it when no frame that reads staged
+    tables is needed any more (they are read lazily)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/connlearn-staging")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 
@@ -79,7 +87,7 @@ def spread(df, min_partitions: int | None = None, by: list[str] | None = None):
     try:
         want = min_partitions or spark.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()       # plans the scan; runs no job
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave it to AQE
+    except AttributeError:  # a Spark Connect session has neither: leave it to AQE
         return df
     if have >= want:
         return df

@@ -4,8 +4,8 @@ import os
 import pytest
 from pyspark.errors import PySparkException
 
-from connlearn import (first_lines, format_records, head_sample, parse_records, parse_report, positional_frame, read_records,
-                       scan_lines, write_head_sample, write_lines)
+from connlearn import (clear_staging, first_lines, format_records, head_sample, parse_records, parse_report, positional_frame, read_records,
+                       scan_lines, stage_parquet, write_head_sample, write_lines)
 from connlearn.schema import RecordSchema
 from tests.fixtures import CONN_SCHEMA, MALFORMED_LINES, TRAIN_LINES, lines_df
 
@@ -120,3 +120,11 @@ def test_positional_frame_rejects_other_widths(spark):
     lines = spark.createDataFrame([("1,2,3",), ("1,2,3,4",)], "value string")
     with pytest.raises(Exception, match="expected 3 fields, got 4"):
         positional_frame(lines, 3).collect()
+
+
+def test_clear_staging(spark):
+    path = stage_parquet(spark.range(3)).inputFiles()[0]
+    local = path.removeprefix("file://")
+    assert os.path.exists(local)
+    clear_staging(spark)
+    assert not os.path.exists(local)
