@@ -67,7 +67,7 @@ WITH RECURSIVE r(w, step, ids) AS (
 SELECT w, arg_max(ids, step) AS ids FROM r GROUP BY w ORDER BY w"""
 
 DECODE = """
-SELECT w, string_agg(v.hex, '' ORDER BY i) AS hex
+SELECT w, array_to_string(list(v.hex ORDER BY i), '') AS hex
 FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM seeds) AS position
 JOIN vocabulary v USING (id) GROUP BY w ORDER BY w"""
 
@@ -93,9 +93,9 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         ids = np.fromiter(self.ranks.values(), np.int32, len(self.ranks))
-        self.space = np.zeros(ids.max() + 1, bool)
+        self.starts = np.zeros(ids.max() + 1, bool)
         for token, i in self.ranks.items():
-            self.space[i] = token[:1] == b" "
+            self.starts[i] = token[:1] < b"0"
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs, made = [], []
         for token, i in self.ranks.items():
@@ -191,20 +191,26 @@ class Codec:
 
     def decode(self, texts: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids. Ids are cut before tokens that start
-        with a space (and every 64 ids); distinct pieces are decoded once."""
-        cuts, new = [], {}
+        with a space or a mark (a run of more than 64, every 64 ids); distinct
+        pieces are decoded once."""
+        cuts, new = [], set()
         for t in texts:
             ids = np.frombuffer(t, "<u4")
-            if ids.size and ids.max() >= len(self.space):
+            if not ids.size:
+                cuts.append([])
+                continue
+            if ids.max() >= len(self.starts):
                 raise ValueError("an id is not in the vocabulary")
-            cut = np.flatnonzero(self.space[ids])
-            cut = np.union1d(cut, np.append(np.arange(0, len(ids), PIECE), len(ids))) * 4
-            cut = cut.tolist()
+            cut = np.concatenate(([0], np.flatnonzero(self.starts[ids[1:]]) + 1, [len(ids)]))
+            if np.diff(cut).max(initial=0) > PIECE:
+                cut = np.union1d(cut, np.arange(0, len(ids), PIECE))
+            cut = (cut * 4).tolist()
             pieces = [t[a:b] for a, b in zip(cut, cut[1:])]
-            new.update(dict.fromkeys(p for p in pieces if p not in self.pieces))
+            new.update(pieces)
             cuts.append(pieces)
+        new = [p for p in new if p not in self.pieces]
         for at in range(0, len(new), FLUSH_WORDS):
-            part = list(new)[at:at + FLUSH_WORDS]
+            part = new[at:at + FLUSH_WORDS]
             offsets, ids = _lists(part, "<u4")
             hexes = self._run(DECODE, (offsets, ids.astype(np.int32)), "hex").to_pylist()
             if len(hexes) < len(part):
