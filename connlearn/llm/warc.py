@@ -240,8 +240,10 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.regexp_extract(F.col("payload").cast("string"), r"page-id: *(-?\d+)", 1).try_cast("long")
     slim = records.select("warc_type", "record_id", "concurrent_to", "refers_to", size.alias("size"),
                           digest.alias("digest"), F.when(F.col("warc_type") == "metadata", page).alias("page_id"))
+    # a response refers to nothing: a value of its own keeps the join's nulls apart
+    to = F.coalesce("record.refers_to", F.concat(F.lit("-"), "record_id"))
     captures = assemble(staged(slim, "warc-records")).select(
-        F.col("record_id"), F.col("record.refers_to").alias("to"), F.col("record.size").alias("payload_bytes"),
+        F.col("record_id"), to.alias("to"), F.col("record.size").alias("payload_bytes"),
         F.col("record.digest").alias("payload_digest"), F.col("record.warc_type").alias("record_type"),
         F.get("metadata.page_id", F.lit(0)).alias("page_id"), "copies")
     pages = captures.select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"))
