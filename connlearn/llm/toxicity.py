@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,16 +68,23 @@ def language_model(df: DataFrame, text: str = "text") -> np.ndarray:
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 #: Log2 channel probabilities: a letter as itself, a look-alike, a repeated
-#: letter written for one, a separator put between letters.
-SAME, ALIKE, REPEAT, SEPARATOR = -0.1, -2.0, -1.0, -1.0
-BEST = 4
-
-
-def decode(seen: str, lm: np.ndarray, best: int = BEST) -> list[str]:
-    """The most probable intended words behind one written token (Viterbi over
-    the letter lattice; states are the last two letters; the ``best`` best
-    paths survive per state). Separators may be dropped, a run of one letter
-    may stand for one or two, look-alikes for their letters."""
+#: letter written for one, a separator put between letters, a separator put
+#: between letters that are all set apart.
+SAME, ALIKE, REPEAT, SEPARATOR, SPREAD = -0.1, -2.0, -1.0, -1.0, -0.1
+#: What a word that the classifier knows is more probable than its letters alone.
+KNOWN = 8.0
+#: Paths kept per state, and readings of a token; more where words may end inside.
+BEST, BEST_CUT = 4, 32
+
+
+def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], bool] = lambda word: False) -> list[str]:
+    """The most probable intended readings of one written token or spaced run
+    (Viterbi over the letter lattice; states are the last two symbols; the
+    ``best`` best paths survive per state). Separators may be dropped or end a
+    word (then the reading has a space), a run of one letter may stand for one
+    or two, look-alikes for their letters. Words that are ``known`` count more,
+    so that a reading with one outlives other cuts of a long run."""
+    between = SPREAD if _SPACED.fullmatch(seen) else SEPARATOR
     paths = {(0, 0): [(0.0, "")]}
     before = ""
     for c in seen.lower():
@@ -86,11 +93,15 @@ def decode(seen: str, lm: np.ndarray, best: int = BEST) -> list[str]:
             options.append((c, SAME))
         elif not options and c.isalpha():
             options.append((c, SAME))
+        drop = None if options and c.isalnum() else between if before.isalnum() else SEPARATOR
         step: dict[tuple[int, int], list[tuple[float, str]]] = {}
         for (a, b), ends in paths.items():
             for score, word in ends:
-                if not options or not c.isalnum():
-                    step.setdefault((a, b), []).append((score + SEPARATOR, word))
+                if drop is not None:
+                    step.setdefault((a, b), []).append((score + (SAME if word[-1:] == " " else drop), word))
+                    if b:
+                        more = KNOWN if known(word[word.rfind(" ") + 1:]) else 0.0
+                        step.setdefault((b, 0), []).append((score + SAME + lm[a, b, 0] + more, word + " "))
                 elif c == before:
                     step.setdefault((a, b), []).append((score + REPEAT, word))
                 for x, p in options:
@@ -103,32 +114,64 @@ def decode(seen: str, lm: np.ndarray, best: int = BEST) -> list[str]:
     ends = {}
     for (a, b), v in paths.items():
         for score, word in v:
-            ends[word] = max(ends.get(word, -math.inf), score + lm[a, b, 0])
+            if b:
+                score += lm[a, b, 0] + (KNOWN if known(word[word.rfind(" ") + 1:]) else 0.0)
+            word = word.rstrip(" ")
+            ends[word] = max(ends.get(word, -math.inf), score)
     return [w for w, _ in sorted(ends.items(), key=lambda e: (-e[1], e[0])) if w][:best]
 
 
 _SEP = r"[ .\-_*/\\,]"
 _ONE = r"[^\W_]|[@$!|+(€]"
 _SPACED = re.compile(rf"(?<![^\W_])(?:(?:{_ONE}){_SEP}{{1,2}}){{3,}}(?:{_ONE})(?![^\W_])")
-_ODD = re.compile(r"[^\W\d_][@$!|+(€*.\-_]+[^\W_]|[^\W\d_][0-9]+[^\W\d_]|(?<![^\W_])[0-9@$!|+(€]+[^\W\d_]{2}"
-                  r"|([^\W\d_])\1\1")
-_ANY = re.compile(rf"{_ODD.pattern}|(?<![^\W_])(?:{_ONE}){_SEP}{{1,2}}(?:{_ONE}){_SEP}{{1,2}}(?:{_ONE}){_SEP}")
-_EDGE = re.compile(r"^[\W_]*(?<![@$!|+(€])|[\W_]+$")
-LONGEST = 40
+_ODD = re.compile(r"[^\W\d_][@$!|+(€*.\-_/\\,]+[^\W_]|[^\W\d_][0-9]+[^\W\d_]"
+                  r"|(?<![^\W_])[0-9@$!|+(€]+[^\W\d_]{2}|[^\W\d_](?:[0-9@$!|+(€]+|\*{1,2}(?!\*))(?![^\W_])|([^\W\d_])\1\1")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_EDGE = re.compile(r"^[\W_]*(?<![@$!|+(€])|(?![@$!|+(€*])[\W_]+$")
+_CUT = re.compile(rf"[^\W_]{_SEP}+[^\W_]")
+_REPEATS = re.compile(r"([^\W\d_])\1{3,}")
+_TWICE = re.compile(r"([^\W\d_])\1")
+#: Written characters that are decoded at once, and how far such windows
+#: overlap: a word of up to 58 characters, separators included, is whole and
+#: away from the cuts in at least one window.
+WINDOW, OVERLAP = 120, 60
 
 
 def written_oddly(text: str) -> list[str]:
-    """Tokens that look disguised: look-alikes or separators among letters, a
-    letter three times over, or single letters set apart. Tokens of more than
-    40 characters, or mostly digits, are identifiers and left alone."""
-    if not _ANY.search(text):
-        return []
-    found = [re.sub(_SEP, "", m.group()) for m in _SPACED.finditer(text)]
-    for token in text.split():
-        if len(token) <= LONGEST * 2 and _ODD.search(token):
+    """Tokens, of any length, that look disguised: look-alikes or separators
+    among or after letters (three
+    stars after a word are a mark), a letter three times over, or runs of single
+    letters set apart."""
+    found = [m.group() for m in _SPACED.finditer(text)]
+    triple = _TRIPLE.search(text)
+    for token in dict.fromkeys(text.split()):
+        # of plain words, the cheap and common case, only repeated letters count
+        odd = _ODD if not token.strip(".,;:?").isalpha() else _TRIPLE if triple else None
+        if odd and odd.search(token):
             found.append(_EDGE.sub("", token))
-    return [t for t in dict.fromkeys(found)
-            if 2 < len(t) <= LONGEST and (t.isalpha() or sum(c.isdigit() for c in t) * 3 <= len(t) * 2)]
+    return list(dict.fromkeys(t for t in found if len(t) > 2))
+
+
+def worded(seen: str) -> bool:
+    """False if neither the whole nor a part between separators has letters
+    enough to be a word: mostly digits are identifiers."""
+    return any(len(p) > 2 and sum(c.isdigit() for c in p) * 3 <= len(p) * 2
+               for p in (re.sub(_SEP, "", seen), *re.split(_SEP, seen)))
+
+
+def restored_words(seen: str, lm: np.ndarray, known: Callable[[str], bool]) -> list[str]:
+    """The distinct words of all readings of a written token. A token longer
+    than a window is decoded in overlapping windows; words at a cut may be
+    fragments and are taken from the neighbouring window."""
+    seen = _REPEATS.sub(r"\1\1\1", seen)
+    words: dict[str, None] = {}
+    for at in range(0, max(1, len(seen) - OVERLAP), WINDOW - OVERLAP):
+        piece = seen[at:at + WINDOW]
+        if worded(piece):
+            for reading in decode(piece, lm, BEST_CUT if _CUT.search(piece) else BEST, known):
+                got = reading.split()
+                words.update(dict.fromkeys(got[at > 0:len(got) - (at + WINDOW < len(seen))]))
+    return list(words)
 
 
 # ---- classifier over restored words
@@ -144,6 +187,18 @@ def grams(word: str, stem_from: int = 5) -> list[int]:
     return [zlib.crc32(p.encode()) for p in parts]
 
 
+def undoubled(word: str) -> set[str] | None:
+    """Every word that ``word`` may stand for if doubled letters are one
+    letter each or stay; None if those are too many to list."""
+    runs = [m.group() for m in re.finditer(r"(.)\1*", word)]
+    if sum(len(r) > 1 for r in runs) > 6:
+        return None
+    out = {""}
+    for r in runs:
+        out = {w + part for w in out for part in {r[0], r[:2]}}
+    return out - {word}
+
+
 @dataclass
 class Model:
     """Language model and toxic features; the caches stay in the worker."""
@@ -152,21 +207,36 @@ class Model:
     cache: dict = field(default_factory=dict)
     restored: dict = field(default_factory=dict)
 
+    def known(self, word: str) -> bool:
+        return zlib.crc32(f"^{word[:30]}$".encode()) in self.strong
+
     def restore(self, token: str) -> list[str]:
         got = self.restored.get(token)
         if got is None:
-            if len(self.restored) > CACHE_WORDS // 4:
-                self.restored.clear()
-            got = self.restored[token] = decode(token, self.lm)
+            got = restored_words(token, self.lm, self.known)
+            if len(token) <= WINDOW:
+                if len(self.restored) > CACHE_WORDS // 4:
+                    self.restored.clear()
+                self.restored[token] = got
         return got
 
     def strength(self, word: str) -> float:
+        """Strength of a word as written or, if it has a doubled letter, of
+        the readings that are more probable than what is written."""
         s = self.cache.get(word)
         if s is None:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
             get = self.strong.get
-            s = self.cache[word] = max([get(g, 0.0) for g in grams(word)])
+            s = max([get(g, 0.0) for g in grams(word)])
+            if _TWICE.search(word):
+                # features see 30 letters, 60 if every one is doubled
+                start, may = word[:60], undoubled(word[:60])
+                if may is None or any(g in self.strong for w in may for g in grams(w)):
+                    likely = decode(start, self.lm)
+                    likely = likely[:likely.index(start)] if start in likely else likely
+                    s = max([s, *[get(g, 0.0) for w in likely for g in grams(w)]])
+            self.cache[word] = s
         return s
 
     def score(self, text: str | None) -> float:

@@ -243,3 +243,24 @@ def test_toxicity_restores_and_handles_edges(spark, make_docs):
     assert got[6].score == 0 and got[5].score == 0
     none = toxicity.fit(make_docs([]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.strong == {} and toxicity.score(make_docs([(1, "anything")]), none).first().predicted == 0
+
+
+def test_toxicity_word_boundaries_and_long_runs(spark, make_docs):
+    rng = random.Random(3)
+    clean = "the you are a big person lion river music stone garden window and was thing well they".split()
+    rows, labels = [], []
+    for i in range(600):
+        w = [rng.choice(clean) for _ in range(30)]
+        if i % 4 == 0:
+            w[3] = w[9] = "stupid"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    run = "theyouareabigpersonandthethingwas"
+    bad = ["you are a s t u p i d person", "b i g s t u p i d", "well,5tup1d", "x/y/stup1d/z", "the-$tupid.and",
+           " ".join(run + "stupid" + run), "x/y/" * 40 + "stup1d" + "/abc" * 40, "stuppid", "2024/01/02/5tupid", "stup!d" + "," * 3 + "well", "s.t.u.p.i.d,the"]
+    good = ["you are a b i g person", " ".join(run * 3), "x/y/" * 100, "a1" * 30_000, "xxyyzz" * 5000, "well!! the*** 2024/01/02"]
+    m = toxicity.Model(model.lm, model.strong)
+    assert [t for t in bad if m.score(t) < toxicity.THRESHOLD] == []
+    assert [t[:50] for t in good if m.score(t) >= toxicity.THRESHOLD] == []
+    assert toxicity.written_oddly("great idio+ a$$ f4") == ["idio+", "a$$"]
