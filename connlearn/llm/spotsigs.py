@@ -62,23 +62,25 @@ def fingerprint(sigs: list[int]) -> str:
 def likeness(a: list[int], b: list[int], least: float = 0.0) -> float:
     """Multiset Jaccard of two sorted signature lists (1 if both are empty),
     pruned: when the sizes, or the part still unread, cannot reach ``least``,
-    the answer is 0."""
+    the answer is 0. Bounds are quotients, as the likeness is: a product
+    with ``least`` may be rounded above a pair that just reaches it."""
     if not a and not b:
         return 1.0
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
+    if min(len(a), len(b)) / max(len(a), len(b)) < least:
         return 0.0
     if a == b:
         return 1.0
     small, large = (a, b) if len(a) < len(b) else (b, a)
-    need = least * (len(a) + len(b)) / (1 + least)
+    total = len(a) + len(b)
     count, both = Counter(large), 0
     for i, s in enumerate(small):
-        if both + len(small) - i < need:
+        most = both + len(small) - i
+        if most / (total - most) < least:
             return 0.0
         if count.get(s, 0) > 0:
             count[s] -= 1
             both += 1
-    return both / (len(a) + len(b) - both)
+    return both / (total - both)
 
 
 # ---- neighbours in document order, without a global sort task
@@ -246,12 +248,12 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     lone = F.count("*").over(Window.partitionBy("rep"))
     # signatures of one class only come first in the order and join nothing
     prefix = (token.withColumn("place", place + F.col("n") - lone)
-              .filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1))
+              .filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1))
     left = prefix.select("tok", "p", F.col("rep").alias("a"), F.col("n").alias("an"))
     right = prefix.select("tok", F.explode(F.array(F.col("p"), F.col("p") - 1)).alias("p"),
                           F.col("rep").alias("b"), F.col("n").alias("bn"))
     short = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    cand = left.join(right, ["tok", "p"]).filter(short & (F.col("an") >= F.lit(threshold) * F.col("bn")))
+    cand = left.join(right, ["tok", "p"]).filter(short & (F.col("an") / F.col("bn") >= F.lit(threshold)))
     cand = cand.select("a", "b").distinct()
     whole = full.select("rep", "sigs")
     both = (cand.join(whole.select(F.col("rep").alias("a"), F.col("sigs").alias("x")), "a")

@@ -214,6 +214,16 @@ def test_likeness_pruning_keeps_exact_values():
             j >= 0.5 or spotsigs.likeness(a, b, 0.5) < 0.5)
 
 
+def test_likeness_keeps_pairs_at_exactly_the_threshold(spark):
+    assert spotsigs.likeness(list(range(28)), list(range(35)), 0.8) == 0.8
+    for least, p, q in ((0.8, 4, 5), (0.9, 9, 10), (0.7, 7, 10), (0.6, 3, 5)):
+        for k in range(1, 60):
+            assert spotsigs.likeness(list(range(p * k)), list(range(q * k)), least) == least, (least, k)
+    sets = spark.createDataFrame([(1, list(range(28))), (2, list(range(35)))], "key long, sigs array<long>")
+    pairs, _ = spotsigs.similar_pairs(sets, 0.8)
+    assert [r.likeness for r in pairs.collect()] == [0.8]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op10_toxicity(spark, sf)
