@@ -23,13 +23,16 @@ BASE = (
 )
 #: Kinds that the method adds, ranked after the base kinds.
 ADDED = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"), 0, 27),
+    # with its headers, up to its END line or, if that is missing, the end of the text
+    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S), 0, 27),
     ("forge", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), 0, 40),
     ("chat", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0, 15),
-    ("url", re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{6,128})@"), 1, 6),
+    # of any length, with or without a user; runs between "://" do not overlap, so this is linear
+    ("url", re.compile(r"://[^\s/:@]*:([^\s/:@]{6,})@"), 1, 6),
 )
 KINDS = BASE + ADDED
-RULE_VERSION = 1
+#: Changes with the patterns, so that blobs of older rules are scanned again.
+RULE_VERSION = 3
 #: Cheap literal tests: a kind's pattern runs only on texts that pass.
 _HINTS = {"access": ("AKIA",), "pem": ("PRIVATE KEY-----",), "forge": ("gh",), "chat": ("xox",), "url": ("://",)}
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")

@@ -106,6 +106,17 @@ def test_spans_match_the_base_rules():
     assert secrets.spans_text(secrets.find(TEXTS[-1])) == "url:5:20"
 
 
+def test_long_urls_and_encrypted_keys_are_redacted_whole():
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0F\n\n"
+    body, end = "MIIEabc+/=\n" * 30, "-----END RSA PRIVATE KEY-----"
+    for text, want in ((f"a ://oauth2:{'eyJ.' * 500}@host", "a [url]host"), ("redis://:hunter22@host", "redis[url]host"),
+                       (f"://{'u' * 100}:hunter22@host", "[url]host"), (f"a {head}{body}{end} z", "a [pem] z"),
+                       (f"a {head}{body}", "a [pem]"), (f"{head}{body}{end} - {head}{body}{end}", "[pem] - [pem]")):
+        assert secrets.redact(text, secrets.spans_text(secrets.find(text))) == want
+    assert secrets.find("://" + "x" * 300_000 + ":" + "y" * 300_000) == []
+    assert secrets.find("http://host:8080/path a@b") == []
+
+
 def test_ledger_scans_only_unseen_blobs(spark, make_docs, tmp_path):
     first = make_docs([(1, TEXTS[1]), (2, TEXTS[1]), (3, None), (4, "")], clash=True)
     second = make_docs([(5, TEXTS[1]), (6, TEXTS[4]), (7, TEXTS[4])])
