@@ -22,7 +22,8 @@ def label_vocabulary(df: DataFrame, label_col: str = "label") -> DataFrame:
     """``label, n, class_id``: labels without their terminator, by frequency
     descending, ties by name; the rank (0-based) is the class id.
 
-    The rank is a distributed numbering of the frequency table.
+    The rank is a distributed numbering of the frequency table, which is
+    computed once.
     """
     freq = (df.select(strip_terminator(label_col).alias("label"))
               .groupBy("label").agg(F.count(F.lit(1)).alias("n")))

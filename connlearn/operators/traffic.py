@@ -8,7 +8,7 @@
 * attack-category roll-up.
 
 Time windows are linear in the rows: connections are first counted per (key,
-other, time); each count is added at its time and taken away one microsecond
+other, time), once, into a stored table; each count is added at its time and taken away one microsecond
 after it leaves the frame, so a running sum is the window's value, however
 many rows a frame holds. Running sums are cut into blocks of the (key, time)
 order with about equal rows, shifted by the totals of earlier blocks, so a
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import epoch_micros, strip_terminator
+from ..session import staged
 from .sequence import BLOCK_ROWS, OrderBlocks, block_offsets, row_id
 
 # Connection flags counted as SYN errors and as REJ errors.
@@ -66,13 +67,15 @@ def _time_features(df: DataFrame, key: str, other: str, flag: str, ts: str, fram
     base = rows.filter(F.col("__pos").isNotNull()).select(
         F.col(key).alias("key"), F.col(other).alias("other"), F.col("__pos").alias("pos"),
         _flag_share(flag, serror_flags).alias("s"), _flag_share(flag, rerror_flags).alias("r"))
-    cells = base.groupBy("key", "other", "pos").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.sum("r").alias("r"))
+    cells = staged(base.groupBy("key", "other", "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.sum("r").alias("r")), "cells")
     change = F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.lit(1).alias("sign")),
                                F.struct((F.col("pos") + F.lit(frame + 1)).alias("pos"), F.lit(-1).alias("sign"))))
     signed = cells.select("key", "other", "n", "s", "r", change.alias("c")).select(
         "key", "other", "c.pos", "c.sign", *[(F.col(m) * F.col("c.sign")).alias(m) for m in ("n", "s", "r")])
-    signed = OrderBlocks(base.select("key", "pos"), ["key", "pos"], block_rows, False).place(signed)
+    # one shuffle on the block serves both running sums and both offsets
+    signed = OrderBlocks(cells.select("key", "pos"), ["key", "pos"], block_rows, False).place(signed)
+    signed = signed.repartition("__block")
 
     by_key, same_key = block_offsets(signed, ["key"], "__block", ["n", "s", "r"], "__k_")
     by_pair, same_pair = block_offsets(signed, ["key", "other"], "__block", ["n"], "__p_")

@@ -60,6 +60,15 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{base}/connlearn-staging/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df, name: str):
+    """Write ``df`` to a fresh shared folder and read it back: whatever reads
+    it sees the same rows, also where ``df`` is not deterministic, and lineage
+    ends there."""
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Delete everything that :func:`staging_path` handed out below the
     session's checkpoint folder. Call it when no frame that reads staged

@@ -3,6 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from connlearn import hash_split, merge_frames, order_blocks, random_split, row_id, split_union, zip_by_position
+from connlearn.operators.sequence import expand_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,44 @@ def test_row_id_orders_strings_and_times(spark):
         got = [(r.s, r.d) for r in row_id(df, cols, block_rows=10).orderBy("id").collect()]
         want = [(r.s, r.d) for r in df.orderBy(*cols).collect()]
         assert got == want
+
+
+def test_row_id_splits_rows_that_repeat(spark):
+    values = [None, "a", "b", "b2", "c", "d", "e"]
+    df = spark.range(500_000).select(F.get(F.array(*[F.lit(v) for v in values]), (F.col("id") % 7).cast("int")).alias("v"),
+                                     F.lit(1.5).alias("x"))
+    df = df.unionByName(spark.range(300).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("v"),
+                                                F.lit(0.5).alias("x")))
+    got = row_id(df, ["v"], block_rows=50_000)
+    want = df.groupBy("v", "x").count().orderBy("v").collect()
+    ranges = {(r.v, r.x): (r.lo, r.hi, r.n) for r in got.groupBy("v", "x").agg(
+        F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_distinct("id").alias("n")).collect()}
+    by_value, at = {}, 0
+    for r in want:
+        lo, hi, n = ranges[(r.v, r.x)]
+        assert n == r["count"] == hi - lo + 1
+        by_value.setdefault(r.v, []).append((lo, hi))
+    for v in sorted(by_value, key=lambda v: (v is not None, v or "")):
+        for lo, hi in sorted(by_value[v]):
+            assert lo == at
+            at = hi + 1
+    assert at == 500_300
+    blocks = order_blocks(df, ["v"], block_rows=50_000).groupBy("__block").count().collect()
+    assert len(blocks) == 11 and max(r["count"] for r in blocks) == 50_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2                       # the stored input: single rows and repeated rows
+
+
+def test_row_id_of_an_input_that_changes(spark):
+    df = spark.range(30_000).withColumn("v", (F.rand() * 1000).cast("int")).repartition(7).limit(20_000)
+    got = row_id(df, ["v"], block_rows=3000)
+    ids = [r.id for r in got.select(F.col("id")).collect()]
+    assert sorted(ids) == list(range(20_000))
+    rows = row_id(df.select("v"), ["v"], block_rows=3000).collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.id)] == sorted(r.v for r in rows)
+
+
+def test_expand_copies(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 0), (None, 25), ("a", 3)], "k string, n int")
+    got = sorted(((r.k or "", r.c) for r in expand_copies(df, "n", "c", chunk_rows=4).collect()))
+    assert got == sorted([("a", i) for i in range(3)] * 2 + [("", i) for i in range(25)])
