@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, secrets, sharding, simhash, spotsigs, toxicity, warc
+from . import bpe, langid, merkle, mixing, quality, secrets, sharding, simhash, spotsigs, toxicity, warc
 
-MODULES = (warc, langid, sharding, secrets, quality, simhash, spotsigs, mixing, bpe, toxicity)
+MODULES = (warc, langid, sharding, secrets, quality, simhash, spotsigs, mixing, bpe, toxicity, merkle)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
