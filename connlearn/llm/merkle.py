@@ -47,7 +47,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def parent_hash(slots: list[str]) -> Column:
-    return F.sha2(F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in slots]).cast("binary"), 256)
+    return F.expr(f"sha2(concat_ws('', {', '.join(slots)}), 256)")
 
 
 def slot_names(fanout: int) -> list[str]:
@@ -61,7 +61,7 @@ def pivot(nodes: DataFrame, fanout: int, carried: tuple[str, ...] = ()) -> DataF
     own = F.pmod("pos", F.lit(fanout))
 
     def spread(col: str, prefix: str) -> list[Column]:
-        return [F.max(F.when(F.col("slot") == k, F.col(col))).alias(f"{prefix}{k}") for k in range(fanout)]
+        return [F.expr(f"max(CASE WHEN slot = {k} THEN {col} END) AS {prefix}{k}") for k in range(fanout)]
     parents = nodes.select("g", F.floor(F.col("pos") / F.lit(fanout)).cast("bigint").alias("up"), own.alias("slot"),
                            F.ceil(F.col("n") / F.lit(fanout)).cast("bigint").alias("n"), "digest", *carried)
     return parents.groupBy("g", F.col("up").alias("pos")).agg(
@@ -88,11 +88,12 @@ def _slots(fanout: int, carried: tuple[str, ...]) -> Column:
     carried columns."""
     names = slot_names(fanout)
 
-    def joined(part: list[str]) -> Column:
-        return F.concat_ws("", *[F.col(c) for c in part]) if part else F.lit("")
-    return F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(
-        F.lit(k).cast("bigint").alias("slot"), joined(names[:k]).alias("l"), joined(names[k + 1:]).alias("r"),
-        *[F.col(f"{x}_{k}").alias(x) for x in carried])) for k, c in enumerate(names)]), lambda x: x.isNotNull())
+    def joined(part: list[str]) -> str:
+        return f"concat_ws('', {', '.join(part)})" if part else "''"
+    slots = [f"CASE WHEN {c} IS NOT NULL THEN named_struct('slot', {k}L, 'l', {joined(names[:k])}, "
+             f"'r', {joined(names[k + 1:])}{''.join(f', {x!r}, {x}_{k}' for x in carried)}) END"
+             for k, c in enumerate(names)]
+    return F.expr(f"filter(array({', '.join(slots)}), x -> x IS NOT NULL)")
 
 
 def hand_down(levels: list[DataFrame], tops: DataFrame, fanout: int, carried: tuple[str, ...] = ()) -> DataFrame:
