@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import (bpe, langid, merkle, mixing, quality, secrets, sharding, simhash, spotsigs, toxicity,
+from . import (bpe, collocations, langid, merkle, mixing, quality, secrets, sharding, simhash, spotsigs, toxicity,
                urlfilter, warc)
 
 MODULES = (warc, langid, sharding, secrets, quality, simhash, spotsigs, mixing, bpe, toxicity,
-           urlfilter, merkle)
+           urlfilter, collocations, merkle)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
