@@ -1,3 +1,4 @@
+from .diagnose import SeparableError, Separation, score_equations, separation
 from .encode import (assemble, category_labels, category_stages, category_widths, encode_categories,
                      fit_category_encoders, fit_scaler, one_hot_columns, scale, scaler, scaler_stats, vector_columns)
 from .evaluate import (confusion_counts, confusion_matrix, error_rate, evaluate, evaluator_accuracy, matrix_error,
@@ -5,7 +6,7 @@ from .evaluate import (confusion_counts, confusion_matrix, error_rate, evaluate,
 from .labels import (binary_label, binary_label_frequency, class_frequency, collect_vocabulary, known_classes,
                      label_frequency, label_vocabulary, multinomial_label)
 from .merge import merge_features, merge_frames, zip_by_position
-from .model import (build_pipeline, fit_logistic, load_model, logistic, lr_weights, save_model, score,
+from .model import (build_pipeline, fit_checked, fit_logistic, load_model, logistic, lr_weights, save_model, score,
                     score_with_weights)
 from .projections import drop_columns, drop_positions, project_categorical, project_label, project_numeric
 from .sequence import order_blocks, row_id

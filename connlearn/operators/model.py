@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import NORMAL_TOKEN, sigmoid
 from ..schema import RecordSchema
+from .diagnose import SeparableError, Separation, separation
 from .encode import category_stages, onehot_col, scaler
 from .stages import ClassLabeler, ClassLabelerModel
 
@@ -22,6 +23,8 @@ from .stages import ClassLabeler, ClassLabelerModel
 # no intercept, no regularisation).
 MAX_ITER = 100
 TOLERANCE = 1e-6
+# Iterations after which a fit that goes on is checked for separable rows.
+PROBE_ITER = 15
 
 
 def logistic(features_col: str = "features", label_col: str = "class", max_iter: int = MAX_ITER,
@@ -74,6 +77,33 @@ def fit_logistic(df: DataFrame, features_col: str = "features", label_col: str =
     return lr.setWeightCol("__w").fit(grouped)
 
 
+def fit_checked(lr: LogisticRegression, df: DataFrame, on_separable: str = "error",
+                probe_iter: int = PROBE_ITER) -> tuple[LogisticRegressionModel, Separation | None]:
+    """Fit ``lr``, but not on after its weights when there is no optimum.
+
+    The optimiser first runs ``probe_iter`` iterations. If it has converged by
+    then, that is the fit. If not, one pass over the margins tells whether the
+    rows are separable; then ``error`` raises :class:`SeparableError`, ``flag``
+    returns the model as far as it is (the second value tells), and otherwise
+    the fit runs to its end. ``ignore`` fits without a look.
+    """
+    if on_separable not in ("error", "flag", "ignore"):
+        raise ValueError("on_separable must be 'error', 'flag' or 'ignore'")
+    full = lr.getMaxIter()
+    if on_separable == "ignore" or full <= probe_iter:
+        return lr.fit(df), None
+    probe = lr.copy({lr.maxIter: probe_iter}).fit(df)
+    if probe.summary.totalIterations < probe_iter:
+        return probe, None
+    found = separation(probe.transform(df), lr.getLabelCol())
+    if not found.separable:
+        return lr.fit(df), found
+    if on_separable == "error":
+        raise SeparableError(f"all {found.rows} training rows are separable (least margin {found.least_margin:.3g}): "
+                             "the weights have no finite optimum")
+    return probe, found
+
+
 def score(model, df: DataFrame) -> DataFrame:
     """``transform`` only: no action, so it also accepts a streaming frame."""
     return model.transform(df)

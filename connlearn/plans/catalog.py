@@ -875,11 +875,149 @@ def q_confusion_matrix_from_keys(spark, sf):
 
 
 # --------------------------------------------------------------------------
-# Workflows (iterative fits: rows-only checks, numeric checks in tests)
+# Workflows on the records' own label. The label is not separable, so each fit
+# has one optimum; the SQL finds it by gradient descent in a recursive query
+# (standardised features: a step of 1 / curvature converges within FIT_STEPS).
 
-def _flow(lines: DataFrame, categorical: bool, classes: str):
+FLOW_TOL = 1e-12
+FIT_STEPS = 60
+LINE_CLASSES = 3
+# The category values of the lines table.
+LINE_VALUES = {"linestatus": ("F", "O"), "orderpriority": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"),
+               "orderstatus": ("F", "O", "P")}
+
+
+def _real_flow(categorical: bool, classes: str) -> Workflow:
+    return Workflow(LINES_SCHEMA, categorical=categorical, classes=classes, normal_token="N", tol=FLOW_TOL)
+
+
+def _flow_matrix(lines: DataFrame, categorical: bool, classes: str) -> DataFrame:
     train, test = hash_split(lines, ["orderkey"], SPLIT_WEIGHTS, SPLIT_SEED)
-    flow = Workflow(LINES_SCHEMA, categorical=categorical, classes=classes, normal_token="N")
+    return _real_flow(categorical, classes).run(train.drop("orderkey"), test.drop("orderkey")).confusion_matrix()
+
+
+_CLASS_SQL = {
+    "binary": "cls AS (SELECT *, CASE WHEN label = 'N.' THEN 0 ELSE 1 END AS c FROM lines)",
+    "all": """ranked AS (
+  SELECT label AS l, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS c FROM lines WHERE bucket < 7 GROUP BY 1),
+cls AS (SELECT lines.*, ranked.c FROM lines JOIN ranked ON label = l)"""}
+
+
+def _fit_sql(categorical: bool, classes: str) -> str:
+    """CTEs up to ``fit``: one row of weights ``w{class}_{feature}``, and
+    ``xs``: standardised features ``x{feature}`` with class ``c``."""
+    raw = list(NUMS) + ([f"({c} = '{v}')::INTEGER" for c in CATS for v in LINE_VALUES[c]] if categorical else [])
+    k = 2 if classes == "binary" else LINE_CLASSES
+    d = range(len(raw))
+    # curvature of the mean loss: p (1 - p) = 1/4 in the binary case, and the
+    # features' correlations at most double it (two-valued categories)
+    step = (2.0 if categorical else 4.0) if k == 2 else (1.5 if categorical else 3.0)
+    own = range(1, k) if k == 2 else range(k)
+    margin = {c: " + ".join(f"w{c}_{j} * x{j}" for j in d) for c in own}
+    if k == 2:
+        prob = {1: f"1.0 / (1.0 + exp(-({margin[1]})))"}
+    else:
+        total = " + ".join(f"exp({margin[c]})" for c in own)
+        prob = {c: f"exp({margin[c]}) / ({total})" for c in own}
+    ws = [f"w{c}_{j}" for c in own for j in d]
+    probs = ", ".join(f"{prob[c]} - (c = {c})::INTEGER AS r{c}" for c in own)
+    moved = ", ".join(f"any_value(w{c}_{j}) - {step} * avg(r{c} * x{j}) AS w{c}_{j}" for c in own for j in d)
+    return f"""{_CLASS_SQL[classes]},
+stats AS (SELECT {', '.join(f'avg({e}) AS a{j}, stddev_samp({e}) AS s{j}' for j, e in enumerate(raw))} FROM cls WHERE bucket < 7),
+xs AS MATERIALIZED (SELECT bucket, c, {', '.join(f'coalesce(({e} - a{j}) / nullif(s{j}, 0), 0.0) AS x{j}' for j, e in enumerate(raw))}
+  FROM cls, stats),
+walk AS (
+  SELECT 0 AS it, {', '.join(f'0.0::DOUBLE AS {w}' for w in ws)}
+  UNION ALL
+  SELECT it + 1, {moved} FROM (SELECT walk.*, xs.* EXCLUDE (bucket), {probs} FROM walk, xs WHERE bucket < 7 AND it < {FIT_STEPS})
+  GROUP BY it),
+fit AS (SELECT * FROM walk WHERE it = {FIT_STEPS})"""
+
+
+def _flow_sql(categorical: bool, classes: str) -> str:
+    """Confusion matrix of the SQL fit on the test part."""
+    d = range(len(NUMS) + (sum(len(LINE_VALUES[c]) for c in CATS) if categorical else 0))
+    if classes == "binary":
+        k, pred = 2, f"CASE WHEN {' + '.join(f'w1_{j} * x{j}' for j in d)} > 0 THEN 1 ELSE 0 END"
+    else:
+        k = LINE_CLASSES
+        margins = ", ".join(" + ".join(f"w{c}_{j} * x{j}" for j in d) for c in range(k))
+        pred = f"list_position([{margins}], list_max([{margins}])) - 1"
+    return ("WITH RECURSIVE " + LINES_SQL + ",\n" + _fit_sql(categorical, classes) + f""",
+seen AS (SELECT c AS actual, {pred} AS predicted, count(*) AS n FROM xs, fit WHERE bucket >= 7 GROUP BY ALL)
+SELECT CAST(g // {k} AS INTEGER) AS actual, CAST(g % {k} AS INTEGER) AS predicted, CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM (SELECT unnest(range({k * k})) AS g) LEFT JOIN seen ON actual = g // {k} AND predicted = g % {k}""")
+
+
+@register("flow_numeric_binary", _flow_sql(False, "binary"))
+def q_flow_numeric_binary(spark, sf):
+    """Normal or attack from the numeric features of text records."""
+    return _flow_matrix(_parsed_lines(spark, sf), False, "binary")
+
+
+@register("flow_numeric_multi", _flow_sql(False, "all"))
+def q_flow_numeric_multi(spark, sf):
+    """The label from the numeric features."""
+    return _flow_matrix(_lines(spark, sf), False, "all")
+
+
+@register("flow_mixed_binary", _flow_sql(True, "binary"))
+def q_flow_mixed_binary(spark, sf):
+    """Normal or attack from numeric and categorical features."""
+    return _flow_matrix(_lines(spark, sf), True, "binary")
+
+
+@register("flow_mixed_multi", _flow_sql(True, "all"))
+def q_flow_mixed_multi(spark, sf):
+    """The label from numeric and categorical features."""
+    return _flow_matrix(_lines(spark, sf), True, "all")
+
+
+@register("flow_weights", "WITH RECURSIVE " + LINES_SQL + ",\n" + _fit_sql(False, "binary") + "\n" + " UNION ALL ".join(
+    f"SELECT 1 AS class, '{c}' AS feature, round(w1_{j}, 4) + 0.0 AS weight FROM fit" for j, c in enumerate(NUMS)))
+def q_flow_weights(spark, sf):
+    """Weights of the numeric binary model, per standard deviation."""
+    train, _ = _line_split(spark, sf)
+    flow = _real_flow(False, "binary")
+    model = flow.fit(train)
+    return lr_weights(model, spark, flow.feature_names(model)).select("class", "feature", F.round("weight", 4).alias("weight"))
+
+
+def _moments_sql() -> str:
+    """Per class and feature, the sum of the standardised feature over the
+    class's training rows, by counts: what the optimum has to reproduce."""
+    numeric = " UNION ALL ".join(
+        f"SELECT c, '{f}' AS feature, sum(({f} - (SELECT avg({f}) FROM train)) / (SELECT stddev_samp({f}) FROM train)) AS s "
+        "FROM train GROUP BY c" for f in NUMS)
+    cats = " UNION ALL ".join(f"""
+SELECT k.c, '{f}=' || v.v AS feature,
+       ((SELECT count(*) FROM train WHERE c = k.c AND {f} = v.v) - k.n * v.n::DOUBLE / t.n)
+       / sqrt(v.n::DOUBLE / t.n * (1 - v.n::DOUBLE / t.n) * t.n / (t.n - 1)) AS s
+FROM (SELECT c, count(*) AS n FROM train GROUP BY c) k,
+     (SELECT {f} AS v, count(*) AS n FROM train GROUP BY {f}) v, (SELECT count(*) AS n FROM train) t
+UNION ALL SELECT DISTINCT c, '{f}=<unseen>', 0.0 FROM train""" for f in CATS)
+    return (f"{_CLASS_SQL['all']},\ntrain AS (SELECT * FROM cls WHERE bucket < 7)\n"
+            f"SELECT CAST(c AS INTEGER) AS class, feature, round(s / (SELECT count(*) FROM train), 4) + 0.0 AS moment "
+            f"FROM ({numeric} UNION ALL {cats})")
+
+
+@register("score_equations", _with(LINES_SQL).rstrip() + ",\n" + _moments_sql())
+def q_score_equations(spark, sf):
+    """Class-weighted feature means that the fitted mixed model predicts on
+    its training rows; at the optimum they are those of the data."""
+    train, _ = _line_split(spark, sf)
+    flow = _real_flow(True, "all")
+    train = train.drop("orderkey")
+    return flow.score_equations(flow.fit(train), train).select(
+        "class", "feature", (F.round("expected", 4) + F.lit(0.0)).alias("moment"))
+
+
+# Workflows on labels that the model can separate exactly (fitted on without
+# a look, ``on_separable='ignore'``)
+
+def _separable_flow(lines: DataFrame, categorical: bool, classes: str):
+    train, test = hash_split(lines, ["orderkey"], SPLIT_WEIGHTS, SPLIT_SEED)
+    flow = Workflow(LINES_SCHEMA, categorical=categorical, classes=classes, normal_token="N", on_separable="ignore")
     return flow.run(train.drop("orderkey"), test.drop("orderkey"))
 
 
@@ -898,37 +1036,37 @@ SELECT CAST(r // {k} AS INTEGER) AS actual, CAST(r % {k} AS INTEGER) AS predicte
 FROM (SELECT unnest(range({k * k})) AS r)"""
 
 
-@register("flow_numeric_binary", _with(LINES_SQL, "mean AS (SELECT avg(quantity) AS m FROM lines WHERE bucket < 7)")
+@register("flow_separable_numeric", _with(LINES_SQL, "mean AS (SELECT avg(quantity) AS m FROM lines WHERE bucket < 7)")
           + "," + _diagonal_sql("CASE WHEN quantity <= (SELECT m FROM mean) THEN 0 ELSE 1 END", 2))
-def q_flow_numeric_binary(spark, sf):
+def q_flow_separable_numeric(spark, sf):
     """From text lines; normal: quantity up to its training mean."""
     lines = _parsed_lines(spark, sf)
     label = F.when(F.col("quantity") <= _train_mean(lines, "quantity"), F.lit("N.")).otherwise(F.lit("A."))
-    return _flow(lines.withColumn("label", label), False, "binary").confusion_matrix()
+    return _separable_flow(lines.withColumn("label", label), False, "binary").confusion_matrix()
 
 
-@register("flow_numeric_multi", _with(LINES_SQL, """mean AS (
+@register("flow_separable_quadrants", _with(LINES_SQL, """mean AS (
   SELECT avg(quantity) AS q, avg(extendedprice) AS e FROM lines WHERE bucket < 7),
 quad AS (SELECT bucket, (quantity > q)::INTEGER || '' || (extendedprice > e)::INTEGER AS label FROM lines, mean),
 ranked AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS c FROM quad WHERE bucket < 7 GROUP BY 1)""")
           + """SELECT CAST(c AS INTEGER) AS actual, CAST(count(*) AS BIGINT) AS n, TRUE AS nearly_exact
 FROM quad JOIN ranked USING (label) WHERE bucket >= 7 GROUP BY c""")
-def q_flow_numeric_multi(spark, sf):
+def q_flow_separable_quadrants(spark, sf):
     """Four classes by quantity and price against their training means: rows
     per actual class, and whether less than 0.1 % of all are wrong."""
     lines = _lines(spark, sf)
     above = [(F.col(c) > _train_mean(lines, c)).cast("int").cast("string") for c in ("quantity", "extendedprice")]
-    cells = _flow(lines.withColumn("label", F.concat(*above, F.lit("."))), False, "all").confusion_matrix()
+    cells = _separable_flow(lines.withColumn("label", F.concat(*above, F.lit("."))), False, "all").confusion_matrix()
     wrong = cells.agg(F.sum(F.when(F.col("actual") != F.col("predicted"), F.col("n")).otherwise(0))
                       / F.sum("n")).scalar()
     return cells.groupBy("actual").agg(F.sum("n").alias("n")).withColumn("nearly_exact", wrong < 0.001)
 
 
-@register("flow_mixed_binary", _with(LINES_SQL) + "," + _diagonal_sql("CASE WHEN orderstatus = 'F' THEN 0 ELSE 1 END", 2))
-def q_flow_mixed_binary(spark, sf):
+@register("flow_separable_mixed", _with(LINES_SQL) + "," + _diagonal_sql("CASE WHEN orderstatus = 'F' THEN 0 ELSE 1 END", 2))
+def q_flow_separable_mixed(spark, sf):
     """Normal: finished orders."""
     label = F.when(F.col("orderstatus") == "F", F.lit("N.")).otherwise(F.lit("A."))
-    return _flow(_lines(spark, sf).withColumn("label", label), True, "binary").confusion_matrix()
+    return _separable_flow(_lines(spark, sf).withColumn("label", label), True, "binary").confusion_matrix()
 
 
 _STATUS_SQL = """ranked AS (
@@ -937,11 +1075,11 @@ _STATUS_SQL = """ranked AS (
 coded AS (SELECT lines.bucket, c FROM lines JOIN ranked ON orderstatus = status)"""
 
 
-@register("flow_mixed_multi", _with(LINES_SQL, _STATUS_SQL) + "," + _diagonal_sql("c", CATEGORY_DOMAIN["orderstatus"], "coded"))
-def q_flow_mixed_multi(spark, sf):
+@register("flow_separable_status", _with(LINES_SQL, _STATUS_SQL) + "," + _diagonal_sql("c", CATEGORY_DOMAIN["orderstatus"], "coded"))
+def q_flow_separable_status(spark, sf):
     """Classes: the order status, one of the categorical features."""
     lines = _lines(spark, sf).withColumn("label", F.concat("orderstatus", F.lit(".")))
-    return _flow(lines, True, "all").confusion_matrix()
+    return _separable_flow(lines, True, "all").confusion_matrix()
 
 
 @register("flow_return_flag", _with(LINES_SQL, """ranked AS (
@@ -951,7 +1089,7 @@ def q_flow_mixed_multi(spark, sf):
 FROM lines JOIN ranked ON label = l WHERE bucket >= 7 GROUP BY c""")
 def q_flow_return_flag(spark, sf):
     """A label the features only hint at: rows per actual class, and cells."""
-    cells = _flow(_lines(spark, sf), True, "all").confusion_matrix()
+    cells = _separable_flow(_lines(spark, sf), True, "all").confusion_matrix()
     return cells.groupBy("actual").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_predicted"))
 
 

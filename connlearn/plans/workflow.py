@@ -11,13 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 
 from ..functions.columns import NORMAL_TOKEN
+from ..operators.diagnose import Separation, score_equations
 from ..operators.evaluate import confusion_counts, confusion_matrix, error_rate, ok_ko_counts, prediction_pairs
 from ..operators.labels import class_frequency
-from ..operators.model import MAX_ITER, TOLERANCE, build_pipeline, labeler_of, load_model, lr_weights, save_model
+from ..operators.model import (MAX_ITER, TOLERANCE, build_pipeline, fit_checked, labeler_of, load_model, lr_weights,
+                               save_model)
 from ..schema import RecordSchema
 from ..session import ensure_checkpoint_dir
 
@@ -74,6 +76,8 @@ class Workflow:
     tol: float = TOLERANCE
     durable: bool = False
     cache: bool = True
+    on_separable: str = "flag"
+    separation: Separation | None = field(default=None, init=False)
 
     def pipeline(self):
         return build_pipeline(self.schema, categorical=self.categorical, classes=self.classes,
@@ -97,22 +101,34 @@ class Workflow:
             # executor re-reads these files instead of re-running the lineage
             # (for gzip text, one task over the whole file)
             ensure_checkpoint_dir(train.sparkSession)
-            return self.pipeline().fit(train.checkpoint(eager=True))
+            return self._fit(train.checkpoint(eager=True))
         if not self.cache:
             # e.g. training data staged as Parquet: each pass re-reads the
             # pruned columns instead of holding a copy next to the
             # optimiser's own cached blocks
-            return self.pipeline().fit(train)
+            return self._fit(train)
         level = train.storageLevel
         used = [*self.schema.numeric, self.schema.label, *(self.schema.categorical if self.categorical else ())]
         own_cache = not (level.useMemory or level.useDisk or level.useOffHeap)
         source = train.select(*used).persist(StorageLevel.MEMORY_AND_DISK) if own_cache else train
         try:
-            return self.pipeline().fit(source)
+            return self._fit(source)
         finally:
             if own_cache:
                 source.unpersist()
 
+    def _fit(self, train: DataFrame) -> PipelineModel:
+        """Feature stages, then the optimiser under :func:`fit_checked`."""
+        *stages, lr = self.pipeline().getStages()
+        head = Pipeline(stages=stages).fit(train)
+        model, self.separation = fit_checked(lr, head.transform(train), self.on_separable)
+        return PipelineModel(stages=[*head.stages, model])
+
+    def score_equations(self, model: PipelineModel, train: DataFrame) -> DataFrame:
+        """Both sides of the score equations of a fitted model on its training
+        rows; see :func:`connlearn.operators.diagnose.score_equations`."""
+        return score_equations(model.transform(train), len(labeler_of(model).getVocabulary()), self.feature_names(model))
+
     def feature_names(self, model: PipelineModel) -> list[str]:
         names = list(self.schema.numeric)
         if self.categorical and self.schema.categorical:
