@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import NORMAL_TOKEN, binary_class, class_name, strip_terminator, vocabulary_class
+from .containment import class_frequency_join, vocabulary_class_join
 from .sequence import row_id
 
 DEFAULT_MAX_CLASSES = 10_000
@@ -50,11 +51,18 @@ def binary_label(df: DataFrame, label_col: str = "label", out: str = "class",
     return df.withColumn(out, binary_class(label_col, normal_token))
 
 
-def multinomial_label(df: DataFrame, vocabulary: Sequence[str], label_col: str = "label",
+def multinomial_label(df: DataFrame, vocabulary: Sequence[str] | DataFrame, label_col: str = "label",
                       out: str = "class", match: str = "contains", drop_unknown: bool = True) -> DataFrame:
     """Add ``out`` = class id of the label; unknown labels get -1 and are
-    dropped unless ``drop_unknown`` is False."""
-    res = df.withColumn(out, vocabulary_class(label_col, vocabulary, match))
+    dropped unless ``drop_unknown`` is False.
+
+    A vocabulary in a list is inlined and tested on every row; one in a table
+    (``label, class_id``, as :func:`label_vocabulary` gives) may be of any
+    size and is found through an index of its character grams."""
+    if isinstance(vocabulary, DataFrame):
+        res = vocabulary_class_join(df, vocabulary, label_col, out, match)
+    else:
+        res = df.withColumn(out, vocabulary_class(label_col, vocabulary, match))
     return known_classes(res, out) if drop_unknown else res
 
 
@@ -68,10 +76,13 @@ def binary_label_frequency(df: DataFrame, class_col: str = "class") -> DataFrame
     return df.groupBy((F.col(class_col) > 0).alias("is_attack")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_frequency(df: DataFrame, vocabulary: Sequence[str], class_col: str = "class") -> DataFrame:
+def class_frequency(df: DataFrame, vocabulary: Sequence[str] | DataFrame, class_col: str = "class") -> DataFrame:
     """``label, n``: frequency of class names after the class mapping.
 
-    Aggregates on the numeric id first, names the (few) groups afterwards.
+    Aggregates on the numeric id first, names the (few) groups afterwards,
+    by a join where the vocabulary is a table.
     """
+    if isinstance(vocabulary, DataFrame):
+        return class_frequency_join(df, vocabulary, class_col)
     counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(class_name(class_col, vocabulary).alias("label"), "n")

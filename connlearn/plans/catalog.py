@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import CURVE_SLOPE, sigmoid
+from ..operators.dictionary import category_dictionary, hash_collisions, hashed_slots, sparse_slots
 from ..operators.encode import (assemble, category_stages, category_widths, fit_category_encoders, fit_scaler,
                                 index_col, one_hot_columns, onehot_col, scaler_stats, vector_columns)
 from ..operators.evaluate import confusion_counts, confusion_matrix, error_rate, matrix_from_keys, ok_ko_counts
@@ -28,7 +29,7 @@ from ..operators.merge import merge_features, merge_frames, zip_by_position
 from ..operators.model import fit_logistic, load_model, lr_weights, save_model, score_with_weights
 from ..operators.projections import drop_positions, project_categorical, project_label, project_numeric
 from ..operators.sequence import row_id
-from ..operators.splits import hash_split, random_split, split_union
+from ..operators.splits import hash_split, random_split, row_split, split_union
 from ..operators.stages import ClassLabeler
 from ..operators.traffic import category_rollup, last_n_host_window, same_host_window, same_service_window
 from ..session import read_table, staging_path
@@ -348,6 +349,27 @@ def q_hash_split(spark, sf):
     return split_union([p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
 
 
+_ROWS_SQL = """keyless AS (
+  SELECT event_kind, user_group, CASE WHEN user_band = 'b2' THEN NULL ELSE user_band END AS user_band FROM ev),
+copies AS (
+  SELECT *, row_number() OVER (PARTITION BY event_kind, user_group, user_band) - 1 AS copy,
+         md5('=' || md5(event_kind) || '|=' || md5(user_group) || '|' || coalesce('=' || md5(user_band), '-')) AS k
+  FROM keyless)"""
+
+
+@register("row_split", _with(EVENTS_SQL, _ROWS_SQL) + f"""
+SELECT event_kind, user_group, user_band, CAST(count(*) AS BIGINT) AS n,
+       CASE WHEN ('0x' || substr(md5(k || ':' || copy || ':{SPLIT_SEED}'), 1, 8))::BIGINT % {sum(SPLIT_WEIGHTS)} < {SPLIT_WEIGHTS[0]}
+            THEN 0 ELSE 1 END AS part
+FROM copies GROUP BY ALL""")
+def q_row_split(spark, sf):
+    """Rows without a key, most of them repeated: copies per part."""
+    rows = _events(spark, sf).select("event_kind", "user_group", F.when(F.col("user_band") != "b2", F.col("user_band"))
+                                     .alias("user_band"))
+    parts = [p.withColumn("part", F.lit(i)) for i, p in enumerate(row_split(rows, SPLIT_WEIGHTS, SPLIT_SEED))]
+    return split_union(parts).groupBy("event_kind", "user_group", "user_band", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --------------------------------------------------------------------------
 # Labels
 
@@ -440,6 +462,43 @@ def q_multinomial_label_frequency(spark, sf):
                         for name, part in zip(("train", "test"), _event_split(spark, sf))])
 
 
+# Labels by the thousand: the kind and the user, so that entries contain
+# others ('click1' in 'click12'); short entries and a null label are among them.
+_MANY_SQL = f"""many AS (
+  SELECT event_id, bucket, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 10 = 1 THEN left(event_kind, 2) || '.'
+         ELSE event_kind || CAST(CAST(user_id AS BIGINT) AS VARCHAR) || '.' END AS label FROM ev),
+many_vocab AS ({_VOCAB_SQL.format(src='many', where='bucket < 7 AND label IS NOT NULL')})"""
+
+
+def _many_labels(spark, sf):
+    ev, user = _events(spark, sf), F.col("user_id").cast("bigint").cast("string")
+    label = F.when(F.col("event_id") % 50 == 0, F.lit(None).cast("string")).when(
+        F.col("event_id") % 10 == 1, F.concat(F.left("event_kind", F.lit(2)), F.lit("."))).otherwise(
+        F.concat("event_kind", user, F.lit(".")))
+    rows = ev.select("event_id", label.alias("label"))
+    train, _ = hash_split(rows, ["event_id"], SPLIT_WEIGHTS, SPLIT_SEED)
+    return rows, label_vocabulary(train.filter("label IS NOT NULL"), "label")
+
+
+@register("multinomial_label_index", _with(EVENTS_SQL, _MANY_SQL) + """
+, kinds AS (SELECT DISTINCT label FROM many WHERE label IS NOT NULL),
+best AS (SELECT kinds.label, max(v.class_id) AS class FROM kinds JOIN many_vocab v ON contains(kinds.label, v.label) GROUP BY 1)
+SELECT event_id, many.label, CAST(coalesce(class, -1) AS DOUBLE) AS class FROM many LEFT JOIN best ON many.label = best.label""")
+def q_multinomial_label_index(spark, sf):
+    """Containment in a vocabulary table, through its gram index."""
+    rows, vocab = _many_labels(spark, sf)
+    return multinomial_label(rows, vocab, "label", "class", drop_unknown=False)
+
+
+@register("multinomial_label_index_exact", _with(EVENTS_SQL, _MANY_SQL) + """
+SELECT v.label, CAST(count(*) AS BIGINT) AS n FROM many JOIN many_vocab v ON left(many.label, length(many.label) - 1) = v.label
+GROUP BY v.label""")
+def q_multinomial_label_index_exact(spark, sf):
+    """Exact matches with a vocabulary table, counted by class name."""
+    rows, vocab = _many_labels(spark, sf)
+    return class_frequency(multinomial_label(rows, vocab, "label", "class", match="exact"), vocab, "class")
+
+
 @register("category_rollup", _with(EVENTS_SQL) + f"""
 SELECT CASE left(label, length(label) - 1)
          {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_MAP.items())}
@@ -481,6 +540,76 @@ def q_string_index(spark, sf):
     return stacked.groupBy("column_name", "value", "idx").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Dictionary columns: the event kind, the user (as many values as there are
+# users) and the band, which is null for one band.
+DICT_COLS = ("event_kind", "user", "band")
+HASH_SLOTS = 512
+_DICT_SQL = """de AS (
+  SELECT event_id, bucket, event_kind, 'u' || CAST(CAST(user_id AS BIGINT) AS VARCHAR) AS "user",
+         CASE WHEN user_band = 'b1' THEN NULL ELSE user_band END AS band FROM ev),
+cells AS (UNPIVOT (SELECT event_kind, "user", band FROM de WHERE bucket < 7) ON event_kind, "user", band
+          INTO NAME "column" VALUE value),
+dict AS (
+  SELECT "column", value, count(*) AS n,
+         row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) - 1 AS "index"
+  FROM cells WHERE value IS NOT NULL GROUP BY "column", value)"""
+
+
+def _dict_frames(spark, sf):
+    rows = _events(spark, sf).select(
+        "event_id", "event_kind", F.concat(F.lit("u"), F.col("user_id").cast("bigint").cast("string")).alias("user"),
+        F.when(F.col("user_band") != "b1", F.col("user_band")).alias("band"))
+    train, _ = hash_split(rows, ["event_id"], SPLIT_WEIGHTS, SPLIT_SEED)
+    return rows, category_dictionary(train, DICT_COLS)
+
+
+@register("category_dictionary", _with(EVENTS_SQL, _DICT_SQL) +
+          'SELECT "column", value, CAST(n AS BIGINT) AS n, CAST("index" AS BIGINT) AS "index" FROM dict')
+def q_category_dictionary(spark, sf):
+    return _dict_frames(spark, sf)[1]
+
+
+def _slot_sql(c: str, at: str) -> str:
+    width = f"(SELECT count(*) FROM dict WHERE \"column\" = '{c}')"
+    return (f"CAST(coalesce((SELECT \"index\" FROM dict WHERE \"column\" = '{c}' AND value = de.\"{c}\"), {width}) + {at}"
+            " AS BIGINT)")
+
+
+_WIDTH_SQL = [f"(SELECT count(*) + 1 FROM dict WHERE \"column\" = '{c}')" for c in DICT_COLS]
+
+
+@register("sparse_slots", _with(EVENTS_SQL, _DICT_SQL) + "SELECT event_id, " + ", ".join(
+    f"{_slot_sql(c, ' + '.join(['0', *_WIDTH_SQL[:i]]))} AS slot_{i}" for i, c in enumerate(DICT_COLS)) + " FROM de")
+def q_sparse_slots(spark, sf):
+    """Positions of the ones in the one-hot encoding; values that training
+    did not see, and nulls, take the last slot of their column."""
+    rows, dictionary = _dict_frames(spark, sf)
+    slots = sparse_slots(rows, dictionary, DICT_COLS)
+    return slots.select("event_id", *[F.get("slots", F.lit(i)).alias(f"slot_{i}") for i in range(len(DICT_COLS))])
+
+
+def _hash_sql(key: str) -> str:
+    return f"(('0x' || substr(md5({key} || ':0'), 1, 8))::BIGINT % {HASH_SLOTS})"
+
+
+@register("hashed_slots", _with(EVENTS_SQL, _DICT_SQL) + f"""
+SELECT event_id, array_to_string(list_sort(list_distinct(list_filter([{', '.join(
+    _hash_sql(f"'{c}:' || " + f'"{c}"') for c in DICT_COLS)}], lambda x: x IS NOT NULL))), ',') AS slots FROM de""")
+def q_hashed_slots(spark, sf):
+    slots = hashed_slots(_dict_frames(spark, sf)[0], DICT_COLS, HASH_SLOTS)
+    return slots.select("event_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"))
+
+
+@register("hash_collisions", _with(EVENTS_SQL, _DICT_SQL) + f""",
+placed AS (SELECT *, {_hash_sql('"column" || chr(58) || value')} AS slot FROM dict),
+crowd AS (SELECT slot, count(*) AS k FROM placed GROUP BY slot)
+SELECT "column", CAST(count(*) AS BIGINT) AS n_values, CAST(count(DISTINCT slot) AS BIGINT) AS n_slots,
+       CAST(sum((k > 1)::INTEGER) AS BIGINT) AS n_shared, CAST(sum(CASE WHEN k > 1 THEN n ELSE 0 END) AS BIGINT) AS rows_shared
+FROM placed JOIN crowd USING (slot) GROUP BY "column" """)
+def q_hash_collisions(spark, sf):
+    return hash_collisions(_dict_frames(spark, sf)[1], HASH_SLOTS)
+
+
 _UNSEEN_WHERE = f"bucket < 7 AND orderpriority <> '{UNSEEN_PRIORITY}'"
 
 
