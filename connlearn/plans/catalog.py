@@ -37,6 +37,7 @@ from ..sources.adapters import (EVENTS_NORMAL_TOKEN, EVENTS_SCHEMA, LINES_SCHEMA
                                 lines_frame, lines_text, traffic_frame)
 from ..sources.records import (first_lines, head_sample, parse_records, parse_report, positional_frame, read_records,
                                write_head_sample, write_lines)
+from ..streaming.live import LiveLastN, LiveTimeWindows
 from .workflow import Workflow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1327,6 +1328,72 @@ def q_last_n_host_window(spark, sf):
                                              "host_diff_srv_rate")])
 
 
+# Live features: the events replayed as a stream of three files by time, in
+# which every 97th connection comes one file too late.
+LIVE_BATCHES, LIVE_STRAY, LIVE_DELAY = 3, 97, 7200.0
+
+
+def _replayed(spark, sf, stray: bool):
+    """(stream of connections, folder) with one file per batch."""
+    tr = traffic_frame(spark, sf)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = tr.agg(F.min(us), F.max(us)).first()
+    batch = F.floor((us - F.lit(lo)) * F.lit(LIVE_BATCHES) / F.lit((hi or 0) - (lo or 0) + 1))
+    if stray:
+        batch = F.least(batch + F.when(F.col("id") % LIVE_STRAY == 0, 1).otherwise(0), F.lit(LIVE_BATCHES - 1))
+    folder = staging_path(spark, "replay")
+    for b in range(LIVE_BATCHES):
+        tr.filter(batch == b).coalesce(1).write.mode("append").parquet(f"{folder}/b{b}")
+    return tr.schema, folder
+
+
+def _last_n_columns() -> list:
+    return ["id", "host_count", *[_r6(F.col(c)).alias(c) for c in (
+        "host_serror_rate", "host_rerror_rate", "host_same_srv_rate", "host_diff_srv_rate")]]
+
+
+def _run_live(spark, live, schema, folder):
+    """Run the stream over the files, batch by batch."""
+    source = f"{folder}/in"
+    for b in range(LIVE_BATCHES):
+        spark.read.schema(schema).parquet(f"{folder}/b{b}").coalesce(1).write.mode("append").parquet(source)
+        query = live.start(spark.readStream.schema(schema).parquet(source))
+        query.processAllAvailable()
+        query.stop()
+    return live
+
+
+_LIVE_SQL = _TRAFFIC_SQL.replace("tr AS", "every AS") + f""",
+ends AS (SELECT min(t) AS lo, max(t) AS hi FROM every),
+dealt AS (
+  SELECT every.*, least(CAST(floor((t - lo) * {LIVE_BATCHES} / (hi - lo + 1)) AS BIGINT)
+                        + CASE WHEN id % {LIVE_STRAY} = 0 THEN 1 ELSE 0 END, {LIVE_BATCHES - 1}) AS batch FROM every, ends),
+marks AS (SELECT b.b, max(d.t) - {int(LIVE_DELAY * 1_000_000)} AS mark FROM range({LIVE_BATCHES}) b(b) JOIN dealt d ON d.batch < b.b GROUP BY b.b),
+tr AS (SELECT id, t, host, service, flag FROM dealt LEFT JOIN marks ON batch = b WHERE mark IS NULL OR t >= mark)"""
+
+
+@register("live_same_host_window", _with(_LIVE_SQL) + ORACLES["same_host_window"][len(_with(_TRAFFIC_SQL)):] + """
+UNION ALL SELECT -1, (SELECT count(*) FROM every) - (SELECT count(*) FROM tr), 0.0, 0.0, 0.0, 0.0""")
+def q_live_same_host_window(spark, sf):
+    """Features of the stream's connections, closed or still open; the row
+    with id -1 counts the late ones."""
+    live = LiveTimeWindows(spark, same_host_window, frame_seconds=WINDOW_SECONDS, delay_seconds=LIVE_DELAY)
+    _run_live(spark, live, *_replayed(spark, sf, stray=True))
+    names = ("serror_rate", "rerror_rate", "same_srv_rate", "diff_srv_rate")
+    out = live.results().unionByName(live.open()).select(
+        F.col("id").cast("bigint").alias("id"), "count", *[_r6(F.col(c)).alias(c) for c in names])
+    n_late = spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit(live.counts()["late"]).cast("bigint").alias("count"),
+                                   *[F.lit(0.0).alias(c) for c in names])
+    return out.unionByName(n_late)
+
+
+@register("live_last_n_host_window", ORACLES["last_n_host_window"])
+def q_live_last_n_host_window(spark, sf):
+    """The last connections of a host, across the batches of a stream."""
+    live = _run_live(spark, LiveLastN(spark, n=LAST_N, key="id"), *_replayed(spark, sf, stray=False))
+    return live.results().select(*_last_n_columns())
+
+
 @register("last_n_host_window_quantile", ORACLES["last_n_host_window"])
 def q_last_n_host_window_quantile(spark, sf):
     """Same features in small blocks, so that a host spans several."""
