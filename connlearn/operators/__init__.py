@@ -9,7 +9,8 @@ from .evaluate import (confusion_counts, confusion_matrix, error_rate, evaluate,
 from .labels import (binary_label, binary_label_frequency, class_frequency, collect_vocabulary, known_classes,
                      label_frequency, label_vocabulary, multinomial_label)
 from .merge import merge_features, merge_frames, zip_by_position
-from .model import (build_pipeline, fit_checked, fit_logistic, load_model, logistic, lr_weights, save_model, score,
+from .model import (build_pipeline, drop_versions, fit_checked, fit_logistic, load_model, logistic, lr_weights,
+                    model_versions, save_model, score,
                     score_with_weights)
 from .projections import drop_columns, drop_positions, project_categorical, project_label, project_numeric
 from .sequence import expand_copies, order_blocks, row_id

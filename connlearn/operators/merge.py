@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import row_id
+from .sequence import expand_copies, row_id
 
 
 def merge_frames(frames: Sequence[DataFrame], key: str | Sequence[str] = "id",
@@ -20,7 +20,7 @@ def merge_frames(frames: Sequence[DataFrame], key: str | Sequence[str] = "id",
     allows one ``unionByName`` and one aggregation by key in place of a chain
     of full outer joins: a single shuffle however many frames. The statement
     is checked in the same aggregation: a repeated key is an error. Rows with
-    a null key stay rows of their own.
+    a null key stay rows of their own, however often they repeat.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if not (unique_keys and how in ("full_outer", "outer", "full") and len(frames) > 1):
@@ -29,16 +29,21 @@ def merge_frames(frames: Sequence[DataFrame], key: str | Sequence[str] = "id",
     if len(value_cols) != len(set(value_cols)):
         raise ValueError("unique_keys needs frames whose other columns have different names")
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    tagged = [f.withColumn("__frame", F.lit(i)).withColumn(
-        "__alone", F.when(no_key, F.concat_ws("-", F.lit(i), F.monotonically_increasing_id())))
-        for i, f in enumerate(frames)]
+    # a row without a key stands for itself: its identity is all its values, so
+    # a repeated stage groups it alike; equal ones are counted and put back
+    tagged = [f.withColumn("__frame", F.lit(i)) for i, f in enumerate(frames)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    repeats = F.count(F.lit(1)) != F.count_distinct("__frame")
+    stacked = stacked.withColumn("__alone", F.when(no_key, F.struct("__frame", *keys, *value_cols)))
+    repeats = (F.count(F.lit(1)) != F.count_distinct("__frame")) & F.col("__alone").isNull()
     merged = stacked.groupBy(*keys, "__alone").agg(
-        repeats.alias("__repeats"), *[F.first(c, ignorenulls=True).alias(c) for c in value_cols])
+        repeats.alias("__repeats"), F.count(F.lit(1)).alias("__n"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in value_cols])
     named = F.concat(F.lit("repeated key: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
     checked = F.when(F.col("__repeats"), F.raise_error(named)).otherwise(F.lit(True))
-    return merged.filter(checked).select(*keys, *value_cols)
+    merged = merged.filter(checked)
+    several = F.col("__alone").isNotNull() & (F.col("__n") > 1)
+    copies = expand_copies(merged.filter(several).select(*keys, *value_cols, "__n"), "__n", "__copy")
+    return merged.filter(~several).select(*keys, *value_cols).unionByName(copies.select(*keys, *value_cols))
 
 
 def merge_features(left: DataFrame, right: DataFrame, key: str = "id", how: str = "full_outer") -> DataFrame:

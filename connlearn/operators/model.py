@@ -140,15 +140,65 @@ def lr_weights(model, spark: SparkSession, feature_names: Sequence[str] | None =
     return spark.createDataFrame(rows, "class int, feature string, weight double")
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def model_versions(path: str) -> list[int]:
+    """Committed versions at ``path``, ascending."""
+    spark = SparkSession.getActiveSession()
+    fs, root = _files(spark, f"{path.rstrip('/')}/versions")
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = [n for n in names if n.isdigit() and fs.exists(_files(spark, f"{path.rstrip('/')}/versions/{n}/_committed")[1])]
+    return sorted(int(n) for n in done)
+
+
 def save_model(model: PipelineModel, path: str) -> str:
-    """Write the whole fitted pipeline (vocabulary, encoders, scaler,
-    weights), replacing what is at ``path``."""
-    model.write().overwrite().save(path)
+    """Write the whole fitted pipeline (vocabulary, encoders, scaler, weights)
+    as the next version at ``path``.
+
+    A version has a folder of its own, taken by creating it, and counts once
+    an empty ``_committed`` file ends it. So a save that is cut off leaves the
+    versions before it as they are, and two saves at once make two versions.
+    """
+    spark = SparkSession.getActiveSession()
+    root = path.rstrip("/")
+    fs, versions = _files(spark, f"{root}/versions")
+    taken = [int(s.getPath().getName()) for s in fs.listStatus(versions)] if fs.exists(versions) else []
+    number = max(taken, default=0) + 1
+    while True:
+        claim = _files(spark, f"{root}/versions/{number:06d}/_claimed")[1]
+        if not fs.exists(claim.getParent()) and fs.createNewFile(claim):
+            break
+        number += 1
+    model.write().save(f"{root}/versions/{number:06d}/model")
+    fs.createNewFile(_files(spark, f"{root}/versions/{number:06d}/_committed")[1])
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, version: int | None = None) -> PipelineModel:
+    """The latest committed version at ``path``, or the one asked for; a
+    folder without versions is read as one plain saved pipeline."""
+    known = model_versions(path)
+    if version is None and not known:
+        return PipelineModel.load(path)
+    if version is not None and version not in known:
+        raise ValueError(f"version {version} is not at {path}: there are {known}")
+    return PipelineModel.load(f"{path.rstrip('/')}/versions/{version or known[-1]:06d}/model")
+
+
+def drop_versions(path: str, keep: int = 1) -> list[int]:
+    """Delete all but the latest ``keep`` committed versions; returns them."""
+    if keep < 1:
+        raise ValueError("keep must be >= 1")
+    spark, old = SparkSession.getActiveSession(), model_versions(path)[:-keep]
+    for v in old:
+        fs, p = _files(spark, f"{path.rstrip('/')}/versions/{v:06d}")
+        fs.delete(p, True)
+    return old
 
 
 def weight_margins(feature_cols: Sequence[str], weights) -> list:

@@ -35,7 +35,7 @@ from ..operators.traffic import category_rollup, last_n_host_window, same_host_w
 from ..session import read_table, staging_path
 from ..sources.adapters import (EVENTS_NORMAL_TOKEN, EVENTS_SCHEMA, LINES_SCHEMA, events_frame, events_text,
                                 lines_frame, lines_text, traffic_frame)
-from ..sources.records import (first_lines, head_sample, parse_records, parse_report, positional_frame, read_records,
+from ..sources.records import (Quarantine, first_lines, head_sample, parse_records, parse_report, positional_frame, read_records,
                                write_head_sample, write_lines)
 from ..streaming.live import LiveLastN, LiveTimeWindows
 from .workflow import Workflow
@@ -185,6 +185,22 @@ def q_parse_report(spark, sf):
     return parse_report(text, LINES_SCHEMA)
 
 
+@register("quarantine", _with(LINES_SQL) + """
+SELECT CASE WHEN discount = 0.0 THEN 'fields: 9' WHEN linestatus = 'O' THEN 'number: quantity' ELSE 'none' END AS fault,
+       CAST(count(*) AS BIGINT) AS n, CAST(sum(orderkey) AS BIGINT) AS orderkeys,
+       CAST((SELECT count(*) FROM lines) AS BIGINT) AS n_lines FROM lines GROUP BY ALL""")
+def q_quarantine(spark, sf):
+    """Lines by fault (the same faults as above), with a key that is kept, and
+    the lines counted in the same pass."""
+    text = lines_text(spark, sf, keep_key=True)
+    text = text.withColumn("value", F.when(F.split("value", ",")[5] == "0.00", F.concat("value", F.lit(",x")))
+                           .when(F.split("value", ",")[1] == "O", F.concat(F.lit("?"), "value")).otherwise(F.col("value")))
+    q = Quarantine(text, LINES_SCHEMA, keep=("orderkey",))
+    rows = q.faults.select("fault", "orderkey").unionByName(q.records.select(F.lit("none").alias("fault"), "orderkey"))
+    return rows.groupBy("fault").agg(F.count(F.lit(1)).alias("n"), F.sum("orderkey").alias("orderkeys")).withColumn(
+        "n_lines", F.lit(q.counts["n_lines"]).cast("bigint"))
+
+
 @register("scan_text_records", _with(LINES_SQL) + f"SELECT {', '.join(LINES_SCHEMA.names)} FROM lines")
 def q_scan_text_records(spark, sf):
     path = write_lines(lines_text(spark, sf), staging_path(spark, "lines-text"))

@@ -7,8 +7,9 @@ stays inside whole-stage codegen; no Python runs per row.
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RecordSchema
@@ -99,6 +100,45 @@ def parse_records_flags(lines: DataFrame, schema: RecordSchema, line_col: str =
     return lines.select(F.col(line_col), ok.alias("__ok"))
 
 
+def line_fault(line: Column, schema: RecordSchema) -> Column:
+    """Why a line is no record: ``null``, ``fields: <n>`` or ``number: <name>``
+    (the first such field); null for a record."""
+    n = len(schema.names)
+    arr = _fields(line, schema.sep)
+    fault = F.lit(None).cast("string")
+    for i, name in reversed(list(enumerate(schema.names))):
+        if not schema.is_string(name):
+            fault = F.when(F.get(arr, F.lit(i)).try_cast("double").isNull(), F.lit(f"number: {name}")).otherwise(fault)
+    return F.when(line.isNull(), F.lit("null")).when(
+        F.size(arr) != n, F.concat(F.lit("fields: "), F.size(arr).cast("string"))).otherwise(fault)
+
+
+class Quarantine:
+    """Records and faulty lines of one pass over text, both stored.
+
+    ``records``: the typed records; ``faults``: ``value, fault`` and the
+    columns in ``keep`` (a file name, a key) of the lines that are none;
+    ``counts``: ``n_lines, n_parsed, n_dropped``, observed in the same pass.
+    """
+
+    def __init__(self, lines: DataFrame, schema: RecordSchema, line_col: str = "value", keep: tuple[str, ...] = (),
+                 path: str | None = None):
+        spark = lines.sparkSession
+        target = path or staging_path(spark, "quarantine")
+        seen = Observation()
+        judged = lines.select(*keep, F.col(line_col).alias("value"), line_fault(F.col(line_col), schema).alias("fault"))
+        bad = F.col("fault").isNotNull()
+        judged = judged.observe(seen, F.count(F.lit(1)).alias("n_lines"), F.count(F.when(bad, 1)).alias("n_dropped"))
+        judged.withColumn("is_bad", bad).write.mode("overwrite").partitionBy("is_bad").parquet(target)
+        table = spark.read.schema(judged.withColumn("is_bad", bad).schema).parquet(target)
+        self.path = target
+        self.records = parse_records(table.filter("NOT is_bad"), schema, keep=keep)
+        self.faults = table.filter("is_bad").select(*keep, "value", "fault")
+        got = seen.get
+        self.counts = {"n_lines": got["n_lines"], "n_parsed": got["n_lines"] - got["n_dropped"],
+                       "n_dropped": got["n_dropped"]}
+
+
 def read_records(spark: SparkSession, path: str | list[str], schema: RecordSchema,
                  fmt: str = "text", mode: str = "failfast",
                  min_partitions: int | None = None) -> DataFrame:
@@ -169,15 +209,40 @@ def stage_parquet(df: DataFrame, path: str | None = None, partitions: int | None
     return spark.read.parquet(target)
 
 
-def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+def prefix_files(spark: SparkSession, path: str | list[str], n: int) -> list[str]:
+    """The leading files, in order of their path, that hold ``n`` lines
+    together (all files if there are fewer).
+
+    Files are counted in path order, one, two, four, ... at a time, each
+    count ending at the lines still missing; the rest are only listed.
+    """
+    files = [_literal_path(f) for f in sorted(spark.read.text(path).inputFiles())]
+    if not files:
+        return [path] if isinstance(path, str) else list(path)
+    if n <= 0:
+        return files[:1]
+    at, found, step = 0, 0, 1
+    while at < len(files) and found < n:
+        found += spark.read.text(files[at:at + step]).limit(n - found).count()
+        at, step = at + step, step * 2
+    return files[:at]
+
+
+def _literal_path(uri: str) -> str:
+    """A listed file's URI as a path that names it alone."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in unquote(uri))
+
+
+def first_lines(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
     """The first ``n`` lines of text files, files in order of their path.
 
+    Only the leading files that hold them are read (:func:`prefix_files`).
     Spark packs files into tasks by size, so the order is taken from the file
     path, the split's offset in the file and the position within the split
     (``monotonically_increasing_id`` grows along a split). Planned as a top-n:
     each task keeps n rows at most.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.text(prefix_files(spark, path, n)).select(
         "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__pos"))
     return lines.orderBy("__file", "__start", "__pos").limit(n).select("value")

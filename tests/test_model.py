@@ -128,3 +128,36 @@ def test_logistic_curve(spark):
     assert len(rows) == 1000
     assert np.allclose([r["x"] for r in rows], xs, atol=1e-12)
     assert np.allclose([r["y"] for r in rows], 1 / (1 + np.exp(-0.5 * xs)), atol=1e-12)
+
+
+def test_versions_survive_a_save_that_is_cut_off(spark, tmp_dir, monkeypatch):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import Bucketizer
+
+    from connlearn import drop_versions, model_versions
+
+    def made(cut):
+        return Pipeline(stages=[Bucketizer(splits=[-1.0, cut, 9.0], inputCol="x", outputCol="y")]).fit(
+            spark.createDataFrame([(1.0,)], "x double"))
+
+    def cut_of(model):
+        return model.stages[0].getSplits()[1]
+    path = f"{tmp_dir}/store"
+    save_model(made(1.0), path)
+    save_model(made(2.0), path)
+    assert model_versions(path) == [1, 2] and cut_of(load_model(path)) == 2.0 and cut_of(load_model(path, 1)) == 1.0
+
+    class Broken(PipelineModel):
+        def write(self):
+            raise RuntimeError("lost")
+    with pytest.raises(RuntimeError, match="lost"):
+        save_model(Broken([]), path)
+    assert model_versions(path) == [1, 2] and cut_of(load_model(path)) == 2.0
+    save_model(made(4.0), path)                              # takes the next free number
+    assert model_versions(path) == [1, 2, 4] and cut_of(load_model(path)) == 4.0
+    with pytest.raises(ValueError, match="version 3"):
+        load_model(path, 3)
+    assert drop_versions(path) == [1, 2] and model_versions(path) == [4]
+    plain = f"{tmp_dir}/plain"
+    made(3.0).write().save(plain)
+    assert cut_of(load_model(plain)) == 3.0

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.errors import PySparkException
 
-from connlearn import (clear_staging, first_lines, format_records, head_sample, parse_records, parse_report, positional_frame, read_records,
+from connlearn import (Quarantine, clear_staging, first_lines, format_records, head_sample, parse_records, parse_report, positional_frame, read_records,
                        scan_lines, stage_parquet, write_head_sample, write_lines)
 from connlearn.schema import RecordSchema
 from tests.fixtures import CONN_SCHEMA, MALFORMED_LINES, TRAIN_LINES, lines_df
@@ -128,3 +128,33 @@ def test_clear_staging(spark):
     assert os.path.exists(local)
     clear_staging(spark)
     assert not os.path.exists(local)
+
+
+def test_first_lines_reads_the_leading_files_only(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "many {a}")
+    os.makedirs(src)
+    lines = []
+    for i in range(40):
+        part = [f"{i}-{k}" for k in range(0 if i == 1 else 30 if i == 0 else 5)]
+        lines += part
+        with open(os.path.join(src, f"f{i:02d}.txt"), "w") as fh:
+            fh.writelines(f"{x}\n" for x in part)
+    quoted = src.replace("{", "\\{").replace("}", "\\}")
+    for n, files in ((30, 1), (1, 1), (31, 3), (45, 7), (1000, 40)):
+        got = first_lines(spark, quoted, n)
+        assert [r.value for r in got.collect()] == lines[:n]
+        assert len(got.inputFiles()) == files
+    assert first_lines(spark, quoted, 0).count() == 0
+
+
+def test_quarantine_in_one_pass(spark, tmp_dir):
+    lines = TRAIN_LINES + MALFORMED_LINES + ["0,tcp,http,SF,x,y,0,0,normal."]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)] + [(99, None)], "id long, value string")
+    q = Quarantine(df, CONN_SCHEMA, keep=("id",), path=f"{tmp_dir}/q")
+    faults = {r.id: r.fault for r in q.faults.collect()}
+    assert faults == {8: "number: duration", 9: "fields: 3", 10: "fields: 1", 11: "number: src_bytes", 99: "null"}
+    assert q.counts == {"n_lines": 13, "n_parsed": 8, "n_dropped": 5}
+    want = parse_records(df, CONN_SCHEMA, mode="drop", keep=("id",))
+    assert sorted(map(tuple, q.records.collect())) == sorted(map(tuple, want.collect()))
+    none = Quarantine(df.filter("id < 0"), CONN_SCHEMA)
+    assert none.counts == {"n_lines": 0, "n_parsed": 0, "n_dropped": 0} and none.faults.count() == 0

@@ -120,3 +120,13 @@ def test_expand_copies(spark):
     df = spark.createDataFrame([("a", 3), ("b", 0), (None, 25), ("a", 3)], "k string, n int")
     got = sorted(((r.k or "", r.c) for r in expand_copies(df, "n", "c", chunk_rows=4).collect()))
     assert got == sorted([("a", i) for i in range(3)] * 2 + [("", i) for i in range(25)])
+
+
+def test_merge_unique_keeps_repeated_rows_without_a_key(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "n"), (None, "n"), (None, "n"), (None, None)], "id int, a string")
+    b = spark.createDataFrame([(1, 1.0), (None, 3.0), (None, 3.0)], "id int, b double")
+    merged = merge_frames([a, b], unique_keys=True)
+    assert sorted((tuple(r) for r in merged.collect()), key=str) == sorted(
+        [(1, "x", 1.0), (None, "n", None), (None, "n", None), (None, "n", None), (None, None, None), (None, None, 3.0),
+         (None, None, 3.0)], key=str)
+    assert "monotonically" not in merged._jdf.queryExecution().optimizedPlan().toString().lower()
