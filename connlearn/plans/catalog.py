@@ -190,8 +190,7 @@ SELECT CASE WHEN discount = 0.0 THEN 'fields: 9' WHEN linestatus = 'O' THEN 'num
        CAST(count(*) AS BIGINT) AS n, CAST(sum(orderkey) AS BIGINT) AS orderkeys,
        CAST((SELECT count(*) FROM lines) AS BIGINT) AS n_lines FROM lines GROUP BY ALL""")
 def q_quarantine(spark, sf):
-    """Lines by fault (the same faults as above), with a key that is kept, and
-    the lines counted in the same pass."""
+    """Lines by fault (the same faults as above), with a key that is kept."""
     text = lines_text(spark, sf, keep_key=True)
     text = text.withColumn("value", F.when(F.split("value", ",")[5] == "0.00", F.concat("value", F.lit(",x")))
                            .when(F.split("value", ",")[1] == "O", F.concat(F.lit("?"), "value")).otherwise(F.col("value")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RecordSchema
@@ -118,25 +118,26 @@ class Quarantine:
 
     ``records``: the typed records; ``faults``: ``value, fault`` and the
     columns in ``keep`` (a file name, a key) of the lines that are none;
-    ``counts``: ``n_lines, n_parsed, n_dropped``, observed in the same pass.
+    ``counts``: ``n_lines, n_parsed, n_dropped``, from the stored table; the text is
+    read once.
     """
 
     def __init__(self, lines: DataFrame, schema: RecordSchema, line_col: str = "value", keep: tuple[str, ...] = (),
                  path: str | None = None):
         spark = lines.sparkSession
         target = path or staging_path(spark, "quarantine")
-        seen = Observation()
         judged = lines.select(*keep, F.col(line_col).alias("value"), line_fault(F.col(line_col), schema).alias("fault"))
         bad = F.col("fault").isNotNull()
-        judged = judged.observe(seen, F.count(F.lit(1)).alias("n_lines"), F.count(F.when(bad, 1)).alias("n_dropped"))
         judged.withColumn("is_bad", bad).write.mode("overwrite").partitionBy("is_bad").parquet(target)
         table = spark.read.schema(judged.withColumn("is_bad", bad).schema).parquet(target)
         self.path = target
         self.records = parse_records(table.filter("NOT is_bad"), schema, keep=keep)
         self.faults = table.filter("is_bad").select(*keep, "value", "fault")
-        got = seen.get
-        self.counts = {"n_lines": got["n_lines"], "n_parsed": got["n_lines"] - got["n_dropped"],
-                       "n_dropped": got["n_dropped"]}
+        # counted on the stored flags, not with an Observation: a session that
+        # has used one can no longer ship a fitted model with its summary
+        n = {r["is_bad"]: r["count"] for r in table.groupBy("is_bad").count().collect()}
+        good, dropped = n.get(False, 0), n.get(True, 0)
+        self.counts = {"n_lines": good + dropped, "n_parsed": good, "n_dropped": dropped}
 
 
 def read_records(spark: SparkSession, path: str | list[str], schema: RecordSchema,
