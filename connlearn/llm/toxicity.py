@@ -109,7 +109,7 @@ def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], b
                         continue
                     k = ord(x) - 96 if "a" <= x <= "z" else 27
                     step.setdefault((b, k), []).append((score + p + lm[a, b, k], word + x))
-        paths = {s: sorted(set(v), key=lambda e: (-e[0], e[1]))[:best] for s, v in step.items()}
+        paths = {s: v if len(v) == 1 else sorted(set(v), key=lambda e: (-e[0], e[1]))[:best] for s, v in step.items()}
         before = c
     ends = {}
     for (a, b), v in paths.items():
@@ -146,7 +146,8 @@ def written_oddly(text: str) -> list[str]:
     triple = _TRIPLE.search(text)
     for token in dict.fromkeys(text.split()):
         # of plain words, the cheap and common case, only repeated letters count
-        odd = _ODD if not token.strip(".,;:?").isalpha() else _TRIPLE if triple else None
+        plain = token.isalpha() or token.strip(".,;:?").isalpha()
+        odd = (_TRIPLE if triple else None) if plain else _ODD
         if odd and odd.search(token):
             found.append(_EDGE.sub("", token))
     return list(dict.fromkeys(t for t in found if len(t) > 2))
@@ -187,6 +188,24 @@ def grams(word: str, stem_from: int = 5) -> list[int]:
     return [zlib.crc32(p.encode()) for p in parts]
 
 
+def strongest(word: str, strong: dict[int, float]) -> float:
+    """The largest strength of :func:`grams` of a word. Each beginning's hash
+    goes on from the one before where letters are bytes."""
+    b = f"^{word[:30]}$".encode()
+    n, get, crc = len(word), strong.get, zlib.crc32
+    if n < 5:
+        return get(crc(b), 0.0)
+    if not b.isascii():
+        return max([get(g, 0.0) for g in grams(word)])
+    h = crc(b[:5])
+    best = get(h, 0.0)
+    for at in (5, 6, 7):
+        h = crc(b[at:at + 1], h)
+        if (s := get(h, 0.0)) > best:
+            best = s
+    return max(best, get(crc(b[8:], h), 0.0))
+
+
 def undoubled(word: str) -> set[str] | None:
     """Every word that ``word`` may stand for if doubled letters are one
     letter each or stay; None if those are too many to list."""
@@ -227,15 +246,14 @@ class Model:
         if s is None:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            get = self.strong.get
-            s = max([get(g, 0.0) for g in grams(word)])
+            s = strongest(word, self.strong)
             if _TWICE.search(word):
                 # features see 30 letters, 60 if every one is doubled
                 start, may = word[:60], undoubled(word[:60])
-                if may is None or any(g in self.strong for w in may for g in grams(w)):
+                if may is None or any(strongest(w, self.strong) for w in may):
                     likely = decode(start, self.lm)
                     likely = likely[:likely.index(start)] if start in likely else likely
-                    s = max([s, *[get(g, 0.0) for w in likely for g in grams(w)]])
+                    s = max([s, *[strongest(w, self.strong) for w in likely]])
             self.cache[word] = s
         return s
 
@@ -245,13 +263,15 @@ class Model:
         if not text:
             return 0.0
         words = set(_WORD.findall(text.lower()))
-        found = [s for s in map(self.strength, words) if s >= 0.5]
+        seen = self.cache.get
+        plain = [self.strength(w) if (s := seen(w)) is None else s for w in words]
+        found = [s for s in plain if s >= 0.5]
         for token in written_oddly(text):
             s = max((self.strength(w) for w in self.restore(token) if w not in words), default=0.0)
             if s >= 0.5:
                 found.append(s)
         if not found:
-            return 0.05 * max(map(self.strength, words), default=0.0)
+            return 0.05 * max(plain, default=0.0)
         return 1.0 - math.prod(1.0 - s for s in found)
 
 
