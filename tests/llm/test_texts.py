@@ -274,3 +274,11 @@ def test_toxicity_word_boundaries_and_long_runs(spark, make_docs):
     assert [t for t in bad if m.score(t) < toxicity.THRESHOLD] == []
     assert [t[:50] for t in good if m.score(t) >= toxicity.THRESHOLD] == []
     assert toxicity.written_oddly("great idio+ a$$ f4") == ["idio+", "a$$"]
+
+
+def test_strongest_is_the_best_of_all_features():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcéя", k=rng.randint(1, 40))) for _ in range(300)] + ["", "a" * 70]
+    strong = {g: 0.5 + rng.random() / 2 for w in words for g in toxicity.grams(w) if rng.random() < 0.3}
+    for w in words + [w[:5] + "zz" for w in words]:
+        assert toxicity.strongest(w, strong) == max(strong.get(g, 0.0) for g in toxicity.grams(w))
