@@ -901,14 +901,6 @@ def q_lr_multinomial_score(spark, sf):
         .select("event_id", "prediction")
 
 
-@register("lr_weights")
-def q_lr_weights(spark, sf):
-    train, _ = _line_split(spark, sf)
-    flow = Workflow(LINES_SCHEMA, categorical=False, classes="binary", normal_token="N")
-    model = flow.fit(train)
-    return lr_weights(model, spark, flow.feature_names(model))
-
-
 # --------------------------------------------------------------------------
 # Evaluation of fixed-weight predictions on all events of a known class
 
@@ -1118,9 +1110,9 @@ def q_flow_mixed_multi(spark, sf):
     return _flow_matrix(_lines(spark, sf), True, "all")
 
 
-@register("flow_weights", "WITH RECURSIVE " + LINES_SQL + ",\n" + _fit_sql(False, "binary") + "\n" + " UNION ALL ".join(
+@register("lr_weights", "WITH RECURSIVE " + LINES_SQL + ",\n" + _fit_sql(False, "binary") + "\n" + " UNION ALL ".join(
     f"SELECT 1 AS class, '{c}' AS feature, round(w1_{j}, 4) + 0.0 AS weight FROM fit" for j, c in enumerate(NUMS)))
-def q_flow_weights(spark, sf):
+def q_lr_weights(spark, sf):
     """Weights of the numeric binary model, per standard deviation."""
     train, _ = _line_split(spark, sf)
     flow = _real_flow(False, "binary")
