@@ -297,6 +297,10 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | Non
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and decoded bytes of every whole text of ``documents``, as digests.
+
+    A null or empty text has no tokens and the digest of nothing; repeated rows give a row
+    each; an empty table gives no rows."""
     return decode(encode(read(spark, sf_dir, "documents")), digest=True)
 
 

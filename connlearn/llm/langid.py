@@ -110,6 +110,11 @@ def predict(df: DataFrame, dicts: dict[str, bytes], key: str = "doc_id", text: s
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, one row per row.
+
+    Null texts and texts without a letter are ``und`` with score 0; rows without a lang
+    teach nothing; repeated rows and null ids are judged each; an empty table gives no
+    rows; lang, source and further columns are no inputs of a prediction."""
     docs = read(spark, sf_dir, "documents")
     dicts = dictionaries(docs.filter(~held_out(F.col("doc_id"))))
     out = predict(docs, dicts)

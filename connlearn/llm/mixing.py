@@ -81,6 +81,10 @@ def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = SEED, **
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from each of ``documents``, one row per row.
+
+    A null text has size 0; null is a source of its own, the last; repeated rows are drawn
+    each; an empty table gives no rows."""
     docs = read(spark, sf_dir, "documents")
     out = mix(docs, "doc_id", "source", word_count(F.col("text")))
     return out.select("doc_id", "size", "source_size", "target", "taken")

@@ -153,6 +153,10 @@ def ablations(led: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdicts of every whole text of ``documents``, one row per row.
+
+    A null or empty text has no words and fails; repeated rows and null ids are judged
+    each; an empty table gives no rows; further columns are not read."""
     led = ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
     m = [F.col("m")[c].alias(c) for c in
          ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]

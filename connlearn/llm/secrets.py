@@ -137,6 +137,10 @@ def scan_all(spark: SparkSession, versions: DataFrame, keep: list[str], text: st
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text of ``documents``, one row per row.
+
+    A null text is empty; equal texts are one blob, scanned once; repeated rows and null
+    ids are kept; an empty table gives no rows; further columns are not read."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_all(spark, docs, ["doc_id"]).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")

@@ -53,6 +53,11 @@ def shard_rows(df: DataFrame, key: str, attributes: list[str], weights: list[flo
 
 
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in shards by the key law, one row per row.
+
+    A null text has size 1 and the crc of nothing; a null doc_id is a key of its own;
+    rows with equal ids share a shard, equal rows get slots each; an empty table gives
+    no rows."""
     docs = read(spark, sf_dir, "documents")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"),

@@ -124,6 +124,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every whole text of ``documents``, one row per row.
+
+    Texts without words have fingerprint 0 and link to each other; equal fingerprints are
+    one node, however many rows have them; an empty table gives no rows."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

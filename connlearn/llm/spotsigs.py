@@ -271,6 +271,10 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and likeness of every whole text, its edit and the next document.
+
+    A null text is empty; rows are ordered by doc_id descending, null ids last; equal ids
+    are ordered by their content; an empty table gives no rows."""
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
 

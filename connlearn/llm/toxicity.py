@@ -377,6 +377,10 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of ``documents``, one row per row.
+
+    Null and empty texts score 0; repeated rows and null ids are scored each; without
+    labels, or without toxic ones, nothing scores 0.3; an empty table gives no rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -230,6 +230,11 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``pages`` row written as a WARC record and read back, one row per page.
+
+    A null html is an empty payload; equal payloads of at least 100 bytes are revisits
+    of the smallest page_id; repeated rows give a row each; an empty table gives
+    no rows; further columns of ``pages`` are not read."""
     path = staging_path(spark, "warc")
     write_archives(page_records(read(spark, sf_dir, "pages")), path)
     records = read_archives(spark, path)
