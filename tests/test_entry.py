@@ -2,7 +2,7 @@ import importlib
 import re
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"random_split", "lr_weights"}
+ROWS_ONLY = {"random_split"}
 
 
 def own(names):
