@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,12 @@ LEAST_TOXIC = 5
 #: A feature counts as toxic if the lower Wilson bound (at Z standard errors)
 #: of its share of toxic documents is at least LEAST_SHARE.
 Z, LEAST_SHARE = 2.3, 0.5
+#: A feature is dense in a text that has it twice or more, and at least once in
+#: so many words: a stem that clean texts have now and then, toxic ones often.
+DENSE = 150
+#: Strength from which a word counts where it is not dense: that of ten toxic
+#: documents with it and no other.
+ONCE = 0.65
 THRESHOLD = 0.3
 #: Words whose strength a worker remembers; bounds memory only.
 CACHE_WORDS = 300_000
@@ -32,25 +39,50 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 # ---- character language model
 
-#: Symbols of the model: 0 is a word boundary, 1 to 26 are a to z, 27 any other letter.
-SYMBOLS = 28
-_CLASS = bytes((b - 96 if 97 <= b <= 122 else 27 if b in (0xAA, 0xB5, 0xBA) or (b >= 0xC0 and b not in (0xD7, 0xF7))
-                else 0) for b in range(256))
+#: Symbols of the model: 0 is a word boundary, 1 to 26 are a to z, the rest
+#: letters of any script by their code point.
+SYMBOLS = 64
+
+
+def symbol(c: str) -> int:
+    return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (SYMBOLS - 27) if c.isalpha() else 0
+
+
+_CLASS = bytes(symbol(chr(b)) for b in range(256))
+#: Characters that a task counts at once; a longer text is one piece.
+PIECE = 1 << 20
 
 
 def classes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("latin-1", "replace").translate(_CLASS), np.uint8)
+    low = text.lower()
+    try:
+        return np.frombuffer(low.encode("latin-1").translate(_CLASS), np.uint8)
+    except UnicodeEncodeError:
+        points, at = np.unique(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        return np.array([symbol(chr(p)) for p in points], np.uint8)[at]
 
 
 def language_model(df: DataFrame, text: str = "text") -> np.ndarray:
     """Log2 probabilities P(c | a, b) of a character trigram model, from the
-    counts of every text of ``df``. A task sends at most 28^3 counts."""
+    counts of every text of ``df``. A task sends at most 64^3 counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS ** 3, np.int64)
+
+        def count(texts: list[str]) -> None:
+            if texts:
+                x = classes("  ".join(["", *texts, ""])).astype(np.int32)
+                np.add(total, np.bincount((x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:], minlength=SYMBOLS ** 3), total)
+
+        texts, held = [], 0
         for b in batches:
             for t in b.column(0):
-                if t.is_valid and len(x := np.concatenate(([0, 0], classes(t.as_py()), [0])).astype(np.int32)) > 3:
-                    total += np.bincount((x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:], minlength=SYMBOLS ** 3)
+                if t.is_valid:
+                    texts.append(t.as_py())
+                    held += len(texts[-1])
+                    if held >= PIECE:
+                        count(texts)
+                        texts, held = [], 0
+        count(texts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -64,9 +96,31 @@ def language_model(df: DataFrame, text: str = "text") -> np.ndarray:
 
 # ---- noisy channel
 
-#: What an intended letter may be written as.
+#: What an intended letter may be written as, by script.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
+CYRILLIC = {"0": "о", "3": "з", "4": "ч", "6": "б", "8": "в", "@": "а", "(": "с", "€": "е", "*": "аеиоуыя",
+            "a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "y": "у", "x": "х", "k": "к", "m": "м", "t": "т",
+            "b": "в", "h": "н", "i": "і", "s": "ѕ", "j": "ј"}
+GREEK = {"0": "ο", "3": "ε", "4": "α", "@": "α", "€": "ε", "*": "αεηιουω",
+         "a": "α", "o": "ο", "v": "ν", "p": "ρ", "i": "ι", "k": "κ", "t": "τ", "x": "χ", "u": "υ", "n": "η"}
+#: Letters of other scripts that stand for Latin ones.
+LATIN = LOOKS_LIKE | {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s",
+                      "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
+                      "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "τ": "t", "χ": "x", "υ": "u"}
+_OF_CYRILLIC, _OF_GREEK = re.compile("[\u0400-\u04ff]"), re.compile("[\u0370-\u03ff]")
+_OF_LATIN = re.compile("[a-z]", re.I)
+
+
+def alphabets(seen: str) -> list[dict[str, str]]:
+    """The look-alikes of every script that ``seen`` has letters of."""
+    if seen.isascii():
+        return [LOOKS_LIKE]
+    of = [table for letters, table in ((_OF_LATIN, LATIN), (_OF_CYRILLIC, CYRILLIC), (_OF_GREEK, GREEK))
+          if letters.search(seen)]
+    return of or [LOOKS_LIKE]
+
+
 #: Log2 channel probabilities: a letter as itself, a look-alike, a repeated
 #: letter written for one, a separator put between letters, a separator put
 #: between letters that are all set apart.
@@ -77,7 +131,8 @@ KNOWN = 8.0
 BEST, BEST_CUT = 4, 32
 
 
-def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], bool] = lambda word: False) -> list[str]:
+def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], bool] = lambda word: False,
+           looks_like: dict[str, str] = LOOKS_LIKE) -> list[str]:
     """The most probable intended readings of one written token or spaced run
     (Viterbi over the letter lattice; states are the last two symbols; the
     ``best`` best paths survive per state). Separators may be dropped or end a
@@ -88,10 +143,8 @@ def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], b
     paths = {(0, 0): [(0.0, "")]}
     before = ""
     for c in seen.lower():
-        options = [(x, ALIKE) for x in LOOKS_LIKE.get(c, "")]
-        if "a" <= c <= "z":
-            options.append((c, SAME))
-        elif not options and c.isalpha():
+        options = [(x, ALIKE) for x in looks_like.get(c, "")]
+        if c.isalpha():
             options.append((c, SAME))
         drop = None if options and c.isalnum() else between if before.isalnum() else SEPARATOR
         step: dict[tuple[int, int], list[tuple[float, str]]] = {}
@@ -107,7 +160,7 @@ def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], b
                 for x, p in options:
                     if word[-2:] == x + x:
                         continue
-                    k = ord(x) - 96 if "a" <= x <= "z" else 27
+                    k = symbol(x)
                     step.setdefault((b, k), []).append((score + p + lm[a, b, k], word + x))
         paths = {s: v if len(v) == 1 else sorted(set(v), key=lambda e: (-e[0], e[1]))[:best] for s, v in step.items()}
         before = c
@@ -127,6 +180,7 @@ _SPACED = re.compile(rf"(?<![^\W_])(?:(?:{_ONE}){_SEP}{{1,2}}){{3,}}(?:{_ONE})(?
 _ODD = re.compile(r"[^\W\d_][@$!|+(€*.\-_/\\,]+[^\W_]|[^\W\d_][0-9]+[^\W\d_]"
                   r"|(?<![^\W_])[0-9@$!|+(€]+[^\W\d_]{2}|[^\W\d_](?:[0-9@$!|+(€]+|\*{1,2}(?!\*))(?![^\W_])|([^\W\d_])\1\1")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_MIXED = re.compile("[a-zA-Z][\u0370-\u04ff]|[\u0370-\u04ff][a-zA-Z]")
 _EDGE = re.compile(r"^[\W_]*(?<![@$!|+(€])|(?![@$!|+(€*])[\W_]+$")
 _CUT = re.compile(rf"[^\W_]{_SEP}+[^\W_]")
 _REPEATS = re.compile(r"([^\W\d_])\1{3,}")
@@ -141,14 +195,14 @@ def written_oddly(text: str) -> list[str]:
     """Tokens, of any length, that look disguised: look-alikes or separators
     among or after letters (three
     stars after a word are a mark), a letter three times over, or runs of single
-    letters set apart."""
+    letters set apart, or letters of two scripts side by side."""
     found = [m.group() for m in _SPACED.finditer(text)]
-    triple = _TRIPLE.search(text)
+    triple, mixed = _TRIPLE.search(text), _MIXED.search(text)
     for token in dict.fromkeys(text.split()):
         # of plain words, the cheap and common case, only repeated letters count
         plain = token.isalpha() or token.strip(".,;:?").isalpha()
         odd = (_TRIPLE if triple else None) if plain else _ODD
-        if odd and odd.search(token):
+        if (odd and odd.search(token)) or (mixed and _MIXED.search(token)):
             found.append(_EDGE.sub("", token))
     return list(dict.fromkeys(t for t in found if len(t) > 2))
 
@@ -160,18 +214,74 @@ def worded(seen: str) -> bool:
                for p in (re.sub(_SEP, "", seen), *re.split(_SEP, seen)))
 
 
-def restored_words(seen: str, lm: np.ndarray, known: Callable[[str], bool]) -> list[str]:
-    """The distinct words of all readings of a written token. A token longer
-    than a window is decoded in overlapping windows; words at a cut may be
-    fragments and are taken from the neighbouring window."""
+#: Look-alikes that may as well be separators, and the letter they stand for.
+_EITHER = {"$": "s", "+": "t", "(": "c"}
+_RUN = re.compile(r"(.)\1+")
+
+
+class Bare(dict):
+    """Translation table to skeletons: code point -> its letter, or nothing.
+    Entries are made as they are met. ``either`` are the look-alikes of the
+    token that may as well be separators: their letters go."""
+
+    def __init__(self, looks_like: dict[str, str], either: str):
+        super().__init__()
+        self.letter = {c: v for c, v in looks_like.items() if len(v) == 1}
+        self.gone = {x for c, v in looks_like.items() for x in v if len(v) > 1 or not (c.isalnum() or c in _EITHER)}
+        for c in either:
+            self.gone |= {_EITHER[c], looks_like.get(_EITHER[c], ""), looks_like.get(c, "")}
+
+    def __missing__(self, point: int) -> str:
+        c = self.letter.get(chr(point), chr(point))
+        self[point] = c if c.isalpha() and c not in self.gone else ""
+        return self[point]
+
+    def skeleton(self, text: str) -> str:
+        return _RUN.sub(r"\1", text.lower().translate(self))
+
+
+class Skeletons:
+    """What is left of words whatever their disguise: separators, vowels and
+    the letters that look-alikes of several meanings may stand for go, other
+    look-alikes become their letter, repeats one letter. A written token can
+    be restored to a word only if its skeleton holds the word's, so that most
+    tokens need no lattice. Words are told by the first four characters of
+    their skeletons."""
+
+    def __init__(self, words: Iterable[str]):
+        self.words, self.made = list(words), {}
+
+    def may_hold(self, seen: str, looks_like: dict[str, str] = LOOKS_LIKE) -> bool:
+        either = "".join(c for c in _EITHER if c in seen)
+        got = self.made.get((id(looks_like), either))
+        if got is None:
+            bare = Bare(looks_like, either)
+            starts = {bare.skeleton(w)[:4] for w in self.words}
+            got = self.made[id(looks_like), either] = bare, starts, sorted({len(x) for x in starts})
+        bare, starts, sizes = got
+        if "" in starts:
+            return True
+        left = bare.skeleton(seen)
+        return any(left[i:i + n] in starts for n in sizes for i in range(len(left) - n + 1))
+
+
+def restored_words(seen: str, lm: np.ndarray, known: Callable[[str], bool],
+                   may_hold: Callable[[str, dict], bool] = lambda piece, looks_like: True) -> list[str]:
+    """The distinct words of all readings of a written token, in every script
+    that it has letters of; none where no reading ``may_hold`` a toxic one. A
+    token longer than a window is decoded in overlapping windows; words at a
+    cut may be fragments and are taken from the neighbouring window."""
     seen = _REPEATS.sub(r"\1\1\1", seen)
     words: dict[str, None] = {}
     for at in range(0, max(1, len(seen) - OVERLAP), WINDOW - OVERLAP):
         piece = seen[at:at + WINDOW]
         if worded(piece):
-            for reading in decode(piece, lm, BEST_CUT if _CUT.search(piece) else BEST, known):
-                got = reading.split()
-                words.update(dict.fromkeys(got[at > 0:len(got) - (at + WINDOW < len(seen))]))
+            for looks_like in alphabets(piece):
+                if not may_hold(piece, looks_like):
+                    continue
+                for reading in decode(piece, lm, BEST_CUT if _CUT.search(piece) else BEST, known, looks_like):
+                    got = reading.split()
+                    words.update(dict.fromkeys(got[at > 0:len(got) - (at + WINDOW < len(seen))]))
     return list(words)
 
 
@@ -183,7 +293,7 @@ def grams(word: str, stem_from: int = 5) -> list[int]:
     ones, and pieces from inside a word, occur by chance in too many clean
     words). Training takes stems from 6 letters on, so that a short word is
     not the only support of its own beginnings."""
-    w = f"^{word[:30]}$"
+    w = f"^{word}$"
     parts = {w, w[:5], w[:6], w[:7], w[:8]} if len(word) >= stem_from else {w}
     return [zlib.crc32(p.encode()) for p in parts]
 
@@ -191,7 +301,7 @@ def grams(word: str, stem_from: int = 5) -> list[int]:
 def strongest(word: str, strong: dict[int, float]) -> float:
     """The largest strength of :func:`grams` of a word. Each beginning's hash
     goes on from the one before where letters are bytes."""
-    b = f"^{word[:30]}$".encode()
+    b = f"^{word}$".encode()
     n, get, crc = len(word), strong.get, zlib.crc32
     if n < 5:
         return get(crc(b), 0.0)
@@ -206,6 +316,22 @@ def strongest(word: str, strong: dict[int, float]) -> float:
     return max(best, get(crc(b[8:], h), 0.0))
 
 
+def dense_feature(gram: int) -> int:
+    """The feature that ``gram`` is dense in a text."""
+    return zlib.crc32(b"+", gram)
+
+
+def features(text: str) -> set[int]:
+    """All features of a text, for training: the grams of its words, and those
+    of them that are dense."""
+    n = Counter(_WORD.findall(text.lower()))
+    total, often = sum(n.values()), Counter()
+    for w, k in n.items():
+        for g in grams(w, 6):
+            often[g] += k
+    return set(often) | {dense_feature(g) for g, k in often.items() if k > 1 and k * DENSE >= total}
+
+
 def undoubled(word: str) -> set[str] | None:
     """Every word that ``word`` may stand for if doubled letters are one
     letter each or stay; None if those are too many to list."""
@@ -220,19 +346,28 @@ def undoubled(word: str) -> set[str] | None:
 
 @dataclass
 class Model:
-    """Language model and toxic features; the caches stay in the worker."""
+    """Language model, strengths of toxic features by hash, and the letters of
+    those features; the caches stay in the worker."""
     lm: np.ndarray
     strong: dict[int, float]
+    stems: tuple[str, ...] = ()
     cache: dict = field(default_factory=dict)
     restored: dict = field(default_factory=dict)
+    #: Word -> its grams that count where they are dense; few words have any.
+    dense: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.skeletons = Skeletons(self.stems)
+        self.dense_starts = {w[:4] for w in self.stems if any(dense_feature(g) in self.strong for g in
+                             (zlib.crc32(f"^{w}".encode()), zlib.crc32(f"^{w}$".encode())))}
 
     def known(self, word: str) -> bool:
-        return zlib.crc32(f"^{word[:30]}$".encode()) in self.strong
+        return zlib.crc32(f"^{word}$".encode()) in self.strong
 
     def restore(self, token: str) -> list[str]:
         got = self.restored.get(token)
         if got is None:
-            got = restored_words(token, self.lm, self.known)
+            got = restored_words(token, self.lm, self.known, self.skeletons.may_hold)
             if len(token) <= WINDOW:
                 if len(self.restored) > CACHE_WORDS // 4:
                     self.restored.clear()
@@ -248,27 +383,53 @@ class Model:
                 self.cache.clear()
             s = strongest(word, self.strong)
             if _TWICE.search(word):
-                # features see 30 letters, 60 if every one is doubled
-                start, may = word[:60], undoubled(word[:60])
-                if may is None or any(strongest(w, self.strong) for w in may):
-                    likely = decode(start, self.lm)
-                    likely = likely[:likely.index(start)] if start in likely else likely
-                    s = max([s, *[strongest(w, self.strong) for w in likely]])
+                may = undoubled(word)
+                if (self.skeletons.may_hold(word) if may is None else any(strongest(w, self.strong) for w in may)):
+                    s = max([s, *[strongest(w, self.strong) for w in self.likelier(word)]])
+            if word[:4] in self.dense_starts:
+                if got := [g for g in grams(word) if dense_feature(g) in self.strong]:
+                    self.dense[word] = got
             self.cache[word] = s
         return s
 
+    def likelier(self, word: str) -> list[str]:
+        """Readings more probable than a plain word itself. A word beyond a
+        window is read window by window, each at its best."""
+        if len(word) > WINDOW:
+            cuts = [word[at:at + WINDOW] for at in range(0, len(word), WINDOW)]
+            return ["".join((decode(c, self.lm) or [c])[0] for c in cuts)]
+        likely = decode(word, self.lm)
+        return likely[:likely.index(word)] if word in likely else likely
+
+    def dense_strength(self, n: Counter, total: int) -> float:
+        """The largest strength of the grams that are dense among words."""
+        often = Counter()
+        for w in n.keys() & self.dense.keys():
+            for g in self.dense[w]:
+                often[g] += n[w]
+        return max((self.strong[dense_feature(g)] for g, k in often.items() if k > 1 and k * DENSE >= total),
+                   default=0.0)
+
     def score(self, text: str | None) -> float:
         """1 - the product of (1 - strength) over the distinct toxic words of
-        the text as written and as restored; below 0.05 without any."""
+        the text as written and as restored, and the strongest of those that
+        are dense; below 0.05 without any."""
         if not text:
             return 0.0
-        words = set(_WORD.findall(text.lower()))
+        every = _WORD.findall(text.lower())
+        words = set(every)
         seen = self.cache.get
         plain = [self.strength(w) if (s := seen(w)) is None else s for w in words]
-        found = [s for s in plain if s >= 0.5]
+        found = [s for s in plain if s >= ONCE]
+        hidden = []
         for token in written_oddly(text):
-            s = max((self.strength(w) for w in self.restore(token) if w not in words), default=0.0)
-            if s >= 0.5:
+            got = [w for w in self.restore(token) if w not in words]
+            s = max((self.strength(w) for w in got), default=0.0)
+            if s >= ONCE:
+                found.append(s)
+            hidden += [w for w in got if w in self.dense]
+        if hidden or not self.dense.keys().isdisjoint(words):
+            if (s := self.dense_strength(Counter(every) + Counter(hidden), len(every))) >= LEAST_SHARE:
                 found.append(s)
         if not found:
             return 0.05 * max(plain, default=0.0)
@@ -318,9 +479,9 @@ def without_copies(sample: DataFrame) -> DataFrame:
     return sample.join(later, "doc_id", "left_anti")
 
 
-def toxic_features(sample: DataFrame, most: int = MOST_FEATURES) -> dict[int, float]:
+def toxic_features(sample: DataFrame, most: int = MOST_FEATURES) -> tuple[dict[int, float], tuple[str, ...]]:
     """Feature hash -> strength of the toxic features among the words of
-    (doc_id, text, toxic). Of a group of toxic near copies one document
+    (doc_id, text, toxic), and the letters of those features. Of a group of toxic near copies one document
     counts, so that copies do not make their words toxic; all others count.
     Features of toxic texts are counted first, the other texts count those
     alone."""
@@ -332,7 +493,7 @@ def toxic_features(sample: DataFrame, most: int = MOST_FEATURES) -> dict[int, fl
                 for at in range(0, b.num_rows, 500):
                     found = []
                     for t in b.column(0).slice(at, 500):
-                        got = {g for w in set(_WORD.findall(t.as_py().lower())) for g in grams(w, 6)}
+                        got = features(t.as_py())
                         got = np.fromiter(got, np.int64, len(got))
                         found.append(got if wanted is None else np.intersect1d(got, wanted, assume_unique=True))
                     gram, n = np.unique(np.concatenate(found), return_counts=True)
@@ -352,20 +513,35 @@ def toxic_features(sample: DataFrame, most: int = MOST_FEATURES) -> dict[int, fl
     p = F.col("pos") / n
     low = (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     best = both.select("gram", low.alias("s")).filter(F.col("s") >= LEAST_SHARE).orderBy(F.desc("s"), "gram").limit(most)
-    return {r.gram: r.s for r in best.collect()}
+    strong = {r.gram: r.s for r in best.collect()}
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                found = set()
+                for w in {w for t in b.column(0).slice(at, 500) for w in _WORD.findall(t.as_py().lower())}:
+                    for part, g in ((w, zlib.crc32(f"^{w}$".encode())),
+                                    *[(w[:k], zlib.crc32(f"^{w[:k]}".encode())) for k in range(4, min(8, len(w) + 1))]):
+                        if g in strong or dense_feature(g) in strong:
+                            found.add(part)
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["part"])
+
+    # two features at most share their letters, as a word and as a beginning
+    parts = map_arrow(toxic.select("text"), letters, "part string").distinct().collect() if strong else []
+    return strong, tuple(sorted(r.part for r in parts))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = staged(labelled_sample(docs, labels), "labelled")
-    return Model(language_model(docs), toxic_features(sample))
+    return Model(language_model(docs), *toxic_features(sample))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted) for every row, each text read whole. Null and
-    empty texts score 0; rows and repeats stay; the model (about 0.5 MB) travels
+    empty texts score 0; rows and repeats stay; the model (about 3 MB) travels
     with the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model.lm, model.strong)
+        m = Model(model.lm, model.strong, model.stems)
         for b in batches:
             got = np.array([m.score(t.as_py()) for t in b.column(1)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays(

@@ -229,7 +229,7 @@ def test_toxicity_held_out(spark):
     got = toxicity.op10_toxicity(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     n = Counter((r.toxic, r.predicted) for r in got.filter("held_out").join(labels, "doc_id").collect())
-    assert n[1, 1] / (n[1, 0] + n[1, 1]) > 0.8 and n[0, 1] / (n[0, 0] + n[0, 1]) < 0.03
+    assert n[1, 1] / (n[1, 0] + n[1, 1]) >= 0.9 and n[0, 1] / (n[0, 0] + n[0, 1]) < 0.03
 
 
 def test_toxicity_restores_and_handles_edges(spark, make_docs):
@@ -270,7 +270,7 @@ def test_toxicity_word_boundaries_and_long_runs(spark, make_docs):
     bad = ["you are a s t u p i d person", "b i g s t u p i d", "well,5tup1d", "x/y/stup1d/z", "the-$tupid.and",
            " ".join(run + "stupid" + run), "x/y/" * 40 + "stup1d" + "/abc" * 40, "stuppid", "2024/01/02/5tupid", "stup!d" + "," * 3 + "well", "s.t.u.p.i.d,the"]
     good = ["you are a b i g person", " ".join(run * 3), "x/y/" * 100, "a1" * 30_000, "xxyyzz" * 5000, "well!! the*** 2024/01/02"]
-    m = toxicity.Model(model.lm, model.strong)
+    m = toxicity.Model(model.lm, model.strong, model.stems)
     assert [t for t in bad if m.score(t) < toxicity.THRESHOLD] == []
     assert [t[:50] for t in good if m.score(t) >= toxicity.THRESHOLD] == []
     assert toxicity.written_oddly("great idio+ a$$ f4") == ["idio+", "a$$"]
@@ -282,3 +282,71 @@ def test_strongest_is_the_best_of_all_features():
     strong = {g: 0.5 + rng.random() / 2 for w in words for g in toxicity.grams(w) if rng.random() < 0.3}
     for w in words + [w[:5] + "zz" for w in words]:
         assert toxicity.strongest(w, strong) == max(strong.get(g, 0.0) for g in toxicity.grams(w))
+
+
+def trained(spark, make_docs, clean, toxic, n=400):
+    rng = random.Random(5)
+    rows = [(i, " ".join([rng.choice(clean) for _ in range(25)] + [toxic] * (i % 4 == 0))) for i in range(n)]
+    return toxicity.fit(make_docs(rows + rows[:3]),
+                        spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(n)], "doc_id long, toxic int"))
+
+
+def test_toxicity_of_any_script_and_whole_words(spark, make_docs):
+    m = trained(spark, make_docs, "мир дом река город книга время слово рука".split(), "мерзота")
+    for t in ("мерзота", "м е р з о т а", "мер3ота", "мерз0та", "мерзот@", "меррррзота", "мepзoтa дом"):
+        assert m.score(t) >= toxicity.THRESHOLD, t
+    for t in ("мир дом река", "г о р о д", "вре.мя 300", "Ελλάδα слово"):
+        assert m.score(t) < toxicity.THRESHOLD, t
+    # two words that are equal in their first thirty letters are two features
+    start = "pa" * 15
+    m = trained(spark, make_docs, [start + "clean", "river", "stone", "market"], start + "blorg")
+    assert m.score(start + "blorg") >= toxicity.THRESHOLD > m.score(start + "clean")
+    assert m.strong.keys().isdisjoint({toxicity.zlib.crc32(f"^{start}"[:k].encode()) for k in (5, 6, 7, 8)})
+
+
+def test_toxicity_of_dense_stems(spark, make_docs):
+    """A stem that clean texts have once and toxic ones often counts where it is often."""
+    rng = random.Random(6)
+    ends = ["an", "er", "ing", "um", "est", "oly"]
+    rows = [(i, " ".join([rng.choice(["lion", "river", "stone", "paper"]) for _ in range(60)]
+                         + ["gromb" + rng.choice(ends) + rng.choice(ends) for _ in range(4 if i % 5 == 0 else 1)]))
+            for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    m = toxicity.fit(make_docs(rows), labels)
+    got = [m.score(t) >= toxicity.THRESHOLD for _, t in rows]
+    assert got == [i % 5 == 0 for i, _ in rows]
+    assert m.score("gr0mbaner lion g r o m b i n g u m river") >= toxicity.THRESHOLD
+    assert m.score("grombaner " + "lion " * 400 + "grombumum") < toxicity.THRESHOLD
+
+
+def test_skeletons_lose_no_restored_word(spark, make_docs):
+    """Without the gate, no written token restores to a word that counts."""
+    toxic = ["stupid", "idiot", "loser", "clown", "blorgface", "гадость"]
+    model = trained(spark, make_docs, "lion river music stone garden window paper книга город".split(), " ".join(toxic))
+    m = toxicity.Model(model.lm, model.strong, model.stems)
+    assert set(toxic) <= set(m.stems)
+    rng = random.Random(8)
+    back = {}
+    for table in (toxicity.LATIN, toxicity.CYRILLIC):
+        for c, v in table.items():
+            for x in v:
+                back.setdefault(x, []).append(c)
+    passed = 0
+    for _ in range(1500):
+        w = rng.choice(toxic) if rng.random() < 0.6 else "".join(rng.choices("abcdefilostrу", k=rng.randint(3, 9)))
+        sep = rng.choice(["", "", ".", "-", "|", "+", " ", "$", "("])
+        seen = sep.join(rng.choice(back.get(c, [c])) if rng.random() < 0.3 else c * rng.choice([1, 1, 1, 2, 3]) for c in w)
+        seen = rng.choice(["", "x/", "well,"]) + seen + rng.choice(["", "!", "/y", "s"])
+        every = [x for x in toxicity.restored_words(seen, m.lm, m.known) if m.strength(x) >= toxicity.ONCE]
+        gated = [x for x in toxicity.restored_words(seen, m.lm, m.known, m.skeletons.may_hold)
+                 if m.strength(x) >= toxicity.ONCE]
+        assert every == gated, seen
+        passed += bool(every)
+    assert passed > 300
+
+
+def test_toxicity_of_megabytes_of_odd_tokens(spark, make_docs):
+    m = trained(spark, make_docs, "lion river music stone garden window paper".split(), "stupid blorgface")
+    for text in ("x y z q " * 250_000, "ab/cd3/" * 300_000, "qqwwzz" * 300_000, "a1" * 1_000_000):
+        assert m.score(text) < toxicity.THRESHOLD
+        assert m.score(text + " 5tup1d") >= toxicity.THRESHOLD
