@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,35 +92,51 @@ class BlobLedger:
 
     One row per (blob, rule version): the blob's address, its findings and the
     version of the rules that made them. ``update`` scans only blobs that have
-    no row under the current version; each update appends one folder, and a
-    failed update leaves nothing behind that is read.
+    no row under the current version; each update writes one folder of its own
+    name, which counts once its ``_SUCCESS`` file is there. A failed update
+    leaves nothing behind that is read, and a ledger opened on the same path,
+    by any session, has all committed batches. Updates that run at the same
+    time may both scan a blob; its findings are equal and are read once.
     """
 
     def __init__(self, spark: SparkSession, path: str, rule_version: int = RULE_VERSION):
         self.spark, self.path, self.rule_version = spark, path, rule_version
-        self.batches: list[str] = []
+
+    @property
+    def batches(self) -> list[str]:
+        """Folders of the committed updates, oldest first."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        found = [(f.getModificationTime(), f.getPath()) for f in fs.listStatus(at) if f.isDirectory()]
+        done = [(t, str(p.toString())) for t, p in found
+                if p.getName().startswith("batch-") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return [p for _, p in sorted(done)]
 
     def rows(self) -> DataFrame:
         schema = FINDINGS + ", rule_version int"
-        if not self.batches:
+        batches = self.batches
+        if not batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*self.batches)
+        return self.spark.read.schema(schema).parquet(*batches)
 
     def findings(self) -> DataFrame:
-        return self.rows().filter(F.col("rule_version") == self.rule_version).drop("rule_version")
+        """One row per blob that the current rules have seen."""
+        return (self.rows().filter(F.col("rule_version") == self.rule_version).drop("rule_version")
+                .dropDuplicates(["blob"]))
 
     def update(self, versions: DataFrame, text: str = "text") -> "BlobLedger":
         """Scan the unseen blobs among all ``versions`` (any columns, one text
         column). Copies meet as equal addresses, first within a map task, so
         a group of copies of any size sends one text per task."""
-        seen = self.findings().select("blob")
         blobs = versions.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        if self.batches:
-            blobs = blobs.join(seen, "blob", "left_anti")
-        unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-        batch = f"{self.path}/batch-{len(self.batches):06d}"
-        scan(unseen).withColumn("rule_version", F.lit(self.rule_version)).write.parquet(batch)
-        self.batches.append(batch)
+        seen = self.rows().filter(F.col("rule_version") == self.rule_version).select("blob")
+        # copies meet before the join, which Spark moves below them where the ledger is small enough to broadcast
+        unseen = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
+        scan(unseen).withColumn("rule_version", F.lit(self.rule_version)).write.parquet(
+            f"{self.path}/batch-{uuid.uuid4().hex}")
         return self
 
     def paths(self, versions: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -131,18 +148,28 @@ class BlobLedger:
             "_blob", "blob")
 
 
-def scan_all(spark: SparkSession, versions: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def scan_all(spark: SparkSession, versions: DataFrame, keep: list[str], text: str = "text",
+             deliveries: int = 1) -> DataFrame:
+    """Findings of all ``versions`` through a new ledger, one row per row. They
+    come in ``deliveries``, parted by a hash of the ``keep`` columns; each is
+    an update that skips the blobs of those before it. Null texts are empty;
+    repeated rows stay; no rows give no rows."""
     ledger = BlobLedger(spark, staging_path(spark, "blob-ledger"))
-    return ledger.update(versions, text).paths(versions, keep, text)
+    part = F.pmod(F.xxhash64(*keep), F.lit(deliveries))
+    for i in range(deliveries):
+        ledger.update(versions.filter(part == i) if deliveries > 1 else versions, text)
+    return ledger.paths(versions, keep, text)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every whole text of ``documents``, one row per row.
+    """Secrets of every whole text of ``documents``, one row per row. The rows
+    come to the ledger in two deliveries; blobs of the second that the first
+    had are not scanned again.
 
     A null text is empty; equal texts are one blob, scanned once; repeated rows and null
     ids are kept; an empty table gives no rows; further columns are not read."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan_all(spark, docs, ["doc_id"]).select(
+    return scan_all(spark, docs, ["doc_id"], deliveries=2).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
 
 
@@ -169,7 +196,8 @@ def redact(text: str, spans: str) -> str:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, every secret replaced by its kind in
     brackets. Only blobs with findings travel back to the documents, as
-    (address, spans); texts are redacted where they are read."""
+    (address, spans); texts are redacted where they are read. Null texts stay
+    null; repeated rows stay; extra columns are kept as they are."""
     ledger = BlobLedger(spark, staging_path(spark, "blob-ledger")).update(docs)
     hits = ledger.findings().filter("spans <> ''").select("blob", "spans")
     tagged = docs.select(F.struct(*docs.columns).alias("row"), address(F.col("text")).alias("address"))
