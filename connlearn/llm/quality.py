@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, read, words
+from .common import SPACE, read, staged, words
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -152,16 +152,31 @@ def ablations(led: DataFrame, policy: str = POLICY) -> DataFrame:
         .alias("kept_without"))
 
 
+def sole_rule(mask: Column, policy: str = POLICY) -> Column:
+    """Name of the rule that alone rejects a document, null if none or several do."""
+    hit = mask.bitwiseAND(F.lit(policy_mask(policy)).cast("long"))
+    return F.coalesce(*[F.when(hit == BIT[n], F.lit(n)) for n in POLICIES[policy]])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements and verdicts of every whole text of ``documents``, one row per row.
+    """Measurements and verdicts of every whole text of ``documents``, one row per row,
+    from a stored ledger: every rule is evaluated once, policies and ablations read bits.
+
+    ``sole_rule`` is the rule that alone rejects the document, ``sole_docs`` how many
+    documents that rule alone rejects and ``kept_without`` how many the policy would keep
+    without it; null for documents that no or several rules reject.
 
     A null or empty text has no words and fails; repeated rows and null ids are judged
     each; an empty table gives no rows; further columns are not read."""
-    led = ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    led = staged(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality-ledger")
+    # one row per rule of the policy
+    per_rule = ablations(led).select(F.col("rule").alias("sole_rule"), F.col("sole").alias("sole_docs"), "kept_without")
     m = [F.col("m")[c].alias(c) for c in
          ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return led.select("doc_id", *m, rejected(F.col("mask"), "base").alias("base_failed"),
-                      (~rejected(F.col("mask"), POLICY)).alias("kept"), "mask")
+    out = led.select("doc_id", *m, rejected(F.col("mask"), "base").alias("base_failed"),
+                     (~rejected(F.col("mask"), POLICY)).alias("kept"), "mask",
+                     (~rejected(F.col("mask"), "v1")).alias("kept_v1"), sole_rule(F.col("mask")).alias("sole_rule"))
+    return out.join(F.broadcast(per_rule), "sole_rule", "left").select(*out.columns, "sole_docs", "kept_without")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -196,8 +211,17 @@ mask AS (
     + 4 * (100 * n_symbols > 20 * n_words)::bigint + 8 * (100 * n_dup_lines > 50 * n_lines)::bigint
     + 16 * (100 * n_capitals > 40 * word_chars)::bigint
     + 32 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::bigint AS mask
-  FROM m)
+  FROM m),
+rules AS (
+  SELECT * FROM (VALUES (1, 'too_few_words'), (2, 'repeated_windows'), (4, 'symbols'),
+                        (8, 'duplicate_lines'), (16, 'capitals'), (32, 'word_length')) v(bit, sole_rule)),
+per_rule AS (
+  SELECT bit, sole_rule, count(*) FILTER (mask & 63 = bit)::bigint AS sole_docs,
+         count(*) FILTER (mask & (63 - bit) = 0)::bigint AS kept_without
+  FROM mask, rules GROUP BY bit, sole_rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       mask & 3 <> 0 AS base_failed, mask & 63 = 0 AS kept, mask FROM mask"""}
+       mask & 3 <> 0 AS base_failed, mask & 63 = 0 AS kept, mask, mask & 7 = 0 AS kept_v1,
+       sole_rule, sole_docs, kept_without
+FROM mask LEFT JOIN per_rule ON mask & 63 = bit"""}
 
 QUERIES = {"op5_quality_rules": op5_quality_rules}

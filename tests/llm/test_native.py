@@ -130,3 +130,17 @@ def test_quality_policies_and_ablations(spark, make_docs):
     assert got["too_few_words"].failing == 2 and got["too_few_words"].sole == 2
     assert got["symbols"].sole == 1 and got["symbols"].kept_without == 3
     assert quality.ledger(make_docs([])).count() == 0
+
+
+def test_quality_query_ablations(spark, make_docs, tables):
+    good = " ".join("word%s" % chr(97 + i % 26) + str(i) for i in range(80))
+    rows = [(1, good), (2, "short"), (3, good.replace(" ", "## ")), (4, "A B C " * 40), (None, None), (1, good),
+            (5, good.upper())]
+    sf = tables(documents=make_docs(rows, clash=True))
+    got = sorted(((r.doc_id or 0, r.kept, r.kept_v1, r.sole_rule, r.sole_docs, r.kept_without)
+                  for r in quality.op5_quality_rules(spark, sf).collect()), key=str)
+    assert got == sorted([(1, True, True, None, None, None)] * 2 + [
+        (2, False, False, "too_few_words", 2, 4), (0, False, False, "too_few_words", 2, 4),
+        (3, False, False, "symbols", 1, 3), (4, False, False, None, None, None),
+        (5, False, True, "capitals", 1, 3)], key=str)
+    assert quality.op5_quality_rules(spark, tables(documents=make_docs([]))).count() == 0
