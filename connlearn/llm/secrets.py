@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_path
-from .common import map_arrow, read
+from .common import map_arrow, read, staged
 
 #: Base kinds in rank order: (kind, pattern, group that must be long enough, least length).
 _KEY = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
@@ -123,9 +123,11 @@ class BlobLedger:
         return self.spark.read.schema(schema).parquet(*batches)
 
     def findings(self) -> DataFrame:
-        """One row per blob that the current rules have seen."""
-        return (self.rows().filter(F.col("rule_version") == self.rule_version).drop("rule_version")
-                .dropDuplicates(["blob"]))
+        """One row per blob that the current rules have seen. The rows of
+        several batches are staged, so that a join with them can be split
+        where one blob has many paths; blobs of one batch differ already."""
+        rows = self.rows().filter(F.col("rule_version") == self.rule_version).drop("rule_version")
+        return rows if len(self.batches) < 2 else staged(rows.dropDuplicates(["blob"]), "blob-findings")
 
     def update(self, versions: DataFrame, text: str = "text") -> "BlobLedger":
         """Scan the unseen blobs among all ``versions`` (any columns, one text
