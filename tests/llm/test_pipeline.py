@@ -11,7 +11,7 @@ def test_stage_order_and_registration():
     entry = importlib.import_module("__spark_entry__")
     q = entry.queries()
     assert "pipeline" in q and sorted(int(re.match(r"op(\d+)_", k)[1]) for k in q if re.match(r"op\d+_", k)) == list(
-        range(1, 11))
+        range(1, 14))
     assert [f for _, f in corpus_pipeline.STAGES] == [quality.stage, simhash.stage, secrets.stage, mixing.stage, bpe.stage]
 
 
