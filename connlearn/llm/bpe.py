@@ -14,13 +14,14 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,12 @@ from .common import map_arrow, read
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words held back for one DuckDB call, characters held back, and cached words
 #: per Python worker. They bound memory and speed only, never a result.
-FLUSH_WORDS, FLUSH_CHARS, CACHE_WORDS = 60_000, 8_000_000, 300_000
+FLUSH_WORDS, FLUSH_CHARS, CACHE_WORDS = 60_000, 8_000_000, 500_000
 #: Longer words (bytes) take the heap way: the same merges in n log n.
-LONG_WORD = 256
+LONG_WORD = 1024
+#: Squared bytes of the words of one recursive query. The recursion keeps every
+#: step's ids, about the square of a word's length, so this bounds its memory.
+FLUSH_SQUARES = 16_000_000
 #: Longest run of ids that decoding looks up as one piece.
 PIECE = 64
 DUCKDB_MEMORY = "256MB"
@@ -104,8 +108,8 @@ class Codec:
                 if a is not None and b is not None:
                     pairs.append(a * 65536 + b)
                     made.append(i)
-        self.merge = dict(zip(pairs, made))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
+        # no folder to spill to: a call's memory is bounded by its input
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         merges = pa.table({"pair": pa.array(pairs, pa.int64()), "id": pa.array(made, pa.int64())})
         vocabulary = pa.table({"id": pa.array(ids), "hex": [t.hex() for t in self.ranks]})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
@@ -114,8 +118,27 @@ class Codec:
             self.db.unregister("rows")
         self.clear()
 
+    @cached_property
+    def merge(self) -> dict[int, int]:
+        """The merge table as a dict, built when a first long word needs it."""
+        return dict(self.db.sql("SELECT pair, id FROM merges").fetchall())
+
     def clear(self) -> None:
         self.words, self.ids, self.pieces = Index(), [], {}
+        self.seen = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Forget the words met once since the last call, so that frequent
+        words are not encoded again; at most half of the cache stays."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > CACHE_WORDS // 2:
+            keep = keep[np.argsort(self.seen[keep], kind="stable")[-(CACHE_WORDS // 2):]]
+        words, ids = list(self.words), self.ids
+        self.words, self.ids = Index(), []
+        for i in np.sort(keep).tolist():
+            self.words[words[i]] = len(self.ids)
+            self.ids.append(ids[i])
+        self.seen = np.zeros(0, np.int64)
 
     def _run(self, sql: str, lists: tuple[np.ndarray, np.ndarray], column: str) -> pa.Array:
         offsets, values = lists
@@ -163,12 +186,13 @@ class Codec:
                 out[i] = np.array(self.long_word(w), "<u4").tobytes()
             else:
                 rest.append(i)
-        if rest:
-            offsets, raw = _lists([new[i] for i in rest], "u1")
+        for lo, hi in _runs([len(new[i]) ** 2 for i in rest], FLUSH_SQUARES):
+            part = rest[lo:hi]
+            offsets, raw = _lists([new[i] for i in part], "u1")
             lists = self._run(ENCODE, (offsets, self.byte[raw]), "ids")
             data = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-            for i, a, b in zip(rest, ends, ends[1:]):
+            for i, a, b in zip(part, ends, ends[1:]):
                 out[i] = data[4 * a:4 * b]
         self.ids += out
 
@@ -186,8 +210,11 @@ class Codec:
     def _flush(self, held: list[array]) -> Iterator[bytes]:
         self._encode_new()
         yield from [b"".join(map(self.ids.__getitem__, h)) for h in held]
+        seen = np.bincount(np.frombuffer(b"".join(held), np.uintc), minlength=len(self.words))
+        seen[:len(self.seen)] += self.seen
+        self.seen = seen
         if len(self.words) > CACHE_WORDS:
-            self.words, self.ids = Index(), []
+            self._shrink()
 
     def decode(self, texts: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids. Ids are cut before tokens that start
@@ -248,10 +275,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            sizes = [len(t) if t else 0 for t in (x.as_py() for x in b.column(1))]
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
             for lo, hi in _runs(sizes, FLUSH_CHARS):
                 part = b.slice(lo, hi - lo)
-                offsets, ids = _lists(list(c.encode(t.as_py() or "" for t in part.column(1))), "<u4")
+                offsets, ids = _lists(list(c.encode(t or "" for t in part.column(1).to_pylist())), "<u4")
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))],
                     names=[key, "ids"])
@@ -277,7 +304,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            sizes = [len(x) if x.is_valid else 0 for x in b.column(1)]
+            sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_pylist()
             for lo, hi in _runs(sizes, FLUSH_CHARS // 4):
                 part = b.slice(lo, hi - lo)
                 raw = _id_bytes(part.column(1))

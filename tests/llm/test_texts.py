@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -39,12 +40,29 @@ def test_bpe_equals_the_library(spark, make_docs, reference):
 def test_bpe_words_of_any_length(reference):
     codec = bpe.codec(public_tokenizers.path(bpe.VOCABULARY))
     rng = random.Random(7)
-    for n in (2, 40, 255, 256, 257, 900):
+    for n in (2, 40, 255, 256, 900, 1024, 1025, 3000):
         word = bytes(rng.choice(b"abetnisro\xc3\xa9") for _ in range(n)).decode("latin-1")
         got = next(codec.encode([word]))
         assert got == b"".join(i.to_bytes(4, "little") for i in reference.encode_ordinary(word))
 
 
+def test_bpe_caches_forget_and_memory_is_bounded(reference, monkeypatch):
+    """Frequent words stay when the cache is full, and neither forgetting nor many
+    distinct long words in one text change an id or need a folder to spill to."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    c = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}x" for i in range(200)], k=30)) + " the end" for _ in range(40)]
+    for at in range(0, 40, 4):
+        assert list(c.encode(iter(texts[at:at + 4]))) == [
+            np.array(reference.encode_ordinary(t), "<u4").tobytes() for t in texts[at:at + 4]]
+    assert " the" in c.words and len(c.words) <= 50
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=900)) for _ in range(300))
+    got = list(c.encode(iter([text])))[0]
+    assert got == np.array(reference.encode_ordinary(text), "<u4").tobytes()
+    assert c.db.sql("SELECT current_setting('temp_directory')").fetchall()[0][0] in ("", None)
+
+
 def test_bpe_query_on_whole_tables(spark, reference):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = bpe.op9_byte_bpe(spark, SF).collect()
