@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, key_hash, prefix_sums, read, word_count, words
+from ..operators.sequence import expand_copies
+from .common import SPACE_RUN, key_hash, prefix_sums, read, staged, word_count, words
 
 #: Source weights by rank (code point order, null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -46,9 +47,9 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST,
 
 
 def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = SEED, **targets) -> DataFrame:
-    """(key, source, size, nth, source_size, target, epochs, part, taken): how
-    much of every row the mix takes. ``nth`` counts rows equal in key, source
-    and size from 0.
+    """(key, source, size, nth, equal, source_size, target, epochs, part,
+    taken): how much of every row the mix takes. ``nth`` counts the ``equal``
+    rows of one key, source and size from 0.
 
     Rows get hash-random keys; within a source they are sorted by key range
     and a distributed prefix sum of sizes finds the cut. ``epochs`` whole
@@ -58,7 +59,7 @@ def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = SEED, **
 
     A null source is a source of its own, ranked last; null keys are ordered
     by their size; equal rows are counted before the shuffle and expanded at
-    the end (a group of copies is one row on the way). A source without words
+    the end, in two steps (a group of copies is one row on the way). A source without words
     has target 0; an empty frame gives an empty frame.
     """
     rows = df.select(F.col(key).alias("k"), F.col(source).alias("source"), size.alias("size"))
@@ -73,11 +74,11 @@ def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = SEED, **
             .withColumn("h", key_hash(seed, F.col("k"), F.col("size"))))
     rows = prefix_sums(rows, ["g"], ["h", "k", "size"], F.col("size") * F.col("n"), "before")
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-    out = out.withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
+    out = expand_copies(out.drop("g", "h", "p_source"), "n", "j")
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.col("j") * F.col("size")))
     out = out.withColumn("part", part.cast("long"))
     return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", F.col("j").alias("nth"),
-                      "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+                      F.col("n").alias("equal"), "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +94,33 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, with the
     columns of ``docs``. A copy taken in part (one per source) keeps its first
-    words, joined by one space, and its own n_chars. Rows equal in id, source
-    and size are numbered by text hash. Column names may be any."""
+    words, joined by one space, and its own n_chars. Column names may be any.
+
+    The plan of ids and sizes is stored, then each text is shuffled once to
+    its row of the plan. Only rows that share id, source and size with others
+    are numbered: equal rows are counted to one, and the different ones stand
+    in hash blocks by their content, so that neither a frequent id nor a
+    repeated row is one task. No documents give no rows."""
     size = word_count(F.col("text"))
     plan = mix(docs, "doc_id", "source", size).filter("taken > 0").select(
         F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "nth",
-        "epochs", "part")
+        "equal", "epochs", "part")
+    plan = staged(plan, "mix-plan")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
                        F.col("source").alias("src"), size.alias("size"))
-    same = Window.partitionBy("id", "src", "size").orderBy(F.xxhash64("row.text"))
-    rows = rows.withColumn("j", (F.row_number().over(same) - 1).cast("long"))
-    taken = rows.join(plan, F.col("id").eqNullSafe(F.col("p_id")) & F.col("src").eqNullSafe(F.col("p_source"))
-                      & (F.col("size") == F.col("p_size")) & (F.col("j") == F.col("nth")))
+    same = (F.col("id").eqNullSafe(F.col("p_id")) & F.col("src").eqNullSafe(F.col("p_source"))
+            & (F.col("size") == F.col("p_size")))
+    taken = rows.join(plan.filter("equal = 1"), same).select("row", "p_size", "epochs", "part")
+    repeated = plan.filter("equal > 1")
+    if not repeated.isEmpty():
+        keys = repeated.select("p_id", "p_source", "p_size").distinct()
+        many = (rows.join(keys, same, "left_semi").withColumn("h", F.md5(F.to_json("row").cast("binary")))
+                .groupBy("id", "src", "size", "h").agg(F.first("row").alias("row"), F.count("*").alias("n"))
+                .withColumn("g", key_hash(F.col("id"), F.col("src"), F.col("size"))))
+        many = prefix_sums(staged(many, "mix-repeated"), ["g"], ["h"], F.col("n"), "before")
+        many = expand_copies(many, "n", "j").withColumn("j", F.col("before") + F.col("j"))
+        taken = taken.unionAll(many.join(repeated, same & (F.col("j") == F.col("nth")))
+                               .select("row", "p_size", "epochs", "part"))
     copies = F.concat(F.expr("array_repeat(-1L, int(epochs))"),
                       F.when(F.col("part") == F.col("p_size"), F.array(F.lit(-1).cast("long")))
                       .when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))

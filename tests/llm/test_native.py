@@ -96,6 +96,25 @@ def test_mixing_stage_takes_what_it_says(spark, make_docs):
     assert got == want
 
 
+def test_mixing_stage_numbers_repeated_rows(spark, make_docs):
+    """One id with many equal rows and some other texts of the same size: each text
+    as often as planned, whatever the layout."""
+    rows = [(5, "a b c", "x")] * 400 + [(5, f"t{i} b c", "x") for i in range(50)] + [(None, "q r", None)] * 7
+    rows += [(i, "w " * (i % 7), "y") for i in range(40)]
+    df = make_docs(rows, clash=True)
+    plan = mixing.mix(df, "doc_id", "source", mixing.word_count(F.col("text"))).collect()
+    assert len(plan) == len(rows) and {r.equal for r in plan if r.doc_id == 5 and r.source == "x"} == {450}
+    out = Counter(map(tuple, mixing.stage(spark, df.repartition(3), "").collect()))
+    assert out == Counter(map(tuple, mixing.stage(spark, df.repartition(8, "text"), "").collect()))
+    words = Counter()
+    for r, n in out.items():
+        words[r[df.columns.index("source")]] += n * len(python_words(r[df.columns.index("text")]))
+    want = Counter()
+    for r in plan:
+        want[r.source] += r.taken
+    assert words == want
+
+
 def test_mixing_empty(spark, make_docs, tables):
     assert mixing.op8_source_mixing(spark, tables(documents=make_docs([]))).count() == 0
 
