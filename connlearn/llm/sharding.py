@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequence import expand_copies
 from .common import key_hash, prefix_sums, read
 
 SHARDS = 8
@@ -34,7 +35,7 @@ def shard_rows(df: DataFrame, key: str, attributes: list[str], weights: list[flo
 
     ``slot`` counts the rows of a shard from 0 without gaps, ordered by the
     key's hash, the key and the attributes. Equal rows are counted first and
-    expanded last, so a key with any number of equal rows is one row in the
+    expanded last, in two steps, so a key with any number of equal rows is one row in the
     shuffle; the numbering of a shard is cut into hash blocks. Null keys are
     placed like any key; an empty frame gives an empty frame; other columns
     of ``df`` (whatever their names) are left out.
@@ -47,7 +48,7 @@ def shard_rows(df: DataFrame, key: str, attributes: list[str], weights: list[flo
         rows = rows.withColumn("grown_shard", rendezvous(F.col("k"), grown))
     rows = rows.withColumn("h", key_hash(F.col("k"), *[F.col(c) for c in names]))
     rows = prefix_sums(rows, ["shard"], ["h", "k", *names], F.col("n"), "first")
-    rows = rows.withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+    rows = expand_copies(rows.drop("h"), "n", "j").withColumn("slot", F.col("first") + F.col("j"))
     return rows.select(F.col("k").alias(key), *[F.col(n).alias(c) for n, c in zip(names, attributes)],
                        "shard", "slot", *(["grown_shard"] if grown else []))
 
