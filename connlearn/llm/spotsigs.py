@@ -142,7 +142,7 @@ def ordered_blocks(df: DataFrame, key: str, text: str, rows_per_block: int = ROW
                      F.struct(F.coalesce(wrap, ghost).alias("b"), F.lit(True).alias("g")))
     return (placed.withColumn("s", F.explode(F.filter(stands, lambda x: x["b"].isNotNull())))
             .select(F.col("s.b").alias("block"), F.col("s.g").alias("ghost"), "k1", "k2", "key", "text")
-            .repartition("block").sortWithinPartitions("block", "ghost", "k1", "k2"))
+            .repartition(len(bounds) + 1, "block").sortWithinPartitions("block", "ghost", "k1", "k2"))
 
 
 OUT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
