@@ -18,6 +18,8 @@ from .common import held_out, map_arrow, read
 #: dictionary, and the excerpts that it is cut from.
 DICT_BYTES = 64 * 1024
 EXCERPTS = 256
+#: Most languages: their dictionaries (64 MB) travel with every task.
+MOST_LANGS = 1000
 LEVEL = 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Least relative lead of the best over the second language to accept.
@@ -33,7 +35,7 @@ def letters_only(text: str) -> bytes:
 
 
 def dictionaries(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id",
-                 size: int = DICT_BYTES) -> dict[str, bytes]:
+                 size: int = DICT_BYTES, most_langs: int = MOST_LANGS) -> dict[str, bytes]:
     """A raw-content dictionary of at most ``size`` bytes per language.
 
     Labelled rows are dealt into 256 hash cells per language; each cell keeps
@@ -41,7 +43,8 @@ def dictionaries(df: DataFrame, lang: str = "lang", text: str = "text", key: str
     language reach the driver whatever the input. Every text gives an equal
     excerpt from its middle. Rows with a null language or an empty text teach
     nothing; no rows give no dictionaries. Languages come in descending order
-    of their labelled rows.
+    of their labelled rows. More than ``most_langs`` of them are an error, so
+    that a column of other values is not taken for languages.
     """
     per = size // EXCERPTS * 2
     h = F.xxhash64(F.col(key), F.col(text))
@@ -53,6 +56,8 @@ def dictionaries(df: DataFrame, lang: str = "lang", text: str = "text", key: str
     out: dict[str, list[bytes]] = {}
     count: dict[str, int] = {}
     for r in best.orderBy("lang", "cell").select("lang", "b.x", "n").toLocalIterator():
+        if r.lang not in out and len(out) >= most_langs:
+            raise ValueError(f"more than {most_langs} languages in the labelled rows")
         out.setdefault(r.lang, []).append(letters_only(r.x))
         count[r.lang] = count.get(r.lang, 0) + r.n
     return {k: b" ".join(out[k])[:size] for k in sorted(out, key=lambda k: (-count[k], k))}

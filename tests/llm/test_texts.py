@@ -168,6 +168,13 @@ def brute_jaccard(a, b):
     return sum((a & b).values()) / union if union else 1.0
 
 
+def test_language_id_refuses_too_many_languages(spark):
+    df = spark.createDataFrame([(i, f"some text {i}", f"l{i % 5}") for i in range(20)], "doc_id long, text string, lang string")
+    assert len(langid.dictionaries(df, most_langs=5)) == 5
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        langid.dictionaries(df, most_langs=4)
+
+
 def test_spotsigs_edits(spark, make_docs):
     rng = random.Random(2)
     vocab = "the of and cat dog run sky sea red blue ist der haus".split()
