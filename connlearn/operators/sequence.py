@@ -105,12 +105,14 @@ class OrderBlocks:
         ``whole_row``, in every other column)."""
         if self.bounds is None:
             return df.withColumn(out, F.lit(0))
-        keyed = df.withColumn("__key", _order_key(df, cols or self.cols, self.whole_row))
-        steps = F.from_json(F.lit(json.dumps([1 << i for i in reversed(range(self.n_bounds.bit_length()))])),
-                            "array<int>")
-        at = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(
-            (lo + s <= self.n_bounds) & (F.get(self.bounds, lo + s - 1) <= F.col("__key")), lo + s).otherwise(lo))
-        return keyed.withColumn(out, at).drop("__key")
+        # a column per step, not a lambda: the key is made once a row, and the
+        # search is compiled
+        keyed = df.withColumn("__key", _order_key(df, cols or self.cols, self.whole_row)).withColumn(out, F.lit(0))
+        for i in reversed(range(self.n_bounds.bit_length())):
+            at = F.col(out) + F.lit(1 << i)
+            after = (at <= self.n_bounds) & (F.get(self.bounds, at - 1) <= F.col("__key"))
+            keyed = keyed.withColumn(out, F.when(after, at).otherwise(F.col(out)))
+        return keyed.drop("__key")
 
 
 def order_blocks(df: DataFrame, cols: Sequence[str], out: str = "__block",

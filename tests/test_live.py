@@ -2,11 +2,14 @@
 
 import os
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from connlearn import last_n_host_window, same_host_window, same_service_window
+from connlearn.operators.sequence import OrderBlocks
+from connlearn.plans import catalog
 from connlearn.streaming import LiveLastN, LiveTimeWindows
 
 SCHEMA = "id int, ts timestamp, host string, service string, flag string"
@@ -109,3 +112,33 @@ def test_empty_batches(spark, tmp_dir):
     assert bag(live.results().unionByName(live.open())) == bag(same_host_window(df, frame_seconds=2.0))
     with pytest.raises(ValueError, match="no batch"):
         LiveLastN(spark, path=f"{tmp_dir}/b").results()
+
+
+def test_replay_deals_every_connection_to_many_files(spark, tmp_path):
+    """A batch of the replay is written by all tasks, not by one, and the
+    batches together are the connections with a time."""
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=i) if i % 50 else None, i % 7, "view", 5.0) for i in range(900)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    schema, folder = catalog._replayed(spark, str(tmp_path), stray=False)
+    seen = []
+
+    class Counted:
+        def start(self, stream):
+            return (stream.writeStream.foreachBatch(lambda df, i: seen.append((df.count(), df.rdd.getNumPartitions())))
+                    .option("checkpointLocation", f"{tmp_path}/checkpoint").start())
+
+    catalog._run_live(spark, Counted(), schema, folder)
+    assert [n for n, _ in seen] == [294, 294, 294]
+    assert min(parts for _, parts in seen) > 1
+
+
+def test_block_search_is_compiled(spark):
+    """Blocks are found without a lambda per row, and number the order."""
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
+    cut = OrderBlocks(df, ["x"], 50, False)
+    placed = cut.place(df)
+    assert "lambdafunction" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    got = [r["__block"] for r in placed.orderBy("x").collect()]
+    assert got == sorted(got) and set(got) == set(range(cut.n_bounds + 1))
