@@ -36,13 +36,14 @@ FLAG_REJ_FROM = 100.0
 
 def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed ``lines`` records plus ``orderkey`` (inner join on the order key;
-    at scale a shuffled sort-merge join of two large tables)."""
+    a shuffled join of two large tables: orders grow with the input, so they
+    are never collected by the driver for a broadcast)."""
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_quantity", "l_linestatus", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"],
         spread_by=["l_orderkey"])
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"],
                     spread_by=["o_orderkey"])
-    j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+    j = li.join(od.hint("merge"), li.l_orderkey == od.o_orderkey, "inner")
     return j.select(
         F.col("l_orderkey").alias("orderkey"),
         F.col("l_quantity").alias("quantity"),

@@ -158,3 +158,17 @@ def test_quarantine_in_one_pass(spark, tmp_dir):
     assert sorted(map(tuple, q.records.collect())) == sorted(map(tuple, want.collect()))
     none = Quarantine(df.filter("id < 0"), CONN_SCHEMA)
     assert none.counts == {"n_lines": 0, "n_parsed": 0, "n_dropped": 0} and none.faults.count() == 0
+
+
+def test_lines_never_broadcast_orders(spark, tmp_path):
+    """Orders grow with the input: their join passes nothing through the driver."""
+    from connlearn.sources.adapters import lines_frame
+
+    spark.createDataFrame([(1, 5.0, "O", 10.0, 0.1, 0.0, "N"), (2, 6.0, "F", 11.0, 0.0, 0.1, "A")],
+                          "l_orderkey long, l_quantity double, l_linestatus string, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "5-LOW", "O"), (3, "1-URGENT", "F")], "o_orderkey long, o_orderpriority string, "
+                          "o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    df = lines_frame(spark, str(tmp_path))
+    assert [r["orderkey"] for r in df.collect()] == [1]
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
