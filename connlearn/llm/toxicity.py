@@ -32,7 +32,7 @@ DENSE = 150
 #: documents with it and no other.
 ONCE = 0.65
 THRESHOLD = 0.3
-#: Words whose strength a worker remembers; bounds memory only.
+#: Words, and written tokens, that a worker remembers; bounds memory only.
 CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -131,7 +131,7 @@ KNOWN = 8.0
 BEST, BEST_CUT = 4, 32
 
 
-def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], bool] = lambda word: False,
+def decode(seen: str, lm: np.ndarray | list, best: int = BEST, known: Callable[[str], bool] = lambda word: False,
            looks_like: dict[str, str] = LOOKS_LIKE) -> list[str]:
     """The most probable intended readings of one written token or spaced run
     (Viterbi over the letter lattice; states are the last two symbols; the
@@ -143,32 +143,31 @@ def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], b
     paths = {(0, 0): [(0.0, "")]}
     before = ""
     for c in seen.lower():
-        options = [(x, ALIKE) for x in looks_like.get(c, "")]
+        options = [(x, symbol(x), ALIKE) for x in looks_like.get(c, "")]
         if c.isalpha():
-            options.append((c, SAME))
+            options.append((c, symbol(c), SAME))
         drop = None if options and c.isalnum() else between if before.isalnum() else SEPARATOR
         step: dict[tuple[int, int], list[tuple[float, str]]] = {}
         for (a, b), ends in paths.items():
+            then = lm[a][b]
             for score, word in ends:
                 if drop is not None:
                     step.setdefault((a, b), []).append((score + (SAME if word[-1:] == " " else drop), word))
                     if b:
                         more = KNOWN if known(word[word.rfind(" ") + 1:]) else 0.0
-                        step.setdefault((b, 0), []).append((score + SAME + lm[a, b, 0] + more, word + " "))
+                        step.setdefault((b, 0), []).append((score + SAME + then[0] + more, word + " "))
                 elif c == before:
                     step.setdefault((a, b), []).append((score + REPEAT, word))
-                for x, p in options:
-                    if word[-2:] == x + x:
-                        continue
-                    k = symbol(x)
-                    step.setdefault((b, k), []).append((score + p + lm[a, b, k], word + x))
+                for x, k, p in options:
+                    if word[-2:] != x + x:
+                        step.setdefault((b, k), []).append((score + p + then[k], word + x))
         paths = {s: v if len(v) == 1 else sorted(set(v), key=lambda e: (-e[0], e[1]))[:best] for s, v in step.items()}
         before = c
     ends = {}
     for (a, b), v in paths.items():
         for score, word in v:
             if b:
-                score += lm[a, b, 0] + (KNOWN if known(word[word.rfind(" ") + 1:]) else 0.0)
+                score += lm[a][b][0] + (KNOWN if known(word[word.rfind(" ") + 1:]) else 0.0)
             word = word.rstrip(" ")
             ends[word] = max(ends.get(word, -math.inf), score)
     return [w for w, _ in sorted(ends.items(), key=lambda e: (-e[1], e[0])) if w][:best]
@@ -177,6 +176,8 @@ def decode(seen: str, lm: np.ndarray, best: int = BEST, known: Callable[[str], b
 _SEP = r"[ .\-_*/\\,]"
 _ONE = r"[^\W_]|[@$!|+(€]"
 _SPACED = re.compile(rf"(?<![^\W_])(?:(?:{_ONE}){_SEP}{{1,2}}){{3,}}(?:{_ONE})(?![^\W_])")
+#: What every spaced run has inside, found in a quicker scan.
+_MAYBE_SPACED = re.compile(rf"{_SEP}[\w@$!|+(€]{_SEP}{{1,2}}[\w@$!|+(€]{_SEP}")
 _ODD = re.compile(r"[^\W\d_][@$!|+(€*.\-_/\\,]+[^\W_]|[^\W\d_][0-9]+[^\W\d_]"
                   r"|(?<![^\W_])[0-9@$!|+(€]+[^\W\d_]{2}|[^\W\d_](?:[0-9@$!|+(€]+|\*{1,2}(?!\*))(?![^\W_])|([^\W\d_])\1\1")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -191,19 +192,27 @@ _TWICE = re.compile(r"([^\W\d_])\1")
 WINDOW, OVERLAP = 120, 60
 
 
-def written_oddly(text: str) -> list[str]:
-    """Tokens, of any length, that look disguised: look-alikes or separators
-    among or after letters (three
-    stars after a word are a mark), a letter three times over, or runs of single
-    letters set apart, or letters of two scripts side by side."""
-    found = [m.group() for m in _SPACED.finditer(text)]
-    triple, mixed = _TRIPLE.search(text), _MIXED.search(text)
-    for token in dict.fromkeys(text.split()):
-        # of plain words, the cheap and common case, only repeated letters count
-        plain = token.isalpha() or token.strip(".,;:?").isalpha()
-        odd = (_TRIPLE if triple else None) if plain else _ODD
-        if (odd and odd.search(token)) or (mixed and _MIXED.search(token)):
-            found.append(_EDGE.sub("", token))
+def spaced_runs(text: str) -> list[str]:
+    """Runs of single letters set apart."""
+    return [m.group() for m in _SPACED.finditer(text)] if _MAYBE_SPACED.search(text) else []
+
+
+def odd_part(token: str) -> str:
+    """A token, of any length, without its marks at both ends if it looks
+    disguised: look-alikes or separators among or after letters (three stars
+    after a word are a mark), a letter three times over, or letters of two
+    scripts side by side; else nothing."""
+    # of plain words, the cheap and common case, only repeated letters count
+    plain = token.isalpha() or token.strip(".,;:?").isalpha()
+    if (_TRIPLE if plain else _ODD).search(token) or not token.isascii() and _MIXED.search(token):
+        return _EDGE.sub("", token)
+    return ""
+
+
+def written_oddly(text: str, tokens: Iterable[str] | None = None) -> list[str]:
+    """All that looks disguised in a text: its :func:`spaced_runs`, and the
+    :func:`odd_part` of its tokens, or of those given."""
+    found = [*spaced_runs(text), *map(odd_part, dict.fromkeys(text.split()) if tokens is None else tokens)]
     return list(dict.fromkeys(t for t in found if len(t) > 2))
 
 
@@ -265,7 +274,7 @@ class Skeletons:
         return any(left[i:i + n] in starts for n in sizes for i in range(len(left) - n + 1))
 
 
-def restored_words(seen: str, lm: np.ndarray, known: Callable[[str], bool],
+def restored_words(seen: str, lm: np.ndarray | list, known: Callable[[str], bool],
                    may_hold: Callable[[str, dict], bool] = lambda piece, looks_like: True) -> list[str]:
     """The distinct words of all readings of a written token, in every script
     that it has letters of; none where no reading ``may_hold`` a toxic one. A
@@ -347,7 +356,8 @@ def undoubled(word: str) -> set[str] | None:
 @dataclass
 class Model:
     """Language model, strengths of toxic features by hash, and the letters of
-    those features; the caches stay in the worker."""
+    those features, without which no word has a strength; the caches stay in
+    the worker."""
     lm: np.ndarray
     strong: dict[int, float]
     stems: tuple[str, ...] = ()
@@ -355,9 +365,14 @@ class Model:
     restored: dict = field(default_factory=dict)
     #: Word -> its grams that count where they are dense; few words have any.
     dense: dict = field(default_factory=dict)
+    #: Written tokens that add nothing to the score of any text: nearly all are such.
+    nothing: set = field(default_factory=set)
 
     def __post_init__(self):
+        self.log2 = self.lm.tolist()
         self.skeletons = Skeletons(self.stems)
+        self.starts = {w[:4] for w in self.stems}
+        self.single_starts = {_RUN.sub(r"\1", w) for w in self.starts}
         self.dense_starts = {w[:4] for w in self.stems if any(dense_feature(g) in self.strong for g in
                              (zlib.crc32(f"^{w}".encode()), zlib.crc32(f"^{w}$".encode())))}
 
@@ -367,7 +382,7 @@ class Model:
     def restore(self, token: str) -> list[str]:
         got = self.restored.get(token)
         if got is None:
-            got = restored_words(token, self.lm, self.known, self.skeletons.may_hold)
+            got = restored_words(token, self.log2, self.known, self.skeletons.may_hold)
             if len(token) <= WINDOW:
                 if len(self.restored) > CACHE_WORDS // 4:
                     self.restored.clear()
@@ -376,13 +391,17 @@ class Model:
 
     def strength(self, word: str) -> float:
         """Strength of a word as written or, if it has a doubled letter, of
-        the readings that are more probable than what is written."""
+        the readings that are more probable than what is written. Words that
+        begin like no feature have none."""
+        begins, twice = word[:4] in self.starts, _TWICE.search(word)
+        if not (begins or twice):
+            return 0.0
         s = self.cache.get(word)
         if s is None:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            s = strongest(word, self.strong)
-            if _TWICE.search(word):
+            s = strongest(word, self.strong) if begins else 0.0
+            if twice and self.may_begin(word):
                 may = undoubled(word)
                 if (self.skeletons.may_hold(word) if may is None else any(strongest(w, self.strong) for w in may)):
                     s = max([s, *[strongest(w, self.strong) for w in self.likelier(word)]])
@@ -392,13 +411,44 @@ class Model:
             self.cache[word] = s
         return s
 
+    def may_begin(self, word: str) -> bool:
+        """Whether a reading of a word with doubled letters can begin like a
+        feature: then the two begin alike with single letters."""
+        single = _RUN.sub(r"\1", word)
+        return any(single[:n] in self.single_starts for n in range(1, 5))
+
+    def tells(self, token: str) -> bool:
+        """Whether a written token can add to the score of a text."""
+        plain = token.strip(".,;:?")
+        if plain.isascii() and plain.isalpha() and not _RUN.search(word := plain.lower()):
+            # most tokens: one word, as written
+            return word[:4] in self.starts and (self.strength(word) > 0 or word in self.dense)
+        if any(self.strength(w) or w in self.dense for w in _WORD.findall(token.lower())):
+            return True
+        odd = odd_part(token)
+        return len(odd) > 2 and any(self.strength(w) >= ONCE or w in self.dense for w in self.restore(odd))
+
+    def telling(self, text: str) -> list[str]:
+        """The distinct tokens of a text that can add to its score. Those that
+        cannot, nearly all, are looked at once; tokens beyond a window are not
+        remembered, and left to the caller."""
+        found = []
+        for token in set(text.split()).difference(self.nothing):
+            if len(token) > WINDOW or self.tells(token):
+                found.append(token)
+            else:
+                if len(self.nothing) > CACHE_WORDS:
+                    self.nothing.clear()
+                self.nothing.add(token)
+        return found
+
     def likelier(self, word: str) -> list[str]:
         """Readings more probable than a plain word itself. A word beyond a
         window is read window by window, each at its best."""
         if len(word) > WINDOW:
             cuts = [word[at:at + WINDOW] for at in range(0, len(word), WINDOW)]
-            return ["".join((decode(c, self.lm) or [c])[0] for c in cuts)]
-        likely = decode(word, self.lm)
+            return ["".join((decode(c, self.log2) or [c])[0] for c in cuts)]
+        likely = decode(word, self.log2)
         return likely[:likely.index(word)] if word in likely else likely
 
     def dense_strength(self, n: Counter, total: int) -> float:
@@ -416,24 +466,26 @@ class Model:
         are dense; below 0.05 without any."""
         if not text:
             return 0.0
-        every = _WORD.findall(text.lower())
-        words = set(every)
-        seen = self.cache.get
-        plain = [self.strength(w) if (s := seen(w)) is None else s for w in words]
+        # white space ends words and tokens: what a text's other tokens hold counts for nothing
+        tokens = self.telling(text)
+        words = {w for t in tokens for w in _WORD.findall(t.lower())}
+        plain = [self.strength(w) for w in words]
         found = [s for s in plain if s >= ONCE]
         hidden = []
-        for token in written_oddly(text):
+        for token in written_oddly(text, tokens):
             got = [w for w in self.restore(token) if w not in words]
             s = max((self.strength(w) for w in got), default=0.0)
             if s >= ONCE:
                 found.append(s)
             hidden += [w for w in got if w in self.dense]
         if hidden or not self.dense.keys().isdisjoint(words):
-            if (s := self.dense_strength(Counter(every) + Counter(hidden), len(every))) >= LEAST_SHARE:
+            every = _WORD.findall(text.lower())
+            n = Counter(w for w in [*every, *hidden] if w in self.dense)
+            if (s := self.dense_strength(n, len(every))) >= LEAST_SHARE:
                 found.append(s)
         if not found:
             return 0.05 * max(plain, default=0.0)
-        return 1.0 - math.prod(1.0 - s for s in found)
+        return 1.0 - math.prod(1.0 - s for s in sorted(found))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -540,8 +592,10 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """(key, score, predicted) for every row, each text read whole. Null and
     empty texts score 0; rows and repeats stay; the model (about 3 MB) travels
     with the task."""
+    lm, strong, stems = model.lm, model.strong, model.stems
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model.lm, model.strong, model.stems)
+        m = Model(lm, strong, stems)
         for b in batches:
             got = np.array([m.score(t.as_py()) for t in b.column(1)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@ trips, held-out accuracy and edge rows."""
 
 import base64
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -375,3 +376,72 @@ def test_toxicity_of_megabytes_of_odd_tokens(spark, make_docs):
     for text in ("x y z q " * 250_000, "ab/cd3/" * 300_000, "qqwwzz" * 300_000, "a1" * 1_000_000):
         assert m.score(text) < toxicity.THRESHOLD
         assert m.score(text + " 5tup1d") >= toxicity.THRESHOLD
+
+
+def plain_score(m, text):
+    """The score from every word and token of the text, nothing remembered or told by how words begin."""
+    def strength(w):
+        likelier = m.likelier(w) if toxicity._TWICE.search(w) else []
+        return max(toxicity.strongest(x, m.strong) for x in [w, *likelier])
+
+    every = toxicity._WORD.findall(text.lower())
+    odd = [x.group() for x in toxicity._SPACED.finditer(text)]
+    for t in text.split():
+        plain = t.isalpha() or t.strip(".,;:?").isalpha()
+        if (toxicity._TRIPLE if plain else toxicity._ODD).search(t) or toxicity._MIXED.search(t):
+            odd.append(toxicity._EDGE.sub("", t))
+    odd = list(dict.fromkeys(t for t in odd if len(t) > 2))
+    assert toxicity.written_oddly(text) == odd
+    hidden = [[w for w in toxicity.restored_words(t, m.lm, m.known, m.skeletons.may_hold) if w not in every] for t in odd]
+    plain = [strength(w) for w in set(every)]
+    found = [s for s in [*plain, *(max(map(strength, got), default=0.0) for got in hidden)] if s >= toxicity.ONCE]
+    often = Counter(toxicity.dense_feature(g) for w in [*every, *(w for got in hidden for w in got)] for g in toxicity.grams(w))
+    dense = [m.strong[g] for g, k in often.items() if g in m.strong and k > 1 and k * toxicity.DENSE >= len(every)]
+    found += [max(dense)] if dense else []
+    return 1.0 - math.prod(1.0 - s for s in found) if found else 0.05 * max(plain, default=0.0)
+
+
+@pytest.fixture
+def toxic_model(spark, make_docs):
+    rng = random.Random(7)
+    ends = ["an", "er", "ing", "um", "est", "oly"]
+    rows = [(i, " ".join([rng.choice("lion river stone paper gros город été".split()) for _ in range(60)]
+                         + ["gromb" + rng.choice(ends) + rng.choice(ends) for _ in range(4 if i % 5 == 0 else 1)]
+                         + "stupid assess loser гадость".split() * (i % 5 == 0) + ["weak"] * (i % 5 == 0 or i % 12 == 1)))
+            for i in range(400)]
+    return toxicity.fit(make_docs(rows), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+
+
+def test_scores_equal_a_reading_of_every_word_and_token(toxic_model, monkeypatch):
+    m = toxicity.Model(toxic_model.lm, toxic_model.strong, toxic_model.stems)
+    assert m.dense_starts and any(0 < s < toxicity.ONCE for s in m.strong.values())
+    rng = random.Random(10)
+    words = ("lion river gross Stone letter, loser. (losser) STUPID stuppid stttupid asses assess weak weeak grombaner grombingum "
+             "groommbanum gr0mban 5tup1d $tupid s.t.u.p.i.d s-t-u-p-i-d, idio+ гадость гадoсть гaадость été étété İİ Σας ΣΑΣ² x1 "
+             "a$$e$$ 3rd a b c 2024/01/02 lion/stup1d/paper _a_b_c_ d... wеak").split() + ["s t u p i d", "g r o m b a n", "l.o s e.r", "Loooser" + "r" * 130]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", " ", ", ", "\x1f"]) for _ in range(rng.randint(0, 9)))
+             + "lion river " * rng.choice([0, 0, 5, 200]) for _ in range(600)]
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 12)
+    got = [m.score(t) for t in texts]
+    assert got == pytest.approx([plain_score(m, t) for t in texts], abs=1e-12)
+    assert 100 < sum(s >= toxicity.THRESHOLD for s in got) < 500 and any(0 < s < 0.05 for s in got)
+    assert [m.score(t) for t in texts] == got and len(m.nothing) <= 13
+
+
+def test_tokens_that_tell_nothing_are_looked_at_once(toxic_model, monkeypatch):
+    m = toxicity.Model(toxic_model.lm, toxic_model.strong, toxic_model.stems)
+    hashed, looked = [], []
+    strongest, search = toxicity.strongest, toxicity._WORD
+
+    class Word:
+        def findall(self, text):
+            looked.append(text)
+            return search.findall(text)
+
+    monkeypatch.setattr(toxicity, "strongest", lambda w, strong: hashed.append(w) or strongest(w, strong))
+    monkeypatch.setattr(toxicity, "_WORD", Word())
+    text = " ".join(f"{a}{b}word, re{a}d{b}-été" for a in "bcdfg" for b in "bcdfg")
+    assert m.score(text) == 0.0 and hashed == []
+    looked.clear()
+    assert m.score(text + " lion") == 0.0 and m.score(text + " stupid") >= toxicity.THRESHOLD
+    assert hashed == ["stupid"] and "".join(looked) == "stupid"
