@@ -73,8 +73,10 @@ def _time_features(df: DataFrame, key: str, other: str, flag: str, ts: str, fram
                                F.struct((F.col("pos") + F.lit(frame + 1)).alias("pos"), F.lit(-1).alias("sign"))))
     signed = cells.select("key", "other", "n", "s", "r", change.alias("c")).select(
         "key", "other", "c.pos", "c.sign", *[(F.col(m) * F.col("c.sign")).alias(m) for m in ("n", "s", "r")])
+    # Stored with their blocks: the joins below filter on the block, and each step of
+    # its search that such a filter passes multiplies the filter's size in the plan.
+    signed = staged(OrderBlocks(cells.select("key", "pos"), ["key", "pos"], block_rows, False).place(signed), "placed")
     # one shuffle on the block serves both running sums and both offsets
-    signed = OrderBlocks(cells.select("key", "pos"), ["key", "pos"], block_rows, False).place(signed)
     signed = signed.repartition("__block")
 
     by_key, same_key = block_offsets(signed, ["key"], "__block", ["n", "s", "r"], "__k_")

@@ -92,6 +92,23 @@ def test_hot_host_is_split_across_blocks(spark):
     assert got == _plain(df, "host", "service", 5_000_000)
 
 
+def _plan_length(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_plan_does_not_grow_with_blocks(spark):
+    """One service in 75 blocks: no filter on the block is pushed into the
+    steps of its search, each of which would multiply it."""
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 2000), rng.choice("abc"), "all", rng.choice(["SF", "S0", "REJ"])) for i in range(300)]
+    df = frame(spark, rows)
+    whole = same_service_window(df, frame_seconds=90)
+    many = same_service_window(df, frame_seconds=90, block_rows=4)
+    assert _plan_length(many) < 2 * _plan_length(whole)
+    got = {r["id"]: (r["srv_count"], round((1 - r["srv_diff_host_rate"]) * r["srv_count"])) for r in many.collect()}
+    assert got == _plain(df, "service", "host", 90_000_000)
+
+
 def test_nulls_stay_rows(spark):
     rows = [(i, i % 9, "ab"[i % 2], "http", "SF") for i in range(40)]
     df = frame(spark, rows).withColumn("ts", F.expr("if(id % 4 = 0, null, ts)")).withColumn(
