@@ -109,6 +109,20 @@ def test_plan_does_not_grow_with_blocks(spark):
     assert got == _plain(df, "service", "host", 90_000_000)
 
 
+def test_plan_does_not_grow_with_blocks_of_nulls(spark):
+    """The same with nulls among times, hosts and services."""
+    rng = random.Random(9)
+    rows = [(i, rng.randint(0, 2000), rng.choice(["a", "b", None]), rng.choice(["http", None]),
+             rng.choice(["SF", "S0", "REJ"])) for i in range(320)]
+    df = frame(spark, rows).withColumn("ts", F.expr("if(id % 9 = 0, null, ts)"))
+    whole = same_service_window(df, frame_seconds=40)
+    many = same_service_window(df, frame_seconds=40, block_rows=4)
+    assert _plan_length(many) < 2 * _plan_length(whole)
+    got = {r["id"]: r["srv_count"] and (r["srv_count"], round((1 - r["srv_diff_host_rate"]) * r["srv_count"]))
+           for r in many.collect()}
+    assert got == {i: n if i % 9 else None for i, n in _plain(df, "service", "host", 40_000_000).items()}
+
+
 def test_nulls_stay_rows(spark):
     rows = [(i, i % 9, "ab"[i % 2], "http", "SF") for i in range(40)]
     df = frame(spark, rows).withColumn("ts", F.expr("if(id % 4 = 0, null, ts)")).withColumn(
